@@ -1,0 +1,6 @@
+"""All registered queries, in one import."""
+
+from trolley.registry import preparation  # noqa: F401
+from trolley.registry.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
