@@ -46,8 +46,8 @@ def write_prepared(
         F.lit(PAD_TOKEN).alias("pad_token"),
         F.lit(MASK_TOKEN).alias("mask_token"),
         F.lit(n_terms + 2).cast("bigint").alias("vocab_size"),
-        F.lit(counts["num_train"]).alias("num_train"),
-        F.lit(counts["num_val"]).alias("num_val"),
+        F.lit(counts["num_train"]).cast("bigint").alias("num_train"),
+        F.lit(counts["num_val"]).cast("bigint").alias("num_val"),
     )
     _save(row, f"{path}/metadata", mode)
 
