@@ -143,7 +143,7 @@ def build_similarity_vectors(
     sample = written(neighbours.random_sample(names, "id", sample_size, seed), "sample")
     near = written(neighbours.sample_neighbours(vectors, sample, 9), "neighbours")
     if path:
-        write_similarity_vectors(text, vectors, path)
+        write_similarity_vectors(text, vectors, products.count(), path)
     return SimilarityVectors(
         text,
         vectors,

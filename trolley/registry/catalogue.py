@@ -432,7 +432,7 @@ def family_files(spark: SparkSession, sf: str) -> DataFrame:
       size AS products FROM summary""",
 )
 def family_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Families in the one-document form ``{metadata, families: {id: {...}}}``."""
+    """Families in the document form ``{families: {id: {...}}}``, one document per line."""
     path, nested = new_path(spark, "families"), new_path(spark, "document")
     write_families(_found(spark, sf), path)
     saved = written(spark.read.schema(FAMILY_SCHEMA).json(f"{path}/families"), "saved")
@@ -441,7 +441,7 @@ def family_documents(spark: SparkSession, sf: str) -> DataFrame:
             F.array(F.col("family_id").cast("string")), F.array(F.struct(*saved.columns))
         ).alias("families")
     ).write.json(nested)
-    return read_families(spark, nested).select(
+    return read_families(spark, nested, multi_line=False).select(
         "family_id", "family_name", "size", "representative_product",
         F.size("products").cast("bigint").alias("products"),
     )

@@ -110,17 +110,22 @@ def write_families(
 
 
 def write_similarity_vectors(
-    text: TermVectors, vectors: DataFrame, path: str, n_flags: int = 12, mode: str = "errorifexists"
+    text: TermVectors,
+    vectors: DataFrame,
+    n_products: int,
+    path: str,
+    n_flags: int = 12,
+    mode: str = "errorifexists",
 ) -> None:
     """``vectors`` (id, idx, weight), ``vocabulary`` (term, idx) and ``metadata``."""
     spark = vectors.sparkSession
     _save(vectors, f"{path}/vectors", mode)
     _save(text.vocabulary.select("term", "idx"), f"{path}/vocabulary", mode)
     n_terms = text.vocabulary.count()
-    row = spark.read.parquet(f"{path}/vectors").agg(
+    row = spark.range(1).select(
         F.lit("product_similarity").alias("embedding_type"),
         F.lit("tfidf_plus_categorical").alias("method"),
-        F.countDistinct("id").alias("products_count"),
+        F.lit(n_products).cast("bigint").alias("products_count"),
         F.lit(n_terms).cast("bigint").alias("vocabulary_size"),
         F.lit(n_terms + n_flags).cast("bigint").alias("width"),
     )

@@ -145,11 +145,15 @@ def vector_width(vectors: DataFrame, vector_col: str = "embedding") -> int:
     return high
 
 
-def read_families(spark: SparkSession, path: str) -> DataFrame:
-    """A families document ``{metadata, families: {id: {...}}}``, one row per family."""
+def read_families(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Family documents ``{metadata, families: {id: {...}}}``, one row per family.
+
+    A document spread over several lines is read by one task; for large catalogues
+    have one document per line (``multi_line=False``) or the JSON lines written here.
+    """
     family = T.StructType.fromDDL(FAMILY_SCHEMA)
     schema = T.StructType([T.StructField("families", T.MapType(T.StringType(), family))])
-    doc = spark.read.schema(schema).option("multiLine", True).json(path)
+    doc = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     return doc.select(F.explode("families").alias("key", "family")).select("family.*")
 
 
