@@ -29,7 +29,7 @@ class Baskets(NamedTuple):
     def long(self) -> DataFrame:
         """(user_id, basket_id, basket_pos, n_baskets, is_target, item_ord, item_id)."""
         headers = self.headers.where("n_items > 0")
-        return attach_by_key(self.items, headers, ["basket_id"], "n_items")
+        return attach_by_key(self.items, headers, ["basket_id"], "n_items", cheap=True)
 
 
 def baskets_from_orders(

@@ -60,7 +60,8 @@ def encode_sequences(
     anything is gathered, so a row never holds more than max_seq + 1 baskets.
     The target set is sparse: sorted distinct tokens in place of a multi-hot row.
     """
-    width = max_basket or max_basket_size(baskets)
+    largest = max_basket_size(baskets)
+    width = max_basket or largest
     recent = Baskets(
         baskets.headers.where(F.col("basket_pos") >= F.col("n_baskets") - 1 - max_seq),
         baskets.items,
@@ -88,6 +89,10 @@ def encode_sequences(
         "target_padded",
         "_target_id",
     ).withColumn("basket_mask", F.transform("sequence", item_mask))
+    if width >= largest:
+        # nothing was cut off, so the padded target holds the whole target
+        tokens = F.array_distinct(F.filter("target_padded", lambda t: t != PAD_TOKEN))
+        return encoded.withColumn("target_tokens", F.sort_array(tokens)).drop("_target_id")
     targets = target_token_sets(baskets, vocab).withColumnRenamed("basket_id", "_target_id")
     return (
         encoded.join(targets, "_target_id", "left")

@@ -64,7 +64,7 @@ def with_key_positions(
     A key that holds a large share of the rows spans many range partitions, so
     no task ever sorts a whole key.
     """
-    placed = written(with_positions(df, keys + order, "_pos"), "key-positions")
+    placed = with_positions(df, keys + order, "_pos")
     stats = placed.groupBy(*keys).agg(
         F.min("_pos").alias("_first"), F.count("*").alias(count_name)
     )

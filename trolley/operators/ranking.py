@@ -20,7 +20,7 @@ from trolley.functions.vectors import cosine, mean_vector
 from trolley.operators.baskets import Baskets
 from trolley.operators.position import with_key_positions, with_positions
 from trolley.operators.skew import attach_by_key
-from trolley.storage import written
+from trolley.storage import spread, written
 
 HISTORY_FRACTION = 0.8
 NEGATIVES = 99
@@ -67,7 +67,8 @@ def item_usage(
     n_history = F.col("n_baskets") - 1
     fit = filled.where(n_history >= 2)
     if max_users is not None:
-        users = fit.where("is_target").select("user_id").orderBy("user_id").limit(max_users)
+        everyone = baskets.headers.where("is_target").select("user_id")
+        users = everyone.orderBy("user_id").limit(max_users)
         fit = fit.join(users, "user_id", "left_semi")
     split = F.greatest(F.lit(1), F.floor(n_history * F.lit(history_fraction)))
     lines = Baskets(
@@ -218,7 +219,9 @@ def sample_candidates(
     done = None
     todo, factor = placed, 1.3
     while True:
-        drawn = todo.withColumn("drawn", _draws(n_items, n, factor, seed))
+        drawn = spread(todo, "user_id", "positive_item").withColumn(
+            "drawn", _draws(n_items, n, factor, seed)
+        )
         is_short = F.col("history_size") <= inline_history
         found = written(
             _inline_negatives(drawn.where(is_short), blocked, n).unionByName(
@@ -314,27 +317,45 @@ def rank_frequency(purchases: DataFrame) -> Ranker:
     return rank
 
 
-def user_profiles(history: DataFrame, vectors: DataFrame, col: str = "embedding") -> DataFrame:
-    """(user_id, profile): the mean vector of a user's distinct history items."""
+def user_profiles(
+    history: DataFrame,
+    vectors: DataFrame,
+    col: str = "embedding",
+    limit_bytes: int = SHARED_MATRIX_BYTES,
+) -> DataFrame:
+    """(user_id, profile): the mean vector of a user's distinct history items.
+
+    A user's distinct items are at most the catalogue, so no group is unbounded.
+    """
+    rows = history.select("user_id", "item_id")
+    items = vectors.select("item_id", F.col(col).alias("_v"))
+    if matrix_bytes(vectors, col) <= limit_bytes:
+        # ids move to their user's partition first; vectors are then looked up there
+        rows, items = rows.repartition("user_id"), F.broadcast(items)
     return (
-        history.select("user_id", "item_id")
-        .join(vectors.select("item_id", F.col(col).alias("_v")), "item_id")
+        rows.join(items, "item_id")
         .groupBy("user_id")
         .agg(mean_vector(F.col("_v")).alias("profile"))
     )
 
 
+def matrix_bytes(vectors: DataFrame, col: str) -> int:
+    """Size of the vectors as a dense matrix of doubles."""
+    rows, width = vectors.agg(F.count("*"), F.max(F.size(col))).first()
+    return rows * (width or 0) * 8
+
+
 def shared_matrix(vectors: DataFrame, col: str, limit_bytes: int):
     """(ids, unit vectors) as a broadcast in id order, or None when it is too large.
 
     The size is checked before anything is gathered.
     """
-    rows, width = vectors.agg(F.count("*"), F.max(F.size(col))).first()
-    if rows == 0 or rows * width * 8 > limit_bytes:
+    size = matrix_bytes(vectors, col)
+    if size == 0 or size > limit_bytes:
         return None
     local = vectors.select("item_id", F.col(col).cast("array<double>").alias("v")).toArrow()
     ids = local["item_id"].to_numpy()
-    values = local["v"].combine_chunks().flatten().to_numpy().reshape(rows, width)
+    values = local["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
     order = np.argsort(ids)
     unit = unit_rows(values[order])
     return vectors.sparkSession.sparkContext.broadcast((ids[order], unit))
@@ -387,7 +408,7 @@ def rank_embedding(
     """
 
     def rank(candidates: DataFrame) -> DataFrame:
-        profiles = user_profiles(history, vectors, col)
+        profiles = user_profiles(history, vectors, col, limit_bytes)
         sizes = candidates.groupBy("user_id").agg(F.count("*").alias("_rows"))
         ready = attach_by_key(
             candidates, profiles.join(sizes, "user_id"), ["user_id"], "_rows"

@@ -13,18 +13,27 @@ HOT_SHARE = 500
 
 
 def attach_by_key(
-    df: DataFrame, stats: DataFrame, keys: list[str], rows_col: str, how: str = "inner"
+    df: DataFrame,
+    stats: DataFrame,
+    keys: list[str],
+    rows_col: str,
+    how: str = "inner",
+    cheap: bool = False,
 ) -> DataFrame:
     """Join ``stats`` (one row per key) to ``df`` without sending a hot key to one task.
 
     ``rows_col`` of ``stats`` holds the number of rows per key. Hot keys, at most
     ``HOT_SHARE`` by construction, are joined by broadcast and their rows never
-    shuffle; the others take an ordinary join.
+    shuffle; the others take an ordinary join. ``stats`` is read several times, so
+    it is written first unless it is ``cheap`` to read again.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
-    stats = written(stats, "key-stats")
-    total = stats.agg(F.sum(rows_col)).first()[0] or 0
+    if not cheap:
+        stats = written(stats, "key-stats")
+    total, largest = stats.agg(F.sum(rows_col), F.max(rows_col)).first()
+    if total is None or largest * HOT_SHARE <= total:
+        return df.join(stats, keys, how)
     is_hot = F.col(rows_col) * HOT_SHARE > F.lit(total)
     hot = stats.where(is_hot)
     # a tiny table makes every key hot; one broadcast join is then the whole job

@@ -7,8 +7,6 @@ found from those counts, and only the rows of that one prefix (about one in
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,15 +28,15 @@ def assign_split(
         "_p", F.substring("_h", 1, PREFIX_DIGITS)
     )
     counts = hashed.groupBy("_p").agg(F.count("*").alias("_n"))
+    # at most 65,536 prefixes, so these windows and their result are small
+    every = W.partitionBy(F.lit(0))
     running = counts.withColumn(
-        "_upto", F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
-    )
-    n = df.count()
-    wanted = math.ceil(n * val_fraction)
-    edge = running.where(F.col("_upto") >= wanted).orderBy("_p").first()
-    if edge is None or wanted == 0:
+        "_upto", F.sum("_n").over(every.orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
+    ).withColumn("_wanted", F.ceil(F.sum("_n").over(every) * F.lit(val_fraction)))
+    edge = running.where(F.col("_upto") >= F.col("_wanted")).orderBy("_p").first()
+    if edge is None or edge["_wanted"] == 0:
         return df.withColumn("split", F.lit("train"))
-    left = wanted - (edge["_upto"] - edge["_n"])
+    left = edge["_wanted"] - (edge["_upto"] - edge["_n"])
     clear = hashed.where(F.col("_p") != edge["_p"]).withColumn(
         "split", F.when(F.col("_p") < edge["_p"], "val").otherwise("train")
     )

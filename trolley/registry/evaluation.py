@@ -43,7 +43,7 @@ def evaluation_cases(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "evaluation_cases_first_users",
     f"""{_USAGE_SQL}, first_users AS (
-      SELECT DISTINCT user_id FROM fit ORDER BY user_id LIMIT 1000)
+      SELECT user_id FROM headers WHERE is_target ORDER BY user_id LIMIT 1000)
     SELECT user_id, positive_item, history_size FROM cases
     WHERE user_id IN (SELECT user_id FROM first_users)""",
 )
