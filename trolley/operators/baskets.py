@@ -32,6 +32,18 @@ class Baskets(NamedTuple):
         return attach_by_key(self.items, headers, ["basket_id"], "n_items", cheap=True)
 
 
+def distinct_basket_items(
+    lineitem: DataFrame, line_order: str = "l_orderkey", item: str = "l_partkey"
+) -> DataFrame:
+    """(basket_id, item_id, item_ord): the distinct items of each order, by item id."""
+    return (
+        lineitem.select(F.col(line_order).alias("basket_id"), F.col(item).alias("item_id"))
+        .where("basket_id IS NOT NULL AND item_id IS NOT NULL")
+        .distinct()
+        .withColumn("item_ord", F.col("item_id"))
+    )
+
+
 def baskets_from_orders(
     orders: DataFrame,
     lineitem: DataFrame,
@@ -42,12 +54,7 @@ def baskets_from_orders(
     item: str = "l_partkey",
 ) -> Baskets:
     """Baskets of order histories: distinct items per order, orders by (date, order id)."""
-    items = written(
-        lineitem.select(F.col(line_order).alias("basket_id"), F.col(item).alias("item_id"))
-        .where("basket_id IS NOT NULL AND item_id IS NOT NULL")
-        .distinct(),
-        "basket-items",
-    )
+    items = written(distinct_basket_items(lineitem, line_order, item), "basket-items")
     sizes = items.groupBy("basket_id").agg(F.count("*").alias("n_items"))
     filled = orders.select(
         F.col(user).alias("user_id"), F.col(order).alias("basket_id"), F.col(date).alias("_at")
@@ -56,10 +63,7 @@ def baskets_from_orders(
         filled, ["user_id"], ["_at", "basket_id"], "basket_pos", "n_baskets"
     ).drop("_at")
     headers = headers.withColumn("is_target", F.col("basket_pos") == F.col("n_baskets") - 1)
-    return Baskets(
-        written(headers, "basket-headers"),
-        items.withColumn("item_ord", F.col("item_id")),
-    )
+    return Baskets(written(headers, "basket-headers"), items)
 
 
 def valid_sequences(df: DataFrame) -> DataFrame:

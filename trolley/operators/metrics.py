@@ -30,7 +30,7 @@ def recommend_popular(baskets: Baskets, k: int) -> DataFrame:
     ranked = F.sort_array(
         F.collect_list(F.struct((-F.col("frequency")).alias("minus_f"), "item_id"))
     )
-    top = item_frequencies(baskets).orderBy(F.desc("frequency"), "item_id").limit(k)
+    top = item_frequencies(baskets.items).orderBy(F.desc("frequency"), "item_id").limit(k)
     # k ids: a literal array, so that no join is needed
     best = [row["item_id"] for row in top.agg(ranked.alias("t")).first()["t"]]
     users = baskets.headers.where("is_target").select("user_id")

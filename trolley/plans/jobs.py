@@ -56,7 +56,7 @@ def prepare_sequences(
     path: str | None = None,
 ) -> Prepared:
     """Vocabulary, padded sequences, masked copies and the train/val split."""
-    vocab = written(vocabulary(baskets), "vocabulary")
+    vocab = written(vocabulary(baskets.items), "vocabulary")
     width = max_basket or max_basket_size(baskets)
     encoded = written(encode_sequences(baskets, vocab, max_seq, width), "encoded")
     masked = mask_baskets(encoded, mask_prob, seed)

@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from trolley.operators import linalg
 from trolley.operators import metrics as mt
 from trolley.operators import ranking as rk
+from trolley.operators.baskets import Baskets
+from trolley.operators.vocab import distinct_items
 from trolley.plans.jobs import compare_rankers
 from trolley.registry.base import query, rounded
-from trolley.registry.inputs import BASKETS_SQL, VECTORS_SQL, baskets, long_of, vectors
-from trolley.operators.vocab import vocabulary
+from trolley.registry.inputs import (
+    BASKETS_SQL,
+    VECTORS_SQL,
+    basket_items,
+    baskets,
+    long_of,
+    vectors,
+)
 
 _USAGE_SQL = f"""WITH {BASKETS_SQL}, {VECTORS_SQL},
 fit AS (
@@ -326,9 +334,10 @@ def popularity_list_metrics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _nearest(spark: SparkSession, sf: str) -> DataFrame:
+def _nearest(spark: SparkSession, sf: str, data: Baskets | None = None) -> DataFrame:
     items = vectors(spark, sf)
-    profiles = rk.user_profiles(_evaluation(spark, sf).history, items)
+    cases = rk.evaluation_cases(data or baskets(spark, sf), items)
+    profiles = rk.user_profiles(cases.history, items)
     return mt.recommend_nearest(profiles, items, 50)
 
 
@@ -339,8 +348,9 @@ def nearest_items(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("nearest_list_metrics", f"{_NEAREST_SQL}{_LIST_METRICS_SQL}")
 def nearest_list_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    data = baskets(spark, sf)
     return _flat_list_metrics(
-        mt.ranking_metrics(_nearest(spark, sf), mt.target_items(baskets(spark, sf)))
+        mt.ranking_metrics(_nearest(spark, sf, data), mt.target_items(data))
     )
 
 
@@ -351,7 +361,7 @@ def nearest_list_metrics(spark: SparkSession, sf: str) -> DataFrame:
     FROM recommended""",
 )
 def item_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    size = vocabulary(baskets(spark, sf)).count() + 2
+    size = distinct_items(basket_items(spark, sf)).count() + 2
     return mt.item_coverage(_nearest(spark, sf), size).withColumn(
         "item_coverage", rounded("item_coverage")
     )

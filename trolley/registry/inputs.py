@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.operators.baskets import Baskets, baskets_from_orders
+from trolley.operators.baskets import Baskets, baskets_from_orders, distinct_basket_items
 from trolley.operators.catalogue import enrich_products
 
 
@@ -17,6 +17,10 @@ def baskets(spark: SparkSession, sf_dir: str) -> Baskets:
     return baskets_from_orders(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
 
+def basket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct_basket_items(table(spark, sf_dir, "lineitem"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("item_id"), "embedding", "label"

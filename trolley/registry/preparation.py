@@ -9,7 +9,7 @@ from trolley.operators import baskets as bk
 from trolley.operators import encode, split, stats, vocab
 from trolley.plans.jobs import prepare_sequences
 from trolley.registry.base import query, rounded
-from trolley.registry.inputs import BASKETS_SQL, baskets, table
+from trolley.registry.inputs import BASKETS_SQL, basket_items, baskets, table
 from trolley.sources import tables as src
 from trolley.storage import new_path
 
@@ -29,12 +29,12 @@ def basket_long_form(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("distinct_items", "SELECT DISTINCT l_partkey AS item_id FROM lineitem")
 def distinct_items(spark: SparkSession, sf: str) -> DataFrame:
-    return vocab.distinct_items(baskets(spark, sf))
+    return vocab.distinct_items(basket_items(spark, sf))
 
 
 @query("vocabulary", f"{WITH} SELECT item_id, token_id::INTEGER AS token_id, frequency FROM vocab")
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return vocab.vocabulary(baskets(spark, sf))
+    return vocab.vocabulary(basket_items(spark, sf))
 
 
 @query(
@@ -43,7 +43,7 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     count(*) + 2 AS vocab_size FROM vocab""",
 )
 def vocabulary_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    return vocab.vocabulary_metadata(vocab.vocabulary(baskets(spark, sf)))
+    return vocab.vocabulary_metadata(vocab.vocabulary(basket_items(spark, sf)))
 
 
 @query(
@@ -51,7 +51,7 @@ def vocabulary_metadata(spark: SparkSession, sf: str) -> DataFrame:
     f"{WITH} SELECT item_id, frequency FROM vocab ORDER BY frequency DESC, item_id LIMIT 20",
 )
 def top_items(spark: SparkSession, sf: str) -> DataFrame:
-    return vocab.top_items(baskets(spark, sf), 20)
+    return vocab.top_items(basket_items(spark, sf), 20)
 
 
 @query("max_basket_size", f"{WITH} SELECT coalesce(max(n_items), 20) AS max_basket_size FROM headers")
@@ -105,7 +105,7 @@ def _joined(nested: str) -> Column:
 
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
     data = baskets(spark, sf)
-    return encode.encode_sequences(data, vocab.vocabulary(data))
+    return encode.encode_sequences(data, vocab.vocabulary(data.items))
 
 
 @query(
@@ -140,7 +140,7 @@ def encoded_sequences(spark: SparkSession, sf: str) -> DataFrame:
 )
 def target_token_sets(spark: SparkSession, sf: str) -> DataFrame:
     data = baskets(spark, sf)
-    sets = encode.target_token_sets(data, vocab.vocabulary(data))
+    sets = encode.target_token_sets(data, vocab.vocabulary(data.items))
     return sets.select("basket_id", F.explode("target_tokens").alias("token_id"))
 
 
