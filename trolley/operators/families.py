@@ -40,6 +40,7 @@ from trolley.storage import written
 WINDOW = 100
 BLOCK_ROWS = 50_000
 FANOUT = 1_000
+BROADCAST_BLOCKS = 500_000
 
 
 class Families(NamedTuple):
@@ -75,12 +76,12 @@ def candidate_pairs(
     """
     right = placed.select(
         F.col("pos").alias("j"),
-        F.floor(F.col("pos") / window).alias("bucket"),
+        F.expr(f"pos div {window}").alias("bucket"),
         F.col("cmp").alias("cmp2"),
         F.col("department").alias("dept2"),
         "bits2",
     )
-    first = F.floor(F.col("pos") / window)
+    first = F.expr(f"pos div {window}")
     left = placed.select(
         F.col("pos").alias("i"),
         F.explode(F.array(first, first + 1)).alias("bucket"),
@@ -112,7 +113,7 @@ def _chain_links(placed: DataFrame, pairs: DataFrame, max_size: int, block_rows:
         .withColumn(
             "next", F.coalesce(F.try_element_at("matches", F.lit(-1)), F.col("pos")) + 1
         )
-        .withColumn("block", F.floor(F.col("pos") / block_rows))
+        .withColumn("block", F.expr(f"pos div {block_rows}"))
     )
 
 
@@ -165,7 +166,7 @@ def _block_entries(exits: DataFrame, n_blocks: int, fanout: int) -> DataFrame:
         return exits.sparkSession.createDataFrame(
             _entries_below(rows), "block bigint, entry bigint"
         )
-    grouped = exits.withColumn("parent", F.floor(F.col("block") / fanout))
+    grouped = exits.withColumn("parent", F.expr(f"block div {fanout}"))
     parents = grouped.groupBy("parent").applyInPandas(
         _compose, "block bigint, exits array<bigint>"
     )
@@ -259,7 +260,8 @@ def assign_families(
         "family-members",
     )
     numbered = add_offsets(
-        resolved.where("member_no = 0"), "block", "family_index", "family_id"
+        resolved.where("member_no = 0"), "block", "family_index", "family_id",
+        broadcast=n_blocks <= BROADCAST_BLOCKS,
     ).select("block", "family_index", "family_id")
     return resolved.join(numbered, ["block", "family_index"]).select(
         "family_id", "member_no", "pos"

@@ -19,11 +19,14 @@ from trolley.storage import written
 _ROW_BITS = 33
 
 
-def add_offsets(df: DataFrame, part: str, index: str, name: str, start: int = 0) -> DataFrame:
+def add_offsets(
+    df: DataFrame, part: str, index: str, name: str, start: int = 0, broadcast: bool = True
+) -> DataFrame:
     """Turn (part, 0-based index in part) into a position over all parts in part order.
 
     The offset table has one row per part, so it stays small however many rows
-    the parts hold; the window runs over that table only.
+    the parts hold; the window runs over that table only. ``broadcast`` is for
+    callers that know the number of parts to be small.
     """
     before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -31,7 +34,8 @@ def add_offsets(df: DataFrame, part: str, index: str, name: str, start: int = 0)
         .agg(F.count("*").alias("_n"))
         .select(part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    return df.join(F.broadcast(offsets), part).withColumn(
+    offsets = F.broadcast(offsets) if broadcast else offsets
+    return df.join(offsets, part).withColumn(
         name, (F.col("_offset") + F.col(index) + F.lit(start)).cast("bigint")
     ).drop("_offset")
 
@@ -49,6 +53,7 @@ def with_positions(
         .drop("_slot"),
         "positions",
     )
+    # one part per range partition, so the offsets number at most the shuffle partitions
     return add_offsets(slotted, "_part", "_index", name, start).drop("_part", "_index")
 
 

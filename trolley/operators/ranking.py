@@ -27,6 +27,7 @@ NEGATIVES = 99
 TOP_K = 10
 # a history up to this long travels with its cases; longer ones are joined in long form
 INLINE_HISTORY = 5_000
+DRAWS_AT_ONCE = 1_000
 # an item matrix up to this size is shared with every task; beyond it vectors are joined
 SHARED_MATRIX_BYTES = 256 * 1024 * 1024
 
@@ -131,47 +132,72 @@ def leakage_count(evaluation: Evaluation) -> DataFrame:
     )
 
 
-def _draws(n_items: int, wanted: int, factor: float, seed: int) -> Column:
-    """Distinct catalogue positions drawn for a case, in draw order.
+class DrawStream(NamedTuple):
+    """The random stream of catalogue positions each case draws from.
 
-    The stream of draws is fixed by the case; ``factor`` only sets how much of it
-    is read. The expected need is n * ln(free / (free - wanted)) draws.
+    The stream is fixed by the case; ``factor`` only sets how much of it is read.
     """
-    free = F.lit(float(n_items)) - F.col("history_size") - 1
-    need = n_items * F.log((free + 0.5) / (free - wanted + 0.5))
-    length = F.ceil(need * factor + 20).cast("int")
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(0), length),
-            lambda k: hash_to_long(keyed_hash(seed, "user_id", "positive_item", k)) % n_items,
-        )
-    )
 
+    n_items: int
+    wanted: int
+    factor: float
+    seed: int
+
+    def length(self) -> Column:
+        """Draws to read: the expected need n * ln(free / (free - wanted)) and a margin."""
+        free = F.lit(float(self.n_items)) - F.col("history_size") - 1
+        need = self.n_items * F.log((free + 0.5) / (free - self.wanted + 0.5))
+        return F.ceil(need * self.factor + 20)
+
+    def at(self, k: Column) -> Column:
+        """The ``k``-th draw."""
+        digest = keyed_hash(self.seed, "user_id", "positive_item", k)
+        return hash_to_long(digest) % self.n_items
 
-def _inline_negatives(drawn: DataFrame, blocked: DataFrame, wanted: int) -> DataFrame:
-    """Keep the first ``wanted`` draws outside the history, history as an array."""
+
+def _inline_negatives(cases: DataFrame, blocked: DataFrame, stream: DrawStream) -> DataFrame:
+    """The first draws outside the history, with the history as an array beside the case.
+
+    Short histories leave most of the catalogue free, so the draws are few.
+    """
+    ready = attach_by_key(cases, blocked, ["user_id"], "n_cases", "left", cheap=True)
+    draws = F.transform(F.sequence(F.lit(0), stream.length().cast("int")), stream.at)
     taken = F.coalesce("blocked", F.array().cast("array<bigint>"))
-    free = F.array_except("drawn", F.array_append(taken, F.col("positive_pos")))
-    return attach_by_key(drawn, blocked, ["user_id"], "n_cases", "left").select(
-        *CASE_COLUMNS, F.slice(free, 1, wanted).alias("negatives")
+    free = F.array_except(draws, F.array_append(taken, F.col("positive_pos")))
+    return spread(ready, "user_id", "positive_item").select(
+        *CASE_COLUMNS, F.slice(free, 1, stream.wanted).alias("negatives")
     )
 
 
-def _joined_negatives(drawn: DataFrame, blocked_long: DataFrame, wanted: int) -> DataFrame:
-    """The same for histories of any length: an anti-join on (user, position)."""
+def _joined_negatives(cases: DataFrame, history: DataFrame, stream: DrawStream) -> DataFrame:
+    """The same for histories of any length: draws as rows, anti-joined on (user, position).
+
+    A nearly complete history may need very many draws, so they are generated in
+    stretches and never stand in one array.
+    """
+    last = F.floor(stream.length() / DRAWS_AT_ONCE)
+    stretches = spread(cases, "user_id", "positive_item").select(
+        *CASE_COLUMNS, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("stretch")
+    )
+    start = F.col("stretch") * DRAWS_AT_ONCE
+    drawn = stretches.select(
+        *CASE_COLUMNS, F.explode(F.sequence(start, start + (DRAWS_AT_ONCE - 1))).alias("k")
+    )
     free = (
-        drawn.select(*CASE_COLUMNS, F.posexplode("drawn").alias("k", "pos"))
+        drawn.withColumn("pos", stream.at(F.col("k")))
         .where(F.col("pos") != F.col("positive_pos"))
-        .join(blocked_long, ["user_id", "pos"], "left_anti")
+        .join(history, ["user_id", "pos"], "left_anti")
+        .groupBy("user_id", "positive_item", "pos")
+        .agg(F.min("k").alias("k"))
     )
-    # a case has a bounded number of draws, so its array is bounded too
+    # the length of the stream is such that about ``wanted`` free items come up
     listed = free.groupBy("user_id", "positive_item").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("k", "pos"))), 1, wanted)
+        F.slice(F.sort_array(F.collect_list(F.struct("k", "pos"))), 1, stream.wanted)
         .getField("pos")
         .alias("negatives")
     )
     return (
-        drawn.select(*CASE_COLUMNS)
+        cases.select(*CASE_COLUMNS)
         .join(listed, ["user_id", "positive_item"], "left")
         .withColumn("negatives", F.coalesce("negatives", F.array().cast("array<bigint>")))
         .select(*CASE_COLUMNS, "negatives")
@@ -199,33 +225,35 @@ def sample_candidates(
     history = written(
         evaluation.history.join(places, "item_id").select("user_id", "pos"), "history-places"
     )
-    placed = evaluation.cases.where(F.col("history_size") + 1 + n <= n_items).join(
-        places.select(
-            F.col("item_id").alias("positive_item"), F.col("pos").alias("positive_pos")
-        ),
-        "positive_item",
-    ).select(*CASE_COLUMNS)
+    positives = places.select(
+        F.col("item_id").alias("positive_item"), F.col("pos").alias("positive_pos")
+    )
+    placed = written(
+        evaluation.cases.where(F.col("history_size") + 1 + n <= n_items)
+        .join(positives, "positive_item")
+        .select(*CASE_COLUMNS),
+        "case-places",
+    )
     per_user = placed.groupBy("user_id").agg(F.count("*").alias("n_cases"))
     short_histories = history.join(
         placed.where(F.col("history_size") <= inline_history).select("user_id").distinct(),
         "user_id",
         "left_semi",
     )
-    blocked = (
+    blocked = written(
         short_histories.groupBy("user_id")
         .agg(F.collect_list("pos").alias("blocked"))
-        .join(per_user, "user_id")
+        .join(per_user, "user_id"),
+        "blocked",
     )
     done = None
     todo, factor = placed, 1.3
     while True:
-        drawn = spread(todo, "user_id", "positive_item").withColumn(
-            "drawn", _draws(n_items, n, factor, seed)
-        )
+        stream = DrawStream(n_items, n, factor, seed)
         is_short = F.col("history_size") <= inline_history
         found = written(
-            _inline_negatives(drawn.where(is_short), blocked, n).unionByName(
-                _joined_negatives(drawn.where(~is_short), history, n)
+            _inline_negatives(todo.where(is_short), blocked, stream).unionByName(
+                _joined_negatives(todo.where(~is_short), history, stream)
             ),
             "negatives",
         )
@@ -245,11 +273,11 @@ def _with_items(found: DataFrame, places: DataFrame) -> DataFrame:
         # ids without gaps: position and id differ by a constant
         items = F.transform("negatives", lambda p: p + F.lit(low))
     else:
-        spread = found.select(
+        single = found.select(
             "user_id", "positive_item", F.posexplode("negatives").alias("k", "pos")
         )
         back = (
-            spread.join(places, "pos")
+            single.join(places, "pos")
             .groupBy("user_id", "positive_item")
             .agg(F.sort_array(F.collect_list(F.struct("k", "item_id"))).alias("_i"))
             .select("user_id", "positive_item", F.col("_i.item_id").alias("_items"))
@@ -292,10 +320,10 @@ def rank_frequency(purchases: DataFrame) -> Ranker:
     """
 
     def rank(candidates: DataFrame) -> DataFrame:
-        spread = candidates.select(
-            "user_id", "positive_item", F.posexplode("candidates").alias("k", "item_id")
+        single = candidates.select(
+            "user_id", "positive_item", F.explode("candidates").alias("item_id")
         )
-        seen = spread.join(
+        seen = single.join(
             purchases.select("user_id", "item_id", "times"), ["user_id", "item_id"]
         )
         # only candidates found in a history travel on
@@ -427,13 +455,13 @@ def rank_embedding(
 
 def _score_by_join(ready: DataFrame, vectors: DataFrame, col: str) -> DataFrame:
     """Cosines by joining vectors to single candidates, for matrices of any size."""
-    spread = ready.select(
+    single = ready.select(
         "user_id", "positive_item", "profile",
         F.posexplode("candidates").alias("k", "item_id"),
     )
-    demand = spread.groupBy("item_id").agg(F.count("*").alias("_rows"))
+    demand = single.groupBy("item_id").agg(F.count("*").alias("_rows"))
     scored = attach_by_key(
-        spread,
+        single,
         vectors.select("item_id", F.col(col).alias("_v")).join(demand, "item_id"),
         ["item_id"],
         "_rows",

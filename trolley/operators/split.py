@@ -1,13 +1,13 @@
 """Exact-size random splits and samples by keyed hash, without a global sort.
 
 Rows are counted per hash prefix; the prefix in which the wanted share ends is
-found from those counts, and only the rows of that one prefix (about one in
-65,536) are ranked.
+found from those counts, and only the keys of that one prefix (about one in
+65,536) are ranked to find the exact cut. Splitting is then one narrow pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,17 +17,23 @@ from trolley.operators.skew import attach_by_key
 PREFIX_DIGITS = 4
 
 
+def _up_to(key: Column, cut_hash: Column, cut_key: Column) -> Column:
+    """Whether a row is at or before the cut in (hash, key) order."""
+    return (F.col("_h") < cut_hash) | ((F.col("_h") == cut_hash) & (key <= cut_key))
+
+
 def assign_split(
     df: DataFrame, key: str = "user_id", val_fraction: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Add ``split``: exactly ceil(n * val_fraction) rows are 'val', the rest 'train'.
 
-    ``key`` identifies a row. Only boundary rows are shuffled.
+    ``key`` identifies a row. Finding the cut reads the key column only; the rows
+    themselves are never shuffled.
     """
-    hashed = df.withColumn("_h", keyed_hash(seed, key)).withColumn(
+    keys = df.select(F.col(key).alias("_k"), keyed_hash(seed, key).alias("_h")).withColumn(
         "_p", F.substring("_h", 1, PREFIX_DIGITS)
     )
-    counts = hashed.groupBy("_p").agg(F.count("*").alias("_n"))
+    counts = keys.groupBy("_p").agg(F.count("*").alias("_n"))
     # at most 65,536 prefixes, so these windows and their result are small
     every = W.partitionBy(F.lit(0))
     running = counts.withColumn(
@@ -37,15 +43,19 @@ def assign_split(
     if edge is None or edge["_wanted"] == 0:
         return df.withColumn("split", F.lit("train"))
     left = edge["_wanted"] - (edge["_upto"] - edge["_n"])
-    clear = hashed.where(F.col("_p") != edge["_p"]).withColumn(
-        "split", F.when(F.col("_p") < edge["_p"], "val").otherwise("train")
+    rank = F.row_number().over(W.partitionBy("_p").orderBy("_h", "_k"))
+    cut = (
+        keys.where(F.col("_p") == edge["_p"])
+        .withColumn("_rank", rank)
+        .where(F.col("_rank") == left)
+        .first()
+    )
+    chosen = _up_to(F.col(key), F.lit(cut["_h"]), F.lit(cut["_k"]))
+    return (
+        df.withColumn("_h", keyed_hash(seed, key))
+        .withColumn("split", F.when(chosen, "val").otherwise("train"))
+        .drop("_h")
     )
-    rank = F.row_number().over(W.partitionBy("_p").orderBy("_h", key))
-    at_edge = hashed.where(F.col("_p") == edge["_p"]).withColumn("_rank", rank)
-    at_edge = at_edge.withColumn(
-        "split", F.when(F.col("_rank") <= left, "val").otherwise("train")
-    ).drop("_rank")
-    return clear.unionByName(at_edge).drop("_h", "_p")
 
 
 def split_counts(df: DataFrame) -> DataFrame:
@@ -61,38 +71,37 @@ def stratified_sample(
     With ``cap`` rows or fewer everything is kept. Within a stratum the rows with
     the smallest keyed hash are taken, exactly as many as its quota.
     """
-    hashed = df.withColumn("_h", keyed_hash(seed, key)).withColumn(
-        "_p", F.substring("_h", 1, PREFIX_DIGITS)
-    )
-    counts = hashed.groupBy(stratum, "_p").agg(F.count("*").alias("_n"))
-    by_prefix = W.partitionBy(stratum).orderBy("_p")
     n = df.count()
     if n <= cap:
         return df
+    keys = df.select(
+        stratum, F.col(key).alias("_k"), keyed_hash(seed, key).alias("_h")
+    ).withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
+    counts = keys.groupBy(stratum, "_p").agg(F.count("*").alias("_n"))
     # a stratum has at most 65,536 prefixes, whatever its size
+    in_stratum = W.partitionBy(stratum)
+    before = in_stratum.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     edges = (
-        counts.withColumn(
-            "_before", F.coalesce(
-                F.sum("_n").over(by_prefix.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-            )
-        )
-        .withColumn("_rows", F.sum("_n").over(W.partitionBy(stratum)))
+        counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_rows", F.sum("_n").over(in_stratum))
         .withColumn("_quota", F.floor(F.col("_rows") * cap / F.lit(n)))
-        .where((F.col("_before") <= F.col("_quota")) & (F.col("_quota") < F.col("_before") + F.col("_n")))
-        .select(
-            stratum,
-            F.col("_p").alias("_edge"),
-            (F.col("_quota") - F.col("_before")).alias("_left"),
-            "_rows",
+        .where(
+            (F.col("_before") < F.col("_quota"))
+            & (F.col("_quota") <= F.col("_before") + F.col("_n"))
         )
+        .select(stratum, "_p", (F.col("_quota") - F.col("_before")).alias("_left"), "_rows")
     )
-    placed = attach_by_key(hashed, edges, [stratum], "_rows").where(F.col("_p") <= F.col("_edge"))
-    rank = F.row_number().over(W.partitionBy(stratum, "_p").orderBy("_h", key))
-    clear = placed.where(F.col("_p") < F.col("_edge"))
-    at_edge = (
-        placed.where(F.col("_p") == F.col("_edge"))
+    rank = F.row_number().over(W.partitionBy(stratum, "_p").orderBy("_h", "_k"))
+    cuts = (
+        keys.join(edges, [stratum, "_p"])
         .withColumn("_rank", rank)
-        .where(F.col("_rank") <= F.col("_left"))
-        .drop("_rank")
+        .where(F.col("_rank") == F.col("_left"))
+        .select(stratum, F.col("_h").alias("_cut_h"), F.col("_k").alias("_cut_k"), "_rows")
+    )
+    hashed = df.withColumn("_h", keyed_hash(seed, key))
+    chosen = _up_to(F.col(key), F.col("_cut_h"), F.col("_cut_k"))
+    return (
+        attach_by_key(hashed, cuts, [stratum], "_rows")
+        .where(chosen)
+        .drop("_h", "_cut_h", "_cut_k", "_rows")
     )
-    return clear.unionByName(at_edge).drop("_h", "_p", "_edge", "_left", "_rows")
