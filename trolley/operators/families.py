@@ -60,7 +60,7 @@ def sort_products(products: DataFrame, metric: Metric = JACCARD_WORDS) -> DataFr
             "bits2": second_conflict_bits(F.col("product_name")),
         }
     )
-    return written(with_positions(prepared, ["sort_key", "product_id"], "pos"), "sorted-products")
+    return with_positions(prepared, ["sort_key", "product_id"], "pos")
 
 
 def candidate_pairs(

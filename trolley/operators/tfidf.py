@@ -54,27 +54,47 @@ def with_bigrams(words: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str, stop_words: list[str]) -> DataFrame:
-    """(id, term, tf): one row per distinct term of each text, counted map-side."""
-    terms = with_bigrams(F.col("_words"))
-    return (
-        docs.select(
-            F.col(id_col).alias("id"), tokens(F.col(text_col), stop_words).alias("_words")
-        )
-        .select("id", F.explode(terms).alias("term"))
-        .groupBy("id", "term")
-        .agg(F.count("*").alias("tf"))
+def document_terms(
+    docs: DataFrame, id_col: str, text_col: str, stop_words: list[str]
+) -> DataFrame:
+    """(id, terms): all words and word pairs of each text, repeats included."""
+    words = docs.select(
+        F.col(id_col).alias("id"), tokens(F.col(text_col), stop_words).alias("_words")
+    )
+    return words.select("id", with_bigrams(F.col("_words")).alias("terms"))
+
+
+def term_statistics(documents: DataFrame) -> DataFrame:
+    """(term, df, total_tf) with one shuffle, by term.
+
+    A text's terms are sorted in place, so the first of equal ones marks the
+    document and no (document, term) pair has to be shuffled. The outer explode
+    keeps the planner from adding a not-empty filter that tokenises again.
+    """
+    ordered = documents.select(F.sort_array("terms").alias("t"))
+    marked = ordered.select(
+        F.explode_outer(
+            F.transform(
+                "t",
+                lambda term, i: F.struct(
+                    term.alias("term"),
+                    ((i == 0) | (F.get(F.col("t"), i - 1) != term)).alias("is_first"),
+                ),
+            )
+        ).alias("m")
+    )
+    present = marked.where(F.col("m").isNotNull())
+    return present.groupBy(F.col("m.term").alias("term")).agg(
+        F.count_if("m.is_first").alias("df"), F.count("*").alias("total_tf")
     )
 
 
 def term_vocabulary(
-    counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.8, max_terms: int = 5000
+    statistics: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.8, max_terms: int = 5000
 ) -> DataFrame:
     """(term, idx, df, idf): the most frequent admissible terms, indexed alphabetically."""
     admissible = (
-        counts.groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
-        .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
+        statistics.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n_docs)))
         .orderBy(F.desc("total_tf"), "term")
         .limit(max_terms)
     )
@@ -103,13 +123,23 @@ def tfidf(
     max_df: float = 0.8,
     max_terms: int = 5000,
 ) -> TermVectors:
-    """Unit-length TF-IDF vectors over words and word pairs, with smoothed idf plus one."""
-    counts = written(term_counts(docs, id_col, text_col, stop_words), "term-counts")
+    """Unit-length TF-IDF vectors over words and word pairs, with smoothed idf plus one.
+
+    The texts are read twice, for the vocabulary and for the weights: the second
+    pass only keeps vocabulary terms, which is far less than a stored table of all
+    (document, term) pairs.
+    """
+    documents = document_terms(docs, id_col, text_col, stop_words)
     vocab = written(
-        term_vocabulary(counts, docs.count(), min_df, max_df, max_terms), "term-vocabulary"
+        term_vocabulary(term_statistics(documents), docs.count(), min_df, max_df, max_terms),
+        "term-vocabulary",
     )
-    weights = counts.join(F.broadcast(vocab), "term").select(
-        "id", "idx", (F.col("tf") * F.col("idf")).alias("weight")
+    weights = (
+        documents.select("id", F.explode_outer("terms").alias("term"))
+        .join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
+        .groupBy("id", "idx", "idf")
+        .agg(F.count("*").alias("tf"))
+        .select("id", "idx", (F.col("tf") * F.col("idf")).alias("weight"))
     )
     return TermVectors(vocab, unit_length(weights))
 
