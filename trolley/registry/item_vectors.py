@@ -454,7 +454,7 @@ def _coherence(spark: SparkSession, sf: str) -> DataFrame:
     departments = table(spark, sf, "part").select(
         F.col("p_partkey").alias("item_id"), F.col("p_type").alias("department")
     )
-    items = vectors(spark, sf).join(departments, "item_id")
+    items = vectors(spark, sf).join(departments, "item_id", "left")
     return cl.cluster_coherence(items, "label", "department")
 
 
