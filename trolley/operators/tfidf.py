@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trolley.operators.catalogue import with_product_text
-from trolley.storage import written
+from trolley.storage import balanced, written
 
 # Substrings that set the categorical flags, in vector order.
 DEPARTMENT_FLAGS = ["produce", "dairy", "meat", "bakery", "frozen", "beverages", "snacks"]
@@ -129,9 +129,10 @@ def tfidf(
     pass only keeps vocabulary terms, which is far less than a stored table of all
     (document, term) pairs.
     """
-    documents = document_terms(docs, id_col, text_col, stop_words)
+    texts, n_docs = balanced(docs.select(id_col, text_col), id_col)
+    documents = document_terms(texts, id_col, text_col, stop_words)
     vocab = written(
-        term_vocabulary(term_statistics(documents), docs.count(), min_df, max_df, max_terms),
+        term_vocabulary(term_statistics(documents), n_docs, min_df, max_df, max_terms),
         "term-vocabulary",
     )
     weights = (

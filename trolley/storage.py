@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dir: str | None = None
 
@@ -44,6 +45,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def balanced(df: DataFrame, *keys: str) -> tuple[DataFrame, int]:
+    """``df`` over enough partitions for costly per-row work, and its row count.
+
+    One count by partition tells both. Input with fewer filled partitions than the
+    cluster has cores (a few files, one row group) is redistributed; large input has
+    plenty of partitions and stays where it is.
+    """
+    per_part = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    parts, rows = per_part.agg(F.count("*"), F.sum("n")).first()
+    if parts < df.sparkSession.sparkContext.defaultParallelism:
+        df = spread(df, *keys)
+    return df, rows or 0
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
