@@ -35,7 +35,7 @@ from trolley.functions.similarity import (
 from trolley.functions.text import clean_for_comparison, title_case
 from trolley.operators.catalogue import with_key_terms
 from trolley.operators.position import add_offsets, with_positions
-from trolley.storage import written
+from trolley.storage import spread, written
 
 WINDOW = 100
 BLOCK_ROWS = 50_000
@@ -89,7 +89,8 @@ def candidate_pairs(
         F.col("department").alias("dept1"),
         "bits1",
     )
-    near = left.join(right, "bucket").where(
+    # the join needs both sides by bucket anyway; fixed partitions keep comparisons spread
+    near = spread(left, "bucket").join(spread(right, "bucket"), "bucket").where(
         (F.col("j") > F.col("i"))
         & (F.col("j") <= F.col("i") + window)
         & (F.col("bits1").bitwiseAND(F.col("bits2")) == 0)

@@ -218,7 +218,7 @@ def sample_candidates(
     random stream. Cases with fewer than ``n`` admissible items are left out; see
     ``skipped_cases``. Cases still short after a read of the stream get a longer one.
     """
-    places = written(with_positions(catalogue.select("item_id").distinct(), ["item_id"]), "places")
+    places = with_positions(catalogue.select("item_id").distinct(), ["item_id"])
     n_items = places.count()
     if n_items == 0:
         raise ValueError("the catalogue is empty")
