@@ -130,8 +130,9 @@ def cluster_coherence(
     """(cluster, cluster_size, category, coherence): the category most common among
     the ``inspected`` rows nearest to the centre, and its share of them.
 
-    Rows without a category count for the centre but are not inspected. The rank limit is applied in part before the shuffle, so a large cluster sends
-    only its nearest rows.
+    Rows without a category count for the centre but are not inspected. The rank
+    limit is applied in part before the shuffle, so a large cluster sends only its
+    nearest rows.
     """
     placed = with_centre_distance(vectors, cluster, col).where(F.col(category).isNotNull())
     rank = F.row_number().over(W.partitionBy("cluster").orderBy("sq_distance", id_col))
