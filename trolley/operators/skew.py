@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from trolley.storage import written
 
-# a key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
-# fewer than HOT_SHARE hot keys whatever the data
-HOT_SHARE = 500
-
-
 def attach_by_key(
     df: DataFrame,
     stats: DataFrame,
@@ -22,24 +17,26 @@ def attach_by_key(
 ) -> DataFrame:
     """Join ``stats`` (one row per key) to ``df`` without sending a hot key to one task.
 
-    ``rows_col`` of ``stats`` holds the number of rows per key. Hot keys, at most
-    ``HOT_SHARE`` by construction, are joined by broadcast and their rows never
-    shuffle; the others take an ordinary join. ``stats`` is read several times, so
-    it is written first unless it is ``cheap`` to read again.
+    ``rows_col`` of ``stats`` holds the number of rows per key; a missing or zero count
+    is that of an ordinary key. A key is hot when it holds more than an even share of a
+    shuffle partition, so there are fewer hot keys than shuffle partitions whatever the
+    data. Hot keys are joined by broadcast and their rows never shuffle; the others take
+    an ordinary join. ``stats`` is read several times, so it is written first unless it
+    is ``cheap`` to read again.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
     if not cheap:
         stats = written(stats, "key-stats")
-    total, largest = stats.agg(F.sum(rows_col), F.max(rows_col)).first()
-    if total is None or largest * HOT_SHARE <= total:
+    total, largest, n_keys = stats.agg(F.sum(rows_col), F.max(rows_col), F.count("*")).first()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as few keys as there could be hot ones: one broadcast of them all is the whole job
+    if n_keys <= parts:
+        return df.join(F.broadcast(stats), keys, how)
+    if not total or largest * parts <= total:
         return df.join(stats, keys, how)
-    is_hot = F.col(rows_col) * HOT_SHARE > F.lit(total)
-    hot = stats.where(is_hot)
-    # a tiny table makes every key hot; one broadcast join is then the whole job
-    if total <= HOT_SHARE:
-        return df.join(F.broadcast(hot), keys, how)
-    warm = stats.where(~is_hot)
+    is_hot = F.coalesce(F.col(rows_col) * parts > F.lit(total), F.lit(False))
+    hot, warm = stats.where(is_hot), stats.where(~is_hot)
     hot_rows = df.join(F.broadcast(hot), keys, "inner")
     other_rows = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(warm, keys, how)
     return hot_rows.unionByName(other_rows)
