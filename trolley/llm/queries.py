@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trolley.llm import mixing, packing
+from trolley.llm import mixing, near_duplicates, packing, suffix_dedup
 from trolley.registry.inputs import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,3 +39,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_source_mixing", mixing.ORACLE)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    likeness = near_duplicates.Likeness(words=4, num=85)
+    found = near_duplicates.classes(table(spark, sf_dir, "documents"), likeness)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("content")
