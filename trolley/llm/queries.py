@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trolley.llm import mixing, near_duplicates, packing, suffix_dedup
+from trolley.llm import mixing, near_duplicates, packing, quality, suffix_dedup, toxicity
 from trolley.registry.inputs import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,3 +51,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_array_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("content")
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
