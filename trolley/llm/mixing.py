@@ -136,9 +136,9 @@ def mix_sources(
     max_repeat: int = MAX_REPEAT,
     seed: int = SEED,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target and ``taken``.
+    """One row per row of ``docs``: id, size, source_size, target, ``taken`` and ``copies``.
 
-    ``size`` defaults to the words of ``text``. ``taken`` is a multiple of the size, from
+    ``copies`` is how often the mix takes the row, ``taken`` the words that makes. ``size`` defaults to the words of ``text``. ``taken`` is a multiple of the size, from
     0 to ``max_repeat`` times it. Null or empty texts have size 0 and are taken as 0; a
     null id is an id like any other, a null source is the last source. Rows with equal
     ids share a hash, so repeated rows are taken alike; sizes of all rows count. An empty
@@ -168,6 +168,7 @@ def mix_sources(
         "source_size",
         "target",
         (F.col("size") * times).alias("taken"),
+        times.cast("int").alias("copies"),
         *(carry or {}).values(),
     )
 
@@ -203,9 +204,20 @@ summed AS (
     sum(size) OVER (PARTITION BY no_source, src ORDER BY hash) AS upto,
     sum(size) OVER (PARTITION BY no_source, src, hash) AS same
   FROM sized JOIN budgets USING (no_source, src))
-SELECT doc_id, size, source_size, target, (size * (whole + CASE
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies
+FROM (SELECT *, (whole + CASE
     WHEN upto <= rest THEN 1
     WHEN upto - same <= rest AND (rest - (upto - same)) * 2 > same THEN 1
-    ELSE 0 END))::BIGINT AS taken
-FROM summed
+    ELSE 0 END)::INTEGER AS copies
+  FROM summed)
 """
+
+
+def mixed_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
+) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them, all columns: none, once or several times."""
+    carry = {c: f"kept_{i}" for i, c in enumerate(docs.columns)}
+    mix = mix_sources(docs, id_col, source_col, word_count(text_col), carry, **options)
+    repeated = mix.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return repeated.select(*[F.col(name).alias(c) for c, name in carry.items()])

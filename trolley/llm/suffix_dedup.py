@@ -281,24 +281,10 @@ def shard_windows(texts: DataFrame, window: int, gram: int, shard_bytes: int) ->
     )
 
 
-def remove_repeats(
-    docs: DataFrame,
-    window: int = WINDOW,
-    gram: int = GRAM,
-    shard_bytes: int = SHARD_BYTES,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    with_text: bool = False,
-) -> DataFrame:
-    """Remove every byte of a ``window``-byte string that also starts elsewhere in the table.
-
-    Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of
-    the remaining bytes, content (a hash of the text) and, ``with_text``, the kept bytes
-    (null where nothing was removed). Strings are judged on the input, overlaps count,
-    matches never cross texts; null and empty texts have no bytes. Rows equal in id and
-    text remove each other's strings like any other copies. Other columns are not read,
-    and an empty table gives an empty result.
-    """
+def _removals(
+    docs: DataFrame, window: int, gram: int, shard_bytes: int, id_col: str, text_col: str, with_text: bool
+) -> tuple[DataFrame, DataFrame]:
+    """The run table, and per text that loses bytes what it loses and keeps."""
     table = run_table(docs, window, gram, id_col, text_col)
     flags = repeated_runs(table)
     shards = shard_windows(texts_of(docs, flags, id_col, text_col), window, gram, shard_bytes)
@@ -339,7 +325,7 @@ def remove_repeats(
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = data[~gone].tobytes()
                 spans_here = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                rows.append((int(gone.sum()), spans_here, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                rows.append((int(gone.sum()), spans_here, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -347,25 +333,63 @@ def remove_repeats(
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int64()),
                     pa.array([r[2] for r in rows], pa.string()),
-                    pa.array([r[3] for r in rows], pa.binary()),
+                    pa.array([r[3] for r in rows], pa.string()),
                 ],
                 names=["doc_id", "content", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
     removed = texts_of(docs, spans, id_col, text_col).select("doc_id", "content", "starts", "ends", "more", "text").mapInArrow(
-        cut, f"doc_id {kind}, content bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+        cut, f"doc_id {kind}, content bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
     )
+    digests = ["n_removed", "n_spans", "kept_sha256"]
     one = removed.groupBy("doc_id", "content").agg(
-        *[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "kept")]
-    ) if with_text else removed.drop("kept").dropDuplicates(["doc_id", "content"])
-    one = one.select(F.col("doc_id").alias("own_id"), F.col("content").alias("own_content"), *[c for c in one.columns if c not in ("doc_id", "content")])
+        *[F.first(c).alias(c) for c in (digests + ["kept"] if with_text else digests)]
+    )
+    return table, one.withColumnRenamed("doc_id", "own_id").withColumnRenamed("content", "own_content")
+
+
+def remove_repeats(
+    docs: DataFrame,
+    window: int = WINDOW,
+    gram: int = GRAM,
+    shard_bytes: int = SHARD_BYTES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Remove every byte of a ``window``-byte string that also starts elsewhere in the table.
+
+    Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256
+    of the remaining bytes. Strings are judged on the input, overlaps count, matches
+    never cross texts; null and empty texts have no bytes. Rows equal in id and text
+    remove each other's strings like any other copies. Other columns are not read, and
+    an empty table gives an empty result.
+    """
+    table, one = _removals(docs, window, gram, shard_bytes, id_col, text_col, False)
     same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("content") == F.col("own_content"))
     return table.select("doc_id", "content", "n_bytes", "sha").join(one, same, "left").select(
         "doc_id",
-        "content",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
-        *(["kept"] if with_text else []),
     )
+
+
+def without_repeats(
+    docs: DataFrame,
+    window: int = WINDOW,
+    gram: int = GRAM,
+    shard_bytes: int = SHARD_BYTES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, with the text that ``remove_repeats`` leaves.
+
+    A character that loses some of its bytes goes as a whole.
+    """
+    _, one = _removals(docs, window, gram, shard_bytes, id_col, text_col, True)
+    one = one.select(F.col("own_id").alias("_own_id"), F.col("own_content").alias("_own_content"), F.col("kept").alias("_kept"))
+    same = F.col(id_col).eqNullSafe(F.col("_own_id")) & (content_hash(text_col) == F.col("_own_content"))
+    joined = docs.join(one, same, "left")
+    kept = F.coalesce(joined["_kept"], joined[text_col]).alias(text_col)
+    return joined.select(*[kept if c == text_col else joined[c] for c in docs.columns])
