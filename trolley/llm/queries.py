@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trolley.llm import mixing, near_duplicates, packing, quality, suffix_dedup, toxicity
+from trolley.llm import (
+    fingerprints,
+    licenses,
+    mixing,
+    near_duplicates,
+    packing,
+    quality,
+    suffix_dedup,
+    topk,
+    toxicity,
+)
 from trolley.registry.inputs import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,3 +78,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query("op2_exact_top_k", topk.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op7_document_fingerprints")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
