@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trolley.llm import (
+    extraction,
     fingerprints,
     licenses,
     mixing,
@@ -94,3 +95,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_document_fingerprints")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
