@@ -141,13 +141,11 @@ def article(page: str, container: str | None, constant: set[int]) -> str:
         named = [n for n in nodes if n.tag in ("article", "main") and not n.outside]
         inside = {n.number for n in named[:1]}
     if inside:
-        kept = [r for r in runs if not r.node.outside and (r.node.number in inside or not inside.isdisjoint(r.node.parents))]
-        # a container that is no article by its name may hold constant text of the template
-        if all(nodes[i].tag in ("article", "main") for i in inside):
-            return "\n\n".join(blocks(iter(kept)))
-    else:
-        kept = [r for r in runs if not r.node.outside]
-    return "\n\n".join(blocks(r for r in kept if not r.text.strip() or _text_token(r) not in constant))
+        kept = (r for r in runs if not r.node.outside and (r.node.number in inside or not inside.isdisjoint(r.node.parents)))
+        return "\n\n".join(blocks(kept))
+    # no container holds the slots: all of the page but the template's constant text
+    kept = (r for r in runs if not r.node.outside and (not r.text.strip() or _text_token(r) not in constant))
+    return "\n\n".join(blocks(kept))
 
 
 def extract(

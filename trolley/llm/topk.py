@@ -91,8 +91,9 @@ def _wide(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k
     """The same for components whose products do not fit 64 bits; scores stop at 64 bits."""
     width = min(len(query), rows.shape[0])
     scores = query[:width].astype(object) @ rows[:width].astype(object) if width else np.zeros(len(ids), object)
+    scores = [max(-_LONG - 1, min(_LONG, int(s))) for s in scores]
     found = sorted((-s, i, at) for at, (s, i) in enumerate(zip(scores, ids.tolist(), strict=True)) if i != query_id)[:k]
-    return [f[2] for f in found], [max(-_LONG - 1, min(_LONG, int(-f[0]))) for f in found]
+    return [f[2] for f in found], [-f[0] for f in found]
 
 
 def top_k(
@@ -109,7 +110,7 @@ def top_k(
     null, without an id, or hold a null or non-finite component take no part. Terms that
     one of two vectors lacks add nothing. A query's own id is no answer to it; an id that
     occurs several times answers as often, and asks once, with its least vector. Ties go
-    to the smaller id. Other columns are not read; empty tables give an empty result.
+    to the smaller id; a score beyond 64 bits is the largest (or least) of them. Other columns are not read; empty tables give an empty result.
     """
     rows = written(
         whole_numbers(vectors, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()), "vectors"

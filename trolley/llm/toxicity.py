@@ -166,7 +166,7 @@ def fit(texts: DataFrame) -> Ratios:
     best = np.sort(best[strength[best] >= LEAST_STRENGTH])
     model = Ratios(bucket[best], ratio[best], np.ones(len(best)), 0.0)
     if not len(best):
-        return Ratios(model.buckets, model.ratios, model.weights, -2.0)
+        return Ratios(model.buckets, model.ratios, model.weights, 2.0 if toxic.sum() > clean.sum() else -2.0)
     label, row, feature = _sample_pairs(texts, model)
     if label.all() or not label.any():
         return Ratios(model.buckets, model.ratios, model.weights * 0, 2.0 if label.any() else -2.0)
