@@ -84,7 +84,7 @@ def test_scarce_catalogue(spark):
     users = {r.user_id: r.candidates for r in got.collect() if r.positive_item == 500}
     assert set(users) == {1}
     assert len(set(users[1])) == 55 and all(c % 10 == 0 for c in users[1])
-    assert rk.skipped_cases(found, 60, 54).first()[0] >= 1
+    assert rk.skipped_cases(found, items, 54).first()[0] >= 1
 
 
 def test_shared_and_joined_scores_agree(spark, crowd, vectors):
@@ -164,3 +164,28 @@ def test_nearest_items_in_blocks(spark, crowd, vectors):
         want = np.argsort(-(unit @ local[user]), kind="stable")[:7].tolist()
         got = whole.where(F.col("user_id") == user).orderBy("rank").collect()
         assert [r.item_id for r in got] == want
+
+
+def test_items_and_users_without_vectors(spark):
+    """Candidates and profiles without a vector score zero, on both paths."""
+    vectors = spark.createDataFrame(
+        [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (3, [1.0, 1.0]), (9, [-1.0, 0.0])], "item_id bigint, embedding array<double>"
+    )
+    history = spark.createDataFrame([(1, 0), (2, 77)], "user_id bigint, item_id bigint")
+    candidates = spark.createDataFrame(
+        [(1, 2, [2, 0, 9, 1]), (1, 50, [50, 9, 0]), (2, 5, [5, 0, 9, 3])],
+        "user_id bigint, positive_item bigint, candidates array<bigint>",
+    )
+    for limit in (rk.SHARED_MATRIX_BYTES, 0):
+        ranked = rk.positive_ranks(rk.rank_embedding(history, vectors, limit_bytes=limit)(candidates))
+        got = {(r.user_id, r.positive_item): r["rank"] for r in ranked.collect()}
+        assert got == {(1, 2): 3, (1, 50): 2, (2, 5): 3}
+
+
+def test_foreign_items_block_nothing(spark):
+    items = spark.createDataFrame([(i,) for i in range(25)], "item_id bigint")
+    rows = [(1, [list(range(100, 130)), [0, 1]], [2, 200])]
+    found = rk.evaluation_cases(from_rows(spark, rows))
+    got = {r.positive_item: r.candidates for r in rk.sample_candidates(found, items, n=10).collect()}
+    assert {len(set(c)) for c in got.values()} == {11} and 200 in got
+    assert rk.skipped_cases(found, items, 10).first()[0] == 0

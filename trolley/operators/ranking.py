@@ -185,7 +185,7 @@ def _joined_negatives(cases: DataFrame, history: DataFrame, stream: DrawStream)
     )
     free = (
         drawn.withColumn("pos", stream.at(F.col("k")))
-        .where(F.col("pos") != F.col("positive_pos"))
+        .where(~F.col("pos").eqNullSafe(F.col("positive_pos")))
         .join(history, ["user_id", "pos"], "left_anti")
         .groupBy("user_id", "positive_item", "pos")
         .agg(F.min("k").alias("k"))
@@ -216,7 +216,9 @@ def sample_candidates(
     Negatives are uniform without replacement over ``catalogue`` (item_id) minus the
     history and the positive: the first ``n`` admissible values of the case's own
     random stream. Cases with fewer than ``n`` admissible items are left out; see
-    ``skipped_cases``. Cases still short after a read of the stream get a longer one.
+    ``skipped_cases``. History items and positives outside the catalogue block nothing;
+    such a positive is ranked all the same. Cases still short after a read of the stream
+    get a longer one.
     """
     places = with_positions(catalogue.select("item_id").distinct(), ["item_id"])
     n_items = places.count()
@@ -225,12 +227,9 @@ def sample_candidates(
     history = written(
         evaluation.history.join(places, "item_id").select("user_id", "pos"), "history-places"
     )
-    positives = places.select(
-        F.col("item_id").alias("positive_item"), F.col("pos").alias("positive_pos")
-    )
     placed = written(
-        evaluation.cases.where(F.col("history_size") + 1 + n <= n_items)
-        .join(positives, "positive_item")
+        _placed_cases(evaluation, places, history)
+        .where(F.col("blocked_items") + n <= n_items)
         .select(*CASE_COLUMNS),
         "case-places",
     )
@@ -266,10 +265,31 @@ def sample_candidates(
     return _with_items(done, places)
 
 
+def _placed_cases(evaluation: Evaluation, places: DataFrame, history: DataFrame) -> DataFrame:
+    """Cases with the positive's place (null outside the catalogue) and what they block.
+
+    ``history_size`` becomes the number of history items inside the catalogue.
+    """
+    inside = history.groupBy("user_id").agg(F.count("*").alias("_inside"))
+    per_user = evaluation.cases.groupBy("user_id").agg(F.count("*").alias("_rows"))
+    sizes = per_user.join(inside, "user_id", "left")
+    positives = places.select(
+        F.col("item_id").alias("positive_item"), F.col("pos").alias("positive_pos")
+    )
+    size = F.coalesce("_inside", F.lit(0)).cast("bigint")
+    return (
+        attach_by_key(evaluation.cases.drop("history_size"), sizes, ["user_id"], "_rows")
+        .join(positives, "positive_item", "left")
+        .withColumn("history_size", size)
+        .withColumn("blocked_items", size + F.col("positive_pos").isNotNull().cast("int"))
+        .drop("_inside", "_rows")
+    )
+
+
 def _with_items(found: DataFrame, places: DataFrame) -> DataFrame:
     """Turn catalogue positions back into item ids, the positive first."""
     low, high, rows = places.agg(F.min("item_id"), F.max("item_id"), F.count("*")).first()
-    if high - low + 1 == rows:
+    if rows and high - low + 1 == rows:
         # ids without gaps: position and id differ by a constant
         items = F.transform("negatives", lambda p: p + F.lit(low))
     else:
@@ -290,10 +310,16 @@ def _with_items(found: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
-def skipped_cases(evaluation: Evaluation, n_items: int, n: int = NEGATIVES) -> DataFrame:
-    """One row: cases without enough admissible negatives."""
-    short = F.col("history_size") + 1 + n > n_items
-    return evaluation.cases.agg(F.count_if(short).alias("skipped"))
+def skipped_cases(
+    evaluation: Evaluation, catalogue: DataFrame, n: int = NEGATIVES
+) -> DataFrame:
+    """One row: cases without enough admissible negatives in ``catalogue`` (item_id)."""
+    items = catalogue.select("item_id").distinct()
+    n_items = items.count()
+    places = items.withColumn("pos", F.col("item_id"))
+    history = evaluation.history.join(items, "item_id").select("user_id")
+    short = F.col("blocked_items") + n > n_items
+    return _placed_cases(evaluation, places, history).agg(F.count_if(short).alias("skipped"))
 
 
 def rank_random(seed: int = 42) -> Ranker:
@@ -395,9 +421,13 @@ def unit_rows(values: np.ndarray) -> np.ndarray:
     return values / np.where(length == 0, 1.0, length)
 
 
-def _profile_matrix(batch: pa.RecordBatch) -> np.ndarray:
-    flat = batch.column("profile").flatten().to_numpy()
-    return unit_rows(flat.reshape(batch.num_rows, -1))
+def _profile_matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """Unit profiles; a missing one is the zero vector."""
+    profiles = batch.column("profile")
+    known = np.asarray(profiles.is_valid())
+    out = np.zeros((batch.num_rows, width))
+    out[known] = profiles.drop_null().flatten().to_numpy().reshape(-1, width)
+    return unit_rows(out)
 
 
 def _score_in_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -408,10 +438,12 @@ def _score_in_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 continue
             lists = batch.column("candidates")
             offsets = lists.offsets.to_numpy()
-            items = np.searchsorted(ids, lists.flatten().to_numpy())
+            wanted = lists.flatten().to_numpy()
+            items = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
             owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            profiles = _profile_matrix(batch)
+            profiles = _profile_matrix(batch, unit.shape[1])
             values = np.einsum("ij,ij->i", unit[items], profiles[owner])
+            values[ids[items] != wanted] = 0.0
             scores = pa.ListArray.from_arrays(
                 pa.array((offsets - offsets[0]).astype("int32")), pa.array(values)
             )
@@ -431,15 +463,17 @@ def rank_embedding(
 ) -> Ranker:
     """Scores are cosines between the user's mean history vector and the candidates.
 
-    A profile is made once per user, not per case. An item matrix within the size
-    limit is shared and scored in Arrow batches; a larger one is joined.
+    A candidate without a vector, and every candidate of a user without a profile,
+    scores 0, as the zero vector does. A profile is made once per user, not per case. An
+    item matrix within the size limit is shared and scored in Arrow batches; a larger
+    one is joined.
     """
 
     def rank(candidates: DataFrame) -> DataFrame:
         profiles = user_profiles(history, vectors, col, limit_bytes)
         sizes = candidates.groupBy("user_id").agg(F.count("*").alias("_rows"))
         ready = attach_by_key(
-            candidates, profiles.join(sizes, "user_id"), ["user_id"], "_rows"
+            candidates, sizes.join(profiles, "user_id", "left"), ["user_id"], "_rows"
         ).drop("_rows")
         shared = shared_matrix(vectors, col, limit_bytes)
         if shared is not None:
@@ -462,12 +496,14 @@ def _score_by_join(ready: DataFrame, vectors: DataFrame, col: str) -> DataFrame:
     demand = single.groupBy("item_id").agg(F.count("*").alias("_rows"))
     scored = attach_by_key(
         single,
-        vectors.select("item_id", F.col(col).alias("_v")).join(demand, "item_id"),
+        demand.join(vectors.select("item_id", F.col(col).alias("_v")), "item_id", "left"),
         ["item_id"],
         "_rows",
     ).select(
         "user_id", "positive_item", "k", "item_id",
-        cosine(F.col("profile"), F.col("_v")).alias("score"),
+        F.when(F.col("profile").isNull() | F.col("_v").isNull(), F.lit(0.0))
+        .otherwise(cosine(F.col("profile"), F.col("_v")))
+        .alias("score"),
     )
     listed = scored.groupBy("user_id", "positive_item").agg(
         F.sort_array(F.collect_list(F.struct("k", "item_id", "score"))).alias("c")
@@ -513,13 +549,22 @@ def method_metrics(ranks: DataFrame, method: str, k: int = TOP_K) -> DataFrame:
     )
 
 
-def evaluate(candidates: DataFrame, rankers: dict[str, Ranker], k: int = TOP_K) -> DataFrame:
-    """One metrics row per ranker, all on the same candidates."""
+def evaluate(
+    candidates: DataFrame,
+    rankers: dict[str, Ranker],
+    k: int = TOP_K,
+    skipped: DataFrame | None = None,
+) -> DataFrame:
+    """One metrics row per ranker, all on the same candidates.
+
+    ``skipped`` (one row, from ``skipped_cases``) becomes a column of each.
+    """
     out = None
     for method, ranker in rankers.items():
         row = method_metrics(positive_ranks(ranker(candidates)), method, k)
         out = row if out is None else out.unionByName(row)
-    return out
+    # one row of one number
+    return out if skipped is None else out.join(F.broadcast(skipped), how="cross")
 
 
 # The percent bounds of the sanity verdicts.

@@ -23,6 +23,7 @@ from trolley.operators.ranking import (
     rank_frequency,
     rank_random,
     sample_candidates,
+    skipped_cases,
 )
 from trolley.operators.split import assign_split
 from trolley.operators.tfidf import STOP_WORDS, TermVectors, similarity_vectors
@@ -173,4 +174,5 @@ def compare_rankers(
         "embedding": rank_embedding(cases.history, vectors),
         "reduced": rank_embedding(cases.history, reduced, "reduced"),
     }
-    return cases, compare(evaluate(candidates, rankers, k))
+    skipped = skipped_cases(cases, vectors, n_negatives)
+    return cases, compare(evaluate(candidates, rankers, k, skipped))

@@ -93,7 +93,7 @@ def leakage_count(spark: SparkSession, sf: str) -> DataFrame:
       history_size + 1 + 99 > (SELECT count(*) FROM vectors)) AS skipped FROM cases""",
 )
 def skipped_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return rk.skipped_cases(_evaluation(spark, sf), vectors(spark, sf).count())
+    return rk.skipped_cases(_evaluation(spark, sf), vectors(spark, sf))
 
 
 _DRAW = long_of("md5(concat_ws('|', '42', user_id, positive_item, k))")
@@ -191,6 +191,64 @@ def ranks_embedding_joined(spark: SparkSession, sf: str) -> DataFrame:
     return rk.positive_ranks(ranker(candidates))
 
 
+# cases over everything sold, whether or not the catalogue or the vectors know it
+_OPEN_USAGE_SQL = _USAGE_SQL.replace(" WHERE item_id IN (SELECT item_id FROM vectors)", "")
+
+
+def _open_candidates_sql(catalogue: str) -> str:
+    rest = _CANDIDATES_SQL.removeprefix(_USAGE_SQL)
+    drawable = """inside AS (
+  SELECT user_id, count(*) AS n FROM history JOIN places USING (item_id) GROUP BY user_id),
+drawable AS (
+  SELECT c.user_id, c.positive_item FROM cases c LEFT JOIN inside USING (user_id)
+  WHERE coalesce(n, 0) + (positive_item IN (SELECT item_id FROM places))::INTEGER + 99
+    <= (SELECT count(*) FROM places)),
+draws AS ("""
+    start, stop = rest.index("drawable AS"), rest.index("draws AS (") + len("draws AS (")
+    opened = rest[:start] + drawable + rest[stop:]
+    return f"{_OPEN_USAGE_SQL}{opened.replace('FROM vectors),', f'FROM {catalogue}),')}"
+
+
+def _open_evaluation(spark: SparkSession, sf: str) -> rk.Evaluation:
+    return rk.evaluation_cases(baskets(spark, sf))
+
+
+@query(
+    "ranking_candidates_foreign",
+    f"""{_open_candidates_sql('vectors')}
+    SELECT user_id, positive_item, item_id FROM candidates""",
+)
+def ranking_candidates_foreign(spark: SparkSession, sf: str) -> DataFrame:
+    """Histories and positives with items that the catalogue does not have."""
+    return rk.sample_candidates(_open_evaluation(spark, sf), vectors(spark, sf)).select(
+        "user_id", "positive_item", F.explode("candidates").alias("item_id")
+    )
+
+
+_GAPS_SQL = f"""{_open_candidates_sql('vocab')}, {_EMBEDDING_SQL.split('scored AS')[0]}scored AS (
+  SELECT c.user_id, positive_item, item_id, coalesce(list_cosine_similarity(p, v), 0) AS score
+  FROM candidates c LEFT JOIN profiles USING (user_id) LEFT JOIN vectors USING (item_id)),
+{_RANKS_SQL} SELECT user_id, positive_item, rank::INTEGER AS rank FROM ranks"""
+
+
+def _ranks_with_gaps(spark: SparkSession, sf: str, limit_bytes: int) -> DataFrame:
+    cases = _open_evaluation(spark, sf)
+    sold = distinct_items(basket_items(spark, sf))
+    ranker = rk.rank_embedding(cases.history, vectors(spark, sf), limit_bytes=limit_bytes)
+    return rk.positive_ranks(ranker(rk.sample_candidates(cases, sold)))
+
+
+@query("ranks_embedding_gaps", _GAPS_SQL)
+def ranks_embedding_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates from everything sold, of which only some items have vectors."""
+    return _ranks_with_gaps(spark, sf, rk.SHARED_MATRIX_BYTES)
+
+
+@query("ranks_embedding_gaps_joined", _GAPS_SQL)
+def ranks_embedding_gaps_joined(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranks_with_gaps(spark, sf, 0)
+
+
 @query("ranks_reduced")
 def ranks_reduced(spark: SparkSession, sf: str) -> DataFrame:
     items = vectors(spark, sf)
@@ -228,10 +286,15 @@ def _results(spark: SparkSession, sf: str) -> DataFrame:
             "frequency": rk.rank_frequency(cases.history),
             "embedding": rk.rank_embedding(cases.history, vectors(spark, sf)),
         },
+        skipped=rk.skipped_cases(cases, vectors(spark, sf)),
     )
 
 
-@query("method_metrics", f"{_metrics_sql()} SELECT * FROM results")
+@query(
+    "method_metrics",
+    f"""{_metrics_sql()} SELECT *, (SELECT count(*) FROM cases)
+      - (SELECT count(*) FROM drawable) AS skipped FROM results""",
+)
 def method_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _flat_metrics(_results(spark, sf))
 
