@@ -1,12 +1,14 @@
 """Removing byte strings that occur more than once, by suffix arrays of shards.
 
-1. Each text is cut into runs of windows that share their least hash of ``GRAM`` bytes.
-   Equal windows have equal least hashes, so only runs whose hash occurs again anywhere
-   can hold a window that does. A run whose whole bytes occur again needs no more work.
-2. What is left, mostly the edges of repeated passages, goes to shards of bounded size.
+1. Each text is cut into runs of windows that share their least hash of 50 bytes. Equal
+   windows have equal least hashes, so only runs whose hash occurs again anywhere can
+   hold a window that does. A run whose whole bytes occur again needs no more work.
+2. The undecided windows are cut again by their least hash of 150 bytes, which leaves
+   out short phrases and lines that many texts share.
+3. What is left, mostly the edges of repeated passages, goes to shards of bounded size.
    Each builds a suffix array by induced sorting and permuted common prefixes, which
    give the classes of equal windows of the shard.
-3. Classes of different shards are matched by a 128-bit hash of their window.
+4. Classes of different shards are matched by a 128-bit hash of their window.
 
 No group of equal passages is ever gathered: hashes are counted before they are shuffled.
 """
@@ -27,7 +29,7 @@ from trolley.llm.suffixes import common_prefixes, suffix_array
 from trolley.storage import written
 
 WINDOW = 200
-GRAM = 50
+GRAMS = (50, 150)
 SHARD_BYTES = 1 << 20
 
 _U = np.uint64
@@ -52,8 +54,11 @@ class WindowRuns:
     hash, ``count`` the places of that hash in it, ``row`` the text it belongs to.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
-        self.prefix = Prefix(data)
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int, of: WindowRuns | None = None, kept=None
+    ):
+        """All windows, or those of the runs ``kept`` (by number) of ``of``."""
+        self.prefix = of.prefix if of is not None else Prefix(data)
         n, width = len(data), window - gram + 1
         self.first = self.last = self.row = self.count = np.zeros(0, np.int64)
         self.gram = np.zeros(0, np.uint64)
@@ -69,6 +74,11 @@ class WindowRuns:
         np.add.at(valid, offsets[:-1][whole], 1)
         np.add.at(valid, offsets[1:][whole] - window + 1, -1)
         valid = np.cumsum(valid[: n - window + 1]).astype(bool)
+        if of is not None:
+            edge = np.zeros(len(valid) + 1, np.int32)
+            np.add.at(edge, of.first[kept], 1)
+            np.add.at(edge, of.last[kept] + 1, -1)
+            valid &= np.cumsum(edge[:-1]) > 0
         change = np.ones(len(valid), bool)
         change[1:] = (least[1:] != least[:-1]) | ~valid[:-1]
         # texts of exactly one window may lie side by side
@@ -105,6 +115,18 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
+_HASHES = "grams array<bigint>, bodies array<bigint>, places array<int>"
+
+
+def _hash_columns(found: WindowRuns, rows: int, window: int) -> list[pa.Array]:
+    bounds = np.searchsorted(found.row, np.arange(rows + 1))
+    return [
+        _lists(signed(found.gram), bounds),
+        _lists(signed(found.bodies(window)), bounds),
+        _lists(found.count.astype(np.int32), bounds),
+    ]
+
+
 def run_table(docs: DataFrame, window: int, gram: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: row, doc_id, content, n_bytes, sha256 and the hashes of its window runs."""
     kind = dict(docs.dtypes)[id_col]
@@ -114,7 +136,6 @@ def run_table(docs: DataFrame, window: int, gram: int, id_col: str, text_col: st
             for first, data, offsets in slices(batch.column(2)):
                 n = len(offsets) - 1
                 found = WindowRuns(data, offsets, window, gram)
-                bounds = np.searchsorted(found.row, np.arange(n + 1))
                 shas = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -122,21 +143,64 @@ def run_table(docs: DataFrame, window: int, gram: int, id_col: str, text_col: st
                         batch.column(1).slice(first, n),
                         pa.array(np.diff(offsets).astype(np.int64)),
                         pa.array(shas),
-                        _lists(signed(found.gram), bounds),
-                        _lists(signed(found.bodies(window)), bounds),
-                        _lists(found.count.astype(np.int32), bounds),
+                        *_hash_columns(found, n, window),
                     ],
                     names=["doc_id", "content", "n_bytes", "sha", "grams", "bodies", "places"],
                 )
 
-    schema = (
-        f"doc_id {kind}, content bigint, n_bytes bigint, sha string, "
-        "grams array<bigint>, bodies array<bigint>, places array<int>"
-    )
+    schema = f"doc_id {kind}, content bigint, n_bytes bigint, sha string, {_HASHES}"
     rows = docs.select(F.col(id_col).alias("doc_id"), content_hash(text_col).alias("content"), F.col(text_col))
     return written(rows.mapInArrow(build, schema).withColumn("row", F.monotonically_increasing_id()), "window-runs")
 
 
+class _Flags:
+    """Numbers of the whole and the sent runs of a slice, from the flag lists of its rows."""
+
+    def __init__(self, found: WindowRuns, flags: pa.Array):
+        bounds = np.searchsorted(found.row, np.arange(len(flags) + 1))
+        upto = flags.offsets.to_numpy()
+        of = flags.values.slice(upto[0], upto[-1] - upto[0])
+        number = of.field(0).to_numpy().astype(np.int64) + np.repeat(bounds[:-1], np.diff(upto))
+        self.whole = number[of.field(1).to_numpy(zero_copy_only=False)]
+        self.sent = number[of.field(2).to_numpy(zero_copy_only=False)]
+
+
+def _spans(found: WindowRuns, numbers: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """First and last byte of runs, counted from the start of their texts, and bounds by text."""
+    numbers = np.sort(numbers)
+    base = offsets[found.row[numbers]]
+    bounds = np.searchsorted(found.row[numbers], np.arange(len(offsets)))
+    return found.first[numbers] - base, found.last[numbers] + window - base, bounds
+
+
+def finer_table(texts: DataFrame, window: int, grams: tuple[int, int]) -> DataFrame:
+    """Per text: spans of whole repeats, and the hashes of the finer runs of undecided windows."""
+    kind = dict(texts.dtypes)["doc_id"]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in slices(batch.column(3)):
+                n = len(offsets) - 1
+                coarse = WindowRuns(data, offsets, window, grams[0])
+                flags = _Flags(coarse, batch.column(2).slice(first, n))
+                fine = WindowRuns(data, offsets, window, grams[1], coarse, flags.sent)
+                starts, ends, bounds = _spans(coarse, flags.whole, offsets, window)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, n),
+                        batch.column(1).slice(first, n),
+                        _lists(starts.astype(np.int32), bounds),
+                        _lists(ends.astype(np.int32), bounds),
+                        *_hash_columns(fine, n, window),
+                    ],
+                    names=["doc_id", "content", "starts", "ends", "grams", "bodies", "places"],
+                )
+
+    schema = f"doc_id {kind}, content bigint, starts array<int>, ends array<int>, {_HASHES}"
+    found = texts.select("doc_id", "content", "runs", "text").mapInArrow(build, schema)
+    return written(found.withColumn("row", F.monotonically_increasing_id()), "finer-runs")
+
+
 def repeated_runs(table: DataFrame) -> DataFrame:
     """Per text with any: its runs whose hash occurs again; which are whole repeats, which go to shards."""
     every = table.select("row", F.posexplode(F.arrays_zip("grams", "bodies", "places")).alias("run", "of")).select(
@@ -188,7 +252,7 @@ def _shard_classes(parts: list[np.ndarray], window: int) -> tuple[np.ndarray, np
     return sample, sizes, np.stack([one, two]), which
 
 
-def shard_windows(texts: DataFrame, window: int, gram: int, shard_bytes: int) -> DataFrame:
+def shard_windows(texts: DataFrame, window: int, grams: tuple[int, int], shard_bytes: int) -> DataFrame:
     """Per text: covered spans, and the window classes of its undecided runs.
 
     ``starts``/``ends`` are spans of bytes that are certain to go. ``at``, ``one``,
@@ -244,27 +308,23 @@ def shard_windows(texts: DataFrame, window: int, gram: int, shard_bytes: int) ->
             return out
 
         for batch in batches:
-            ids, contents, flags = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            for first, data, offsets in slices(batch.column(3)):
-                found = WindowRuns(data, offsets, window, gram)
-                bounds = np.searchsorted(found.row, np.arange(len(offsets)))
-                for i in range(len(offsets) - 1):
-                    of = flags[first + i].values
-                    number = bounds[i] + of.field(0).to_numpy()
-                    whole = of.field(1).to_numpy(zero_copy_only=False)
-                    start = offsets[i]
-                    spans = [
-                        (int(a - start), int(b - start))
-                        for a, b in zip(found.first[number[whole]], found.last[number[whole]] + window, strict=True)
-                    ]
-                    rest = number[of.field(2).to_numpy(zero_copy_only=False)]
-                    a, b = found.first[rest], found.last[rest]
+            ids, contents = batch.column(0), batch.column(1).to_pylist()
+            for first, data, offsets in slices(batch.column(4)):
+                n = len(offsets) - 1
+                coarse = WindowRuns(data, offsets, window, grams[0])
+                sent = _Flags(coarse, batch.column(2).slice(first, n)).sent
+                fine = WindowRuns(data, offsets, window, grams[1], coarse, sent)
+                flags = _Flags(fine, batch.column(3).slice(first, n))
+                starts, ends, bounds = _spans(fine, flags.whole, offsets, window)
+                opens, closes, rest = _spans(fine, flags.sent, offsets, window)
+                for i in range(n):
+                    spans = list(zip(starts[bounds[i] : bounds[i + 1]].tolist(), ends[bounds[i] : bounds[i + 1]].tolist(), strict=True))
+                    a, b = opens[rest[i] : rest[i + 1]], closes[rest[i] : rest[i + 1]] - window
                     joined = np.flatnonzero(a[1:] > b[:-1] + 1) + 1 if len(a) else a
                     firsts = np.concatenate([a[:1], a[joined]])
-                    lasts = np.concatenate([b[joined - 1], b[-1:]])
-                    regions = [
-                        (int(x - start), data[x : y + window].copy()) for x, y in zip(firsts, lasts, strict=True)
-                    ]
+                    lasts = np.concatenate([b[joined - 1], b[-1:]]) + window
+                    text = data[offsets[i] : offsets[i + 1]]
+                    regions = [(x, text[x:y].copy()) for x, y in zip(firsts.tolist(), lasts.tolist(), strict=True)]
                     held.append((ids.slice(first + i, 1), contents[first + i], spans, regions))
                     size += sum(len(p) for _, p in regions) + 64
                     if size >= shard_bytes:
@@ -277,17 +337,22 @@ def shard_windows(texts: DataFrame, window: int, gram: int, shard_bytes: int) ->
         "at array<int>, one array<bigint>, two array<bigint>, copies array<int>"
     )
     return written(
-        texts.select("doc_id", "content", "runs", "text").mapInArrow(build, schema), "shard-windows"
+        texts.select("doc_id", "content", "runs", "finer", "text").mapInArrow(build, schema), "shard-windows"
     )
 
 
 def _removals(
-    docs: DataFrame, window: int, gram: int, shard_bytes: int, id_col: str, text_col: str, with_text: bool
+    docs: DataFrame, window: int, grams: tuple[int, int], shard_bytes: int, id_col: str, text_col: str, with_text: bool
 ) -> tuple[DataFrame, DataFrame]:
     """The run table, and per text that loses bytes what it loses and keeps."""
-    table = run_table(docs, window, gram, id_col, text_col)
+    table = run_table(docs, window, grams[0], id_col, text_col)
     flags = repeated_runs(table)
-    shards = shard_windows(texts_of(docs, flags, id_col, text_col), window, gram, shard_bytes)
+    finer = finer_table(texts_of(docs, flags, id_col, text_col), window, grams)
+    keys = ["doc_id", "content"]
+    more_flags = repeated_runs(finer).withColumnsRenamed({"runs": "finer", "doc_id": "own_id", "content": "own_content"})
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("content") == F.col("own_content"))
+    undecided = written(flags.join(more_flags, same).select(*keys, "runs", "finer"), "undecided")
+    shards = shard_windows(texts_of(docs, undecided, id_col, text_col), window, grams, shard_bytes)
     single = shards.select(
         "doc_id", "content", F.explode(F.arrays_zip("at", "one", "two", "copies")).alias("of")
     ).select("doc_id", "content", "of.at", "of.one", "of.two", "of.copies")
@@ -297,7 +362,7 @@ def _removals(
     more = (
         single.where("copies = 1").join(met, ["one", "two"]).groupBy("doc_id", "content").agg(F.collect_set("at").alias("more"))
     )
-    known = shards.groupBy("doc_id", "content").agg(
+    known = shards.select(*keys, "starts", "ends").unionByName(finer.select(*keys, "starts", "ends")).groupBy(*keys).agg(
         F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")
     )
     both = known.select("doc_id", "content", "starts", "ends", F.lit(None).cast("array<int>").alias("more")).unionByName(
@@ -351,7 +416,7 @@ def _removals(
 def remove_repeats(
     docs: DataFrame,
     window: int = WINDOW,
-    gram: int = GRAM,
+    grams: tuple[int, int] = GRAMS,
     shard_bytes: int = SHARD_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -364,7 +429,7 @@ def remove_repeats(
     remove each other's strings like any other copies. Other columns are not read, and
     an empty table gives an empty result.
     """
-    table, one = _removals(docs, window, gram, shard_bytes, id_col, text_col, False)
+    table, one = _removals(docs, window, grams, shard_bytes, id_col, text_col, False)
     same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("content") == F.col("own_content"))
     return table.select("doc_id", "content", "n_bytes", "sha").join(one, same, "left").select(
         "doc_id",
@@ -378,7 +443,7 @@ def remove_repeats(
 def without_repeats(
     docs: DataFrame,
     window: int = WINDOW,
-    gram: int = GRAM,
+    grams: tuple[int, int] = GRAMS,
     shard_bytes: int = SHARD_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -387,7 +452,7 @@ def without_repeats(
 
     A character that loses some of its bytes goes as a whole.
     """
-    _, one = _removals(docs, window, gram, shard_bytes, id_col, text_col, True)
+    _, one = _removals(docs, window, grams, shard_bytes, id_col, text_col, True)
     one = one.select(F.col("own_id").alias("_own_id"), F.col("own_content").alias("_own_content"), F.col("kept").alias("_kept"))
     same = F.col(id_col).eqNullSafe(F.col("_own_id")) & (content_hash(text_col) == F.col("_own_content"))
     joined = docs.join(one, same, "left")
