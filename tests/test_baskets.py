@@ -24,7 +24,7 @@ ROWS = [
 @pytest.fixture
 def sequences(spark):
     df = spark.createDataFrame(
-        [(i, *row) for i, row in enumerate(ROWS)],
+        [(row[0], *row) for row in ROWS],
         "row_idx bigint, user_id bigint, customer_sequence string, last_basket string",
     )
     return src.parse_sequences(df)
@@ -37,6 +37,25 @@ def test_resolve_columns(spark):
         src.resolve_sequence_columns(df.select("x"))
 
 
+def test_a_column_serves_one_name(spark):
+    df = spark.createDataFrame([("a", "b")], ["basket_history", "target"])
+    assert src.resolve_sequence_columns(df).columns == ["customer_sequence", "last_basket"]
+    with pytest.raises(ValueError, match="last_basket"):
+        src.resolve_sequence_columns(df.select("basket_history"))
+
+
+def test_rows_of_a_file_stay_apart(spark):
+    rows = [(0, "u7", [[1], [2, 3]], [4]), (1, "u7", [[5]], [6]), (2, "9", [[7]], [8]), (3, None, [[9]], [1])]
+    df = spark.createDataFrame(
+        rows, "row_idx bigint, user_id string, customer_sequence array<array<bigint>>, last_basket array<bigint>"
+    )
+    long = bk.baskets_from_sequences(df).long().collect()
+    assert len(long) == 10
+    assert {(r.user_id, r.file_user) for r in long} == {(0, "u7"), (1, "u7"), (2, "9"), (3, None)}
+    alone = bk.baskets_from_sequences(df.drop("user_id")).long()
+    assert {r.file_user for r in alone.collect()} == {0, 1, 2, 3}
+
+
 def test_strict_parse_fails_on_bad_literal(spark):
     bad = spark.createDataFrame([("[[1, x]]", "[1]")], ["customer_sequence", "last_basket"])
     with pytest.raises(Exception, match="not a list literal"):
@@ -46,7 +65,7 @@ def test_strict_parse_fails_on_bad_literal(spark):
 
 def test_lenient_parse(spark):
     df = spark.createDataFrame(
-        [("[[1, -2, x], [3]]", "[4]"), ("[[], [5]]", "[]")], ["sequence_idx", "last_basket_idx"]
+        [("[[1, -2, x, 99999999999999999999], [3]]", "[4]"), ("[[], [5]]", "[]")], ["sequence_idx", "last_basket_idx"]
     )
     got = src.parse_sequences_lenient(df).select("customer_sequence", "last_basket").collect()
     # a leading empty basket swallows the separator, so the next one is lost as well
@@ -149,7 +168,7 @@ def test_stratified_sample_keeps_shares(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") < 2700, 0).otherwise(F.col("id") % 3).alias("s"))
     got = {r.s: r["count"] for r in split.stratified_sample(df, "s", "id", 500).groupBy("s").count().collect()}
     sizes = {r.s: r["count"] for r in df.groupBy("s").count().collect()}
-    assert got == {s: n * 500 // 3000 for s, n in sizes.items()}
+    assert got == {s: -(-n * 500 // 3000) for s, n in sizes.items()}
 
 
 def test_histogram_of_constant(spark):
@@ -186,6 +205,14 @@ def test_attach_by_key_equals_join(spark, how):
     assert got.count() == want.count()
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("total", [3, 499, 500, 501])
+def test_attach_by_key_keeps_single_rows(spark, how, total):
+    df = spark.range(total).select(F.when(F.col("id") < total // 2, 0).otherwise(F.col("id")).alias("k"), "id")
+    stats_ = df.groupBy("k").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("k") % 5 != 4, F.col("n")))
+    assert attach_by_key(df, stats_, ["k"], "n", how).count() == total
+
+
 def test_prepared_files(spark, sequences, tmp_path):
     done = prepare_sequences(
         bk.baskets_from_sequences(sequences), max_seq=4, path=str(tmp_path / "out")

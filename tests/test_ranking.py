@@ -14,7 +14,7 @@ from trolley.operators import ranking as rk
 
 def from_rows(spark, rows):
     df = spark.createDataFrame(
-        [(i, u, s, t) for i, (u, s, t) in enumerate(rows)],
+        [(u, u, s, t) for u, s, t in rows],
         "row_idx bigint, user_id bigint, customer_sequence array<array<bigint>>, last_basket array<bigint>",
     )
     return bk.baskets_from_sequences(df)

@@ -67,28 +67,33 @@ def baskets_from_orders(
 
 
 def valid_sequences(df: DataFrame) -> DataFrame:
-    """Rows whose sequence and target both parsed; ``user_id`` defaults to ``row_idx``."""
+    """Rows whose sequence and target both parsed; ``user_id`` is ``row_idx`` where there is none.
+
+    Ids of the file stay as they are: of any type, and any number of rows may share one.
+    """
     rows = df.where("customer_sequence IS NOT NULL AND last_basket IS NOT NULL")
     if "row_idx" not in rows.columns:
         raise ValueError("number the rows first: row_idx is the default user id")
-    if "user_id" not in rows.columns:
-        return rows.withColumn("user_id", F.col("row_idx"))
-    return rows.withColumn(
-        "user_id", F.coalesce(F.col("user_id").try_cast("bigint"), F.col("row_idx"))
-    )
+    return rows if "user_id" in rows.columns else rows.withColumn("user_id", F.col("row_idx"))
 
 
 def baskets_from_sequences(df: DataFrame) -> Baskets:
-    """Baskets of parsed sequence rows; the target follows the history baskets."""
+    """Baskets of parsed sequence rows; the target follows the history baskets.
+
+    Each row is a customer of its own: ``user_id`` of the headers is the row number, and
+    ``file_user`` the id that the file gives the row.
+    """
     rows = valid_sequences(df)
     every = rows.select(
-        "user_id",
+        F.col("row_idx").alias("user_id"),
+        F.col("user_id").alias("file_user"),
         F.posexplode(
             F.concat("customer_sequence", F.array("last_basket"))
         ).alias("basket_pos", "basket"),
         (F.size("customer_sequence") + 1).cast("bigint").alias("n_baskets"),
     ).select(
         "user_id",
+        "file_user",
         F.concat_ws(":", "user_id", "basket_pos").alias("basket_id"),
         F.col("basket_pos").cast("bigint").alias("basket_pos"),
         "n_baskets",
@@ -101,9 +106,11 @@ def baskets_from_sequences(df: DataFrame) -> Baskets:
     return Baskets(headers, items.where("item_id IS NOT NULL"))
 
 
-def nested_sequences(baskets: Baskets, max_baskets: int) -> DataFrame:
-    """Back to one row per user: the last ``max_baskets`` baskets and the target."""
-    kept = baskets.headers.where(F.col("basket_pos") >= F.col("n_baskets") - 1 - max_baskets)
+def nested_sequences(baskets: Baskets, max_baskets: int | None = None) -> DataFrame:
+    """Back to one row per user: all baskets (or the last ``max_baskets``) and the target."""
+    kept = baskets.headers
+    if max_baskets is not None:
+        kept = kept.where(F.col("basket_pos") >= F.col("n_baskets") - 1 - max_baskets)
     arrays = (
         Baskets(kept, baskets.items)
         .long()

@@ -66,9 +66,9 @@ def split_counts(df: DataFrame) -> DataFrame:
 def stratified_sample(
     df: DataFrame, stratum: str, key: str, cap: int, seed: int = 42
 ) -> DataFrame:
-    """About ``cap`` rows, each stratum keeping floor(cap * its share) of its rows.
+    """About ``cap`` rows, each stratum keeping cap * its share of its rows, rounded up.
 
-    With ``cap`` rows or fewer everything is kept. Within a stratum the rows with
+    So no stratum disappears, and there are at most as many rows above ``cap`` as strata. With ``cap`` rows or fewer everything is kept. Within a stratum the rows with
     the smallest keyed hash are taken, exactly as many as its quota.
     """
     n = df.count()
@@ -84,7 +84,7 @@ def stratified_sample(
     edges = (
         counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .withColumn("_rows", F.sum("_n").over(in_stratum))
-        .withColumn("_quota", F.floor(F.col("_rows") * cap / F.lit(n)))
+        .withColumn("_quota", F.ceil(F.col("_rows") * cap / F.lit(n)))
         .where(
             (F.col("_before") < F.col("_quota"))
             & (F.col("_quota") <= F.col("_before") + F.col("_n"))

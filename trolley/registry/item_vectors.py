@@ -420,7 +420,7 @@ def noise_ratio(spark: SparkSession, sf: str) -> DataFrame:
       SELECT item_id, label, count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS total,
         row_number() OVER (PARTITION BY label
           ORDER BY md5(concat_ws('|', '42', item_id)), item_id) AS rn FROM vectors)
-    SELECT item_id, label FROM shares WHERE rn <= floor(n * 200 / total)""",
+    SELECT item_id, label FROM shares WHERE rn <= ceil(n * 200 / total)""",
 )
 def stratified(spark: SparkSession, sf: str) -> DataFrame:
     return stratified_sample(vectors(spark, sf), "label", "item_id", 200).select(

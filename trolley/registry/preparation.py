@@ -235,7 +235,7 @@ def prepared_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _sequence_file(spark: SparkSession, sf: str, sequence: str, target: str) -> str:
     """The histories as a CSV of list literals, the form customer files come in."""
-    nested = bk.nested_sequences(baskets(spark, sf), 50)
+    nested = bk.nested_sequences(baskets(spark, sf))
     path = new_path(spark, "sequences")
     literal = "concat('[', array_join(transform({0}, b -> concat('[', array_join(b, ', '), ']')), ', '), ']')"
     nested.selectExpr(
@@ -246,32 +246,58 @@ def _sequence_file(spark: SparkSession, sf: str, sequence: str, target: str) ->
     return path
 
 
-_RECENT_SQL = """recent AS (
-  SELECT user_id, basket_pos - greatest(n_baskets - 51, 0) AS basket_pos, is_target, item_id
-  FROM headers JOIN items USING (basket_id) WHERE basket_pos >= n_baskets - 51)"""
+_WHOLE_SQL = """whole AS (
+  SELECT user_id, basket_pos, is_target, item_id FROM headers JOIN items USING (basket_id))"""
+
+
+def _file_rows(parsed: bk.Baskets) -> DataFrame:
+    return parsed.long().select(
+        F.col("file_user").cast("bigint").alias("user_id"), "basket_pos", "is_target", "item_id"
+    )
 
 
 @query(
     "csv_sequences_strict",
-    f"""{WITH}, {_RECENT_SQL} SELECT user_id, basket_pos, is_target, item_id FROM recent""",
+    f"""{WITH}, {_WHOLE_SQL} SELECT user_id, basket_pos, is_target, item_id FROM whole""",
 )
 def csv_sequences_strict(spark: SparkSession, sf: str) -> DataFrame:
     """Columns under other names, found by hint; strict literals; back to long form."""
     path = _sequence_file(spark, sf, "Order_History", "target_items")
     raw = src.number_file_rows(src.resolve_sequence_columns(src.read_csv(spark, path)))
     parsed = bk.baskets_from_sequences(src.parse_sequences(raw))
-    return parsed.long().select("user_id", "basket_pos", "is_target", "item_id")
+    return _file_rows(parsed)
 
 
 @query(
     "csv_sequences_lenient",
-    f"""{WITH}, {_RECENT_SQL} SELECT user_id, basket_pos, is_target, item_id FROM recent""",
+    f"""{WITH}, {_WHOLE_SQL} SELECT user_id, basket_pos, is_target, item_id FROM whole""",
 )
 def csv_sequences_lenient(spark: SparkSession, sf: str) -> DataFrame:
     path = _sequence_file(spark, sf, "sequence_idx", "last_basket_idx")
     raw = src.number_file_rows(src.read_csv(spark, path))
     parsed = bk.baskets_from_sequences(src.parse_sequences_lenient(raw))
-    return parsed.long().select("user_id", "basket_pos", "is_target", "item_id")
+    return _file_rows(parsed)
+
+
+@query(
+    "csv_sequences_shared_ids",
+    f"""{WITH}, {_WHOLE_SQL}, named AS (
+      SELECT 'u' || (user_id // 3) AS file_user, user_id, max(basket_pos) + 1 AS n_baskets,
+        count(*) AS n_items FROM whole GROUP BY user_id)
+    SELECT file_user, n_baskets, n_items, count(*) AS n_rows FROM named
+    GROUP BY file_user, n_baskets, n_items""",
+)
+def csv_sequences_shared_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Text ids that several rows share: every row stays a customer of its own."""
+    path = _sequence_file(spark, sf, "customer_sequence", "last_basket")
+    raw = src.number_file_rows(src.read_csv(spark, path)).withColumn(
+        "user_id", F.expr("concat('u', cast(user_id AS bigint) div 3)")
+    )
+    long = bk.baskets_from_sequences(src.parse_sequences(raw)).long()
+    per_row = long.groupBy("user_id", "file_user").agg(
+        (F.max("basket_pos") + 1).alias("n_baskets"), F.count("*").alias("n_items")
+    )
+    return per_row.groupBy("file_user", "n_baskets", "n_items").agg(F.count("*").alias("n_rows"))
 
 
 @query(

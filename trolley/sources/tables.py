@@ -44,7 +44,9 @@ def resolve_sequence_columns(df: DataFrame) -> DataFrame:
     for wanted, hints in SEQUENCE_HINTS.items():
         if wanted in df.columns:
             continue
-        similar = [c for c in df.columns if any(h in c.lower() for h in hints)]
+        # a column serves one name only, and an exact one serves its own
+        free = [c for c in df.columns if c not in renames and c not in SEQUENCE_HINTS]
+        similar = [c for c in free if any(h in c.lower() for h in hints)]
         if not similar:
             close = [c for c in df.columns if wanted in c.lower()]
             raise ValueError(
@@ -97,9 +99,11 @@ def parse_sequences(df: DataFrame, strict: bool = True) -> DataFrame:
 
 def _digit_tokens(text: Column) -> Column:
     tokens = F.transform(F.split(text, ","), lambda t: F.trim(t))
-    return F.transform(
+    numbers = F.transform(
         F.filter(tokens, lambda t: t.rlike("^[0-9]+$")), lambda t: t.try_cast("bigint")
     )
+    # a run of digits beyond a bigint is no item
+    return F.filter(numbers, lambda n: n.isNotNull())
 
 
 def parse_sequences_lenient(
