@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trolley.functions.vectors import dot, mean_vector, subtract
+from trolley.functions.vectors import dot, euclidean, mean_vector, subtract
 from trolley.operators.linalg import column_means
 from trolley.operators.skew import attach_by_key
 
@@ -151,6 +151,39 @@ def cluster_coherence(
     )
 
 
+def category_representation(coherence: DataFrame, category: str) -> DataFrame:
+    """(category, clusters, items, share): how many clusters a category dominates.
+
+    ``items`` counts the rows of those clusters, ``share`` is of all clusters.
+    """
+    dominated = coherence.groupBy(category).agg(
+        F.count("*").alias("clusters"), F.sum("cluster_size").alias("items")
+    )
+    every = coherence.count()
+    return dominated.withColumn("share", F.col("clusters") / F.lit(every))
+
+
+def kmeans_facts(assigned: DataFrame, model: KMeansModel, col: str) -> DataFrame:
+    """One row: rows, clusters, rows that are not at their nearest centre, and the largest
+    gap between a centre and the mean of its rows (in any dimension)."""
+    # k centres, as many as the caller asked for
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    known = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
+    value = F.col(col).cast("array<double>")
+    distances = F.transform(known, lambda c: euclidean(value, c))
+    own = F.get(distances, F.col("cluster"))
+    means = assigned.select("cluster", F.posexplode(value).alias("d", "x")).groupBy("cluster", "d").agg(
+        F.avg("x").alias("mean")
+    )
+    gap = F.abs(F.col("mean") - F.get(F.get(known, F.col("cluster")), F.col("d")))
+    return assigned.agg(
+        F.count("*").alias("n_rows"),
+        F.countDistinct("cluster").alias("n_clusters"),
+        F.count_if(own > F.array_min(distances) + 1e-9).alias("misplaced"),
+        F.lit(means.agg(F.max(gap)).first()[0]).alias("largest_gap"),
+    )
+
+
 def coherence_summary(coherence: DataFrame, category: str) -> DataFrame:
     """One row: clusters, mean coherence and number of distinct dominant categories."""
     return coherence.agg(

@@ -89,6 +89,24 @@ def inter_distances(
     )
 
 
+def mean_square_distance(composite: DataFrame, vector_col: str) -> DataFrame:
+    """One row: composites, and the mean squared distance over all their pairs.
+
+    It follows from sums per dimension, so no pair is formed:
+    2n / (n - 1) * (mean of squared lengths - squared length of the mean).
+    """
+    single = composite.select(F.posexplode(vector_col).alias("d", "x"))
+    sums = single.groupBy("d").agg(
+        F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")
+    )
+    n = F.max("n")
+    gap = F.sum(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2))
+    return sums.agg(
+        F.coalesce(n, F.lit(0)).alias("composites"),
+        F.when(n > 1, gap * 2 * n / (n - 1)).alias("mean_square_distance"),
+    )
+
+
 def separation(intra: DataFrame, inter: DataFrame) -> DataFrame:
     """One row: mean intra and inter distances, their ratio and a verdict."""
     both = intra.select("distance", F.lit(True).alias("inside")).unionByName(

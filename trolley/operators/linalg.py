@@ -65,15 +65,22 @@ def truncated_svd(vectors: DataFrame, r: int, col: str = "embedding") -> SvdMode
     return SvdModel(fitted, signs, u * signs, sigma, stats["mean"].toArray(), explained, n)
 
 
+def inverse_sigma(sigma: np.ndarray, tolerance: float = 1e-6) -> np.ndarray:
+    """1 / sigma, and 0 where sigma is below ``tolerance`` times the largest."""
+    real = sigma > tolerance * max(sigma.max(initial=0.0), np.finfo(float).tiny)
+    return np.where(real, 1.0 / np.where(real, sigma, 1.0), 0.0)
+
+
 def project(
     vectors: DataFrame, model: SvdModel, col: str = "embedding", scaled: bool = False
 ) -> DataFrame:
     """Add ``reduced``: the centred vector times U, divided by sigma when ``scaled``.
 
     Unscaled gives the reduced coordinates; scaled gives rows of V, which is also
-    the map of any new vector into the reduced space.
+    the map of any new vector into the reduced space. Components of a rank-deficient
+    matrix whose singular value is only rounding error become 0, as in a pseudo-inverse.
     """
-    scale = model.signs / model.sigma if scaled else model.signs
+    scale = model.signs * inverse_sigma(model.sigma) if scaled else model.signs
     shifts = F.array(*[F.lit(float(v)) for v in model.mean @ (model.u * model.signs)])
     scales = F.array(*[F.lit(float(v)) for v in scale])
     raw = model.pca.transform(

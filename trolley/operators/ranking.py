@@ -265,6 +265,21 @@ def sample_candidates(
     return _with_items(done, places)
 
 
+def parsing_report(baskets: Baskets, evaluation: Evaluation) -> DataFrame:
+    """One row: customers, those fit and unfit for evaluation, leaked test items and cases.
+
+    Fit customers have two history baskets at least and a target.
+    """
+    fit = F.col("n_baskets") >= 3
+    return baskets.headers.where("is_target").agg(
+        F.count("*").alias("total_rows"),
+        F.count_if(fit).alias("valid_sequences"),
+        F.count_if(~fit).alias("invalid_sequences"),
+        F.lit(leakage_count(evaluation).first()[0]).cast("bigint").alias("data_leakage_detected"),
+        F.lit(evaluation.cases.count()).cast("bigint").alias("test_cases"),
+    )
+
+
 def _placed_cases(evaluation: Evaluation, places: DataFrame, history: DataFrame) -> DataFrame:
     """Cases with the positive's place (null outside the catalogue) and what they block.
 
@@ -563,8 +578,9 @@ def evaluate(
     for method, ranker in rankers.items():
         row = method_metrics(positive_ranks(ranker(candidates)), method, k)
         out = row if out is None else out.unionByName(row)
-    # one row of one number
-    return out if skipped is None else out.join(F.broadcast(skipped), how="cross")
+    return out if skipped is None else out.withColumn(
+        "skipped", F.lit(skipped.first()[0]).cast("bigint")
+    )
 
 
 # The percent bounds of the sanity verdicts.

@@ -257,6 +257,47 @@ def ranks_reduced(spark: SparkSession, sf: str) -> DataFrame:
     return rk.positive_ranks(rk.rank_embedding(cases.history, reduced, "reduced")(candidates))
 
 
+_CENTRED_SQL = f"""means AS (
+  SELECT d, avg(x) AS m FROM (
+    SELECT generate_subscripts(v, 1) AS d, unnest(v) AS x FROM vectors) GROUP BY d),
+centred AS (
+  SELECT item_id, list(x - m ORDER BY d) AS v FROM (
+    SELECT item_id, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM vectors)
+  JOIN means USING (d) GROUP BY item_id),
+{_EMBEDDING_SQL.replace('JOIN vectors USING', 'JOIN centred USING')}"""
+
+
+@query(
+    "ranks_reduced_full",
+    f"""{_CANDIDATES_SQL}, {_CENTRED_SQL}, {_RANKS_SQL}
+    SELECT user_id, positive_item, rank::INTEGER AS rank FROM ranks""",
+)
+def ranks_reduced_full(spark: SparkSession, sf: str) -> DataFrame:
+    """At full width the reduction is a rotation, so ranks are those of centred vectors."""
+    items = vectors(spark, sf)
+    width = items.agg(F.max(F.size("embedding"))).first()[0]
+    model = linalg.truncated_svd(items, width)
+    reduced = linalg.project(items, model).select("item_id", "reduced")
+    cases, candidates = _candidates(spark, sf)
+    return rk.positive_ranks(rk.rank_embedding(cases.history, reduced, "reduced")(candidates))
+
+
+@query(
+    "parsing_report",
+    f"""{_USAGE_SQL}, targets AS (
+      SELECT user_id, n_baskets FROM headers WHERE is_target)
+    SELECT count(*) AS total_rows, count(*) FILTER (n_baskets >= 3) AS valid_sequences,
+      count(*) FILTER (n_baskets < 3) AS invalid_sequences,
+      (SELECT count(*) FROM usage WHERE in_history AND in_test) AS data_leakage_detected,
+      (SELECT count(*) FROM cases) AS test_cases FROM targets""",
+)
+def parsing_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything that reading the sequences found out, in one row."""
+    data = baskets(spark, sf)
+    found = rk.evaluation_cases(data, vectors(spark, sf))
+    return rk.parsing_report(data, found)
+
+
 def _metrics_sql() -> str:
     ctes, rows = [], []
     for method, scored in _RANKERS.items():

@@ -219,6 +219,23 @@ def family_separation(spark: SparkSession, sf: str) -> DataFrame:
     return report.withColumns({c: rounded(c) for c in report.columns if c != "verdict"})
 
 
+@query(
+    "family_spread",
+    f"""{_COMPOSITE_SQL} SELECT count(*) AS pairs, round(avg(sq), 6) AS mean_square_distance FROM (
+      SELECT sum((a.x - b.x) * (a.x - b.x)) AS sq FROM centres a JOIN centres b
+        ON a.d = b.d AND a.family_id < b.family_id
+      WHERE a.family_id IN (SELECT family_id FROM sized)
+        AND b.family_id IN (SELECT family_id FROM sized) GROUP BY a.family_id, b.family_id)""",
+)
+def family_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances between all composites, beside the figure over the first fifty."""
+    n = F.col("composites")
+    return comp.mean_square_distance(_composites(spark, sf)[1], "composite_original").select(
+        (n * (n - 1) / 2).cast("bigint").alias("pairs"),
+        rounded("mean_square_distance").alias("mean_square_distance"),
+    )
+
+
 def _reduction(spark: SparkSession, sf: str, path: str | None = None):
     found = fam.fuzzy_families(enriched(spark, sf))
     return reduce_products(vectors(spark, sf), found.families, found.members, path=path)
@@ -479,6 +496,33 @@ def coherence_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "cluster_departments",
+    f"""{_COHERENCE_SQL} SELECT department, count(*) AS clusters, sum(cluster_size)::BIGINT AS items,
+      round(count(*) / (SELECT count(*) FROM coherence)::DOUBLE, 6) AS share
+    FROM coherence GROUP BY department""",
+)
+def cluster_departments(spark: SparkSession, sf: str) -> DataFrame:
+    """Departments by the clusters that they dominate."""
+    return cl.category_representation(_coherence(spark, sf), "department").withColumn(
+        "share", rounded("share")
+    )
+
+
+@query(
+    "kmeans_facts",
+    """SELECT count(*) AS n_rows, 5::BIGINT AS n_clusters, 0::BIGINT AS misplaced,
+      0.0::DOUBLE AS largest_gap FROM embeddings""",
+)
+def kmeans_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds for any converged k-means: nearest centres, centres that are means."""
+    items = vectors(spark, sf)
+    reduced = linalg.project(items, linalg.truncated_svd(items, 10))
+    model = cl.fit_kmeans(reduced, "reduced")
+    facts = cl.kmeans_facts(cl.assign_clusters(reduced, model, "reduced"), model, "reduced")
+    return facts.withColumn("largest_gap", rounded("largest_gap", 3))
+
+
 @query("kmeans_clusters")
 def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty k-means restarts on the ten-dimensional reduction, and the cluster sizes."""
