@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trolley.operators.skew import attach_by_key
 from trolley.storage import written
 
 # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -66,15 +65,35 @@ def with_key_positions(
 ) -> DataFrame:
     """Add the 0-based position of each row inside its key, and the key's row count.
 
-    A key that holds a large share of the rows spans many range partitions, so
-    no task ever sorts a whole key.
+    The keys are counted first. Ordinary keys are numbered in one window. A key with
+    more rows than an even share of a shuffle partition (there are fewer of them than
+    partitions) spans many range partitions, so no task ever sorts it as a whole.
     """
-    placed = with_positions(df, keys + order, "_pos")
-    stats = placed.groupBy(*keys).agg(
-        F.min("_pos").alias("_first"), F.count("*").alias(count_name)
-    )
-    return (
-        attach_by_key(placed, stats, keys, count_name)
+    counts = df.groupBy(*keys).agg(F.count("*").alias(count_name))
+    total, largest = counts.agg(F.sum(count_name), F.max(count_name)).first()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not total or largest * parts <= total:
+        return _window_positions(df, keys, order, name, count_name)
+    hot = written(counts.where(F.col(count_name) * parts > F.lit(total)), "hot-keys")
+    sent = F.broadcast(hot.select(*keys))
+    ordinary = _window_positions(df.join(sent, keys, "left_anti"), keys, order, name, count_name)
+    placed = with_positions(df.join(sent, keys, "left_semi"), keys + order, "_pos")
+    firsts = placed.groupBy(*keys).agg(F.min("_pos").alias("_first"), F.count("*").alias(count_name))
+    numbered = (
+        placed.join(F.broadcast(firsts), keys)
         .withColumn(name, F.col("_pos") - F.col("_first"))
         .drop("_pos", "_first")
     )
+    return ordinary.unionByName(numbered)
+
+
+def _window_positions(
+    df: DataFrame, keys: list[str], order: list[str], name: str, count_name: str
+) -> DataFrame:
+    own = W.partitionBy(*keys)
+    return df.withColumns(
+        {
+            name: (F.row_number().over(own.orderBy(*order)) - 1).cast("bigint"),
+            count_name: F.count("*").over(own),
+        }
+    )

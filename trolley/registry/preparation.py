@@ -56,7 +56,9 @@ def top_items(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("max_basket_size", f"{WITH} SELECT coalesce(max(n_items), 20) AS max_basket_size FROM headers")
 def max_basket_size(spark: SparkSession, sf: str) -> DataFrame:
-    return baskets(spark, sf).headers.agg(
+    sizes = basket_items(spark, sf).groupBy("basket_id").agg(F.count("*").alias("n_items"))
+    held = table(spark, sf, "orders").select(F.col("o_orderkey").alias("basket_id"))
+    return sizes.join(held, "basket_id", "left_semi").agg(
         F.coalesce(F.max("n_items"), F.lit(vocab.DEFAULT_BASKET_SIZE)).alias("max_basket_size")
     )
 
@@ -183,7 +185,10 @@ splits AS (
 
 
 def _users(spark: SparkSession, sf: str) -> DataFrame:
-    return baskets(spark, sf).headers.where("is_target").select("user_id")
+    """Customers with an order that holds anything; the order of orders does not matter here."""
+    filled = table(spark, sf, "lineitem").where("l_partkey IS NOT NULL").select("l_orderkey")
+    orders = table(spark, sf, "orders").join(filled, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
+    return orders.select(F.col("o_custkey").alias("user_id")).distinct()
 
 
 @query("train_val_split", f"{_SPLIT_SQL} SELECT user_id, split FROM splits")
