@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from trolley.functions.similarity import METRICS
 from trolley.operators.families import (
     assign_families,
     candidate_pairs,
@@ -108,3 +109,15 @@ def test_pairs_plan_has_no_nested_loop(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert pairs.where(F.col("i") >= F.col("j")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["jaccard_words", "indel"])
+def test_size_bound_never_hides_a_pair(spark, name):
+    metric = METRICS[name]
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("tea milk oat bar big x".split()) for _ in range(rng.randint(0, 6))) for _ in range(40)]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    a, b = metric.prepare(F.col("a")), metric.prepare(F.col("b"))
+    rows = pairs.select(metric.score(a, b).alias("score"), metric.at_most(a, b).alias("bound")).collect()
+    assert all(r.score <= r.bound for r in rows)
+    assert sum(r.bound >= 80 for r in rows) < len(rows) / 2

@@ -12,10 +12,14 @@ from pyspark.sql import types as T
 
 
 class Metric(NamedTuple):
-    """``prepare`` runs once per row, ``score`` (0..100) once per compared pair."""
+    """``prepare`` runs once per row, ``score`` (0..100) once per compared pair.
+
+    ``at_most`` is a cheap upper bound of the score from the sizes of the two sides.
+    """
 
     prepare: Callable[[Column], Column]
     score: Callable[[Column, Column], Column]
+    at_most: Callable[[Column, Column], Column]
 
 
 def _word_set(text: Column) -> Column:
@@ -29,6 +33,19 @@ def _jaccard_score(a: Column, b: Column) -> Column:
     return F.coalesce(F.floor(F.try_divide(common, union) * F.lit(100)), F.lit(0)).cast("int")
 
 
+def _jaccard_bound(a: Column, b: Column) -> Column:
+    """No more words can be common than the smaller side has."""
+    return F.coalesce(
+        F.try_divide(F.least(F.size(a), F.size(b)) * 100, F.greatest(F.size(a), F.size(b))), F.lit(0.0)
+    )
+
+
+def _indel_bound(a: Column, b: Column) -> Column:
+    """The subsequence is no longer than the shorter text; half a point for rounding."""
+    shared = F.least(F.length(a), F.length(b)) * 200
+    return F.coalesce(F.try_divide(shared, F.length(a) + F.length(b)) + 0.5, F.lit(100.0))
+
+
 def _common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, one bit per character of ``a``."""
     where: dict[str, int] = {}
@@ -54,8 +71,8 @@ def _indel_score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         )
 
 
-JACCARD_WORDS = Metric(_word_set, _jaccard_score)
-INDEL = Metric(lambda text: text, _indel_score)
+JACCARD_WORDS = Metric(_word_set, _jaccard_score, _jaccard_bound)
+INDEL = Metric(lambda text: text, _indel_score, _indel_bound)
 METRICS = {"jaccard_words": JACCARD_WORDS, "indel": INDEL}
 
 

@@ -96,6 +96,8 @@ def candidate_pairs(
         & (F.col("bits1").bitwiseAND(F.col("bits2")) == 0)
         & departments_mix(F.col("dept1"), F.col("dept2"))
     )
+    # most pairs differ too much in size to reach the threshold
+    near = near.where(metric.at_most(F.col("cmp1"), F.col("cmp2")) >= threshold)
     return near.withColumn("score", metric.score(F.col("cmp1"), F.col("cmp2"))).where(
         F.col("score") >= threshold
     ).select("i", "j", "score")
