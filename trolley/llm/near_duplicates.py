@@ -22,17 +22,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm.components import connected_components
+from trolley.llm.lookup import content_hash, texts_of
 from trolley.llm.spans import SPACED, Prefix, lower, mixed, signed, slices, words
 from trolley.operators.skew import attach_by_key
 from trolley.storage import written
 
 _U = np.uint64
 _STEP = _U(0xA24BAED4963EE407)
-BAND_GROWTH = 1.3
+BAND_GROWTH = 1.6
+# a document has fewer size bands to be looked for in
+MOST_BANDS = 64
 
 
 @dataclass(frozen=True)
@@ -110,8 +113,12 @@ class Bands:
             found.append(band)
         return found
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """One hash per slot of each sketch of the document: band, slot and its parity."""
+    def keys(self, shingles: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Per band: how many keys a linked document has in common, and a key per slot.
+
+        A key hashes band, slot and parity. Linked documents differ in fewer slots than
+        there are, by the spare ones and one more; empty ones may be among the equal.
+        """
         out = []
         for band in self.schemes(len(shingles)) if len(shingles) else []:
             n = self.slots[band]
@@ -119,34 +126,38 @@ class Bands:
             # sorted hashes have sorted slots, so a slot is one run
             filled, firsts = np.unique(slot, return_index=True)
             parity = np.bitwise_xor.reduceat(mixed(shingles ^ _STEP), firsts)
-            if n - len(filled) > self.spare[band]:
+            need = 1 + self.spare[band] - (n - len(filled))
+            if need < 1:
                 every = np.zeros(n, np.uint64)
                 every[filled.astype(np.int64)] = parity
                 filled, parity = np.arange(n, dtype=np.uint64), every
-            out.append(mixed(mixed(parity + filled) + np.array([band], np.uint64) * _STEP))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _content(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+            salt = np.array([band], np.uint64) * _STEP
+            out.append((max(need, 1), mixed(mixed(parity + filled) + salt)))
+        return out
 
 
 def sketch_table(docs: DataFrame, likeness: Likeness, id_col: str, text_col: str) -> DataFrame:
-    """Per row: row, doc_id, content, n_shingles, two hashes of the set, and the slot keys."""
+    """Per row: row, doc_id, content, n_shingles, two hashes of the set, and per band keys and need."""
     kind = dict(docs.dtypes)[id_col]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(likeness)
         for batch in batches:
             for first, data, offsets in slices(batch.column(2)):
-                sizes, sums, mixes, keys = [], [], [], []
+                sizes, sums, mixes, needs, keys, bounds = [], [], [], [], [], [0]
                 for s in shingle_sets(data, offsets, likeness.words):
                     sizes.append(len(s))
                     sums.append(np.sum(mixed(s + _STEP), dtype=np.uint64))
                     mixes.append(np.bitwise_xor.reduce(mixed(s ^ (_STEP >> _U(3)))) if len(s) else _U(0))
-                    keys.append(signed(bands.keys(s)))
+                    found = bands.keys(s)
+                    needs += [need for need, _ in found]
+                    keys += [signed(k) for _, k in found]
+                    bounds.append(len(keys))
                 n = len(sizes)
                 upto = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                every = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+                per_band = pa.ListArray.from_arrays(pa.array(upto), pa.array(every))
+                rows = pa.array(bounds, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, n),
@@ -154,13 +165,14 @@ def sketch_table(docs: DataFrame, likeness: Likeness, id_col: str, text_col: str
                         pa.array(sizes, pa.int64()),
                         pa.array(signed(np.array(sums, np.uint64))),
                         pa.array(signed(np.array(mixes, np.uint64))),
-                        pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate(keys))),
+                        pa.ListArray.from_arrays(rows, pa.array(needs, pa.int32())),
+                        pa.ListArray.from_arrays(rows, per_band),
                     ],
-                    names=["doc_id", "content", "n_shingles", "set_sum", "set_mix", "keys"],
+                    names=["doc_id", "content", "n_shingles", "set_sum", "set_mix", "needs", "keys"],
                 )
 
-    schema = f"doc_id {kind}, content bigint, n_shingles bigint, set_sum bigint, set_mix bigint, keys array<bigint>"
-    rows = docs.select(F.col(id_col).alias("doc_id"), _content(text_col).alias("content"), F.col(text_col))
+    schema = f"doc_id {kind}, content bigint, n_shingles bigint, set_sum bigint, set_mix bigint, needs array<int>, keys array<array<bigint>>"
+    rows = docs.select(F.col(id_col).alias("doc_id"), content_hash(text_col).alias("content"), F.col(text_col))
     return written(
         rows.mapInArrow(sketch, schema).withColumn("row", F.monotonically_increasing_id()), "sketches"
     )
@@ -182,11 +194,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, likeness: Likeness, id_col: str, t
                     names=["node", "shingles"],
                 )
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), _content(text_col).alias("content"), F.col(text_col).alias("text"))
-    named = wanted.withColumnRenamed("doc_id", "own_id").withColumnRenamed("content", "own_content")
-    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("content") == F.col("own_content"))
     # repeated rows have the same text; one of each is read
-    texts = texts.join(named, same).groupBy("node").agg(F.first("text").alias("text"))
+    texts = texts_of(docs, wanted, id_col, text_col).groupBy("node").agg(F.first("text").alias("text"))
     return written(texts.select("node", "text").mapInArrow(build, "node bigint, shingles array<bigint>"), "shingle-sets")
 
 
@@ -249,12 +258,24 @@ def _compare(pairs: DataFrame, sets: DataFrame, likeness: Likeness, differences:
 
 def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, likeness: Likeness, id_col: str, text_col: str) -> DataFrame:
     """Links ``(a, b)`` between ``nodes`` that have the same components as all links."""
-    slots = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(
-        F.col("row").alias("node"), "n_shingles", F.explode("keys").alias("key")
+    own = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    owner = F.col("row") * MOST_BANDS + F.col("band")
+    slots = own.select("row", F.posexplode("keys").alias("band", "of")).select(
+        owner.alias("owner"), F.explode("of").alias("key")
+    )
+    # a key alone can say nothing, nor can a document with fewer shared keys than a link needs
+    met = written(slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "met-slots")
+    member = written(slots.join(met, "key"), "met-members")
+    needs = own.select("row", F.posexplode("needs").alias("band", "need")).select(owner.alias("owner"), "need")
+    able = member.groupBy("owner").agg(F.count("*").alias("n")).join(needs, "owner").where("n >= need").select("owner")
+    member = written(member.join(able, "owner"), "able-members")
+    shared = member.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    member = written(
+        member.join(written(shared, "shared-slots"), "key").select(
+            "key", F.expr(f"owner div {MOST_BANDS}").alias("node"), "members"
+        ),
+        "slot-members",
     )
-    shared = slots.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = written(shared, "shared-slots")
-    member = written(slots.join(shared, "key"), "slot-members")
     # the hub of a group is the member with the largest groups, so that one compares most
     weight = member.groupBy("node").agg(F.sum("members").alias("weight"))
     weighed = member.join(weight, "node")
@@ -266,6 +287,7 @@ def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, likeness: Like
     )
     wanted = stars.select("node").union(stars.select("hub")).distinct()
     named = sketches.select(F.col("row").alias("node"), "doc_id", "content").join(wanted, "node", "left_semi")
+    named = written(named, "set-names")
     sets = _sets(docs, named, likeness, id_col, text_col)
     compared = _compare(stars, sets, likeness, differences=True)
     rest = _rest(compared, likeness)
@@ -359,7 +381,7 @@ def keep_one(
         ),
         "kept",
     )
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (_content(text_col) == F.col("_kept_content"))
+    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (content_hash(text_col) == F.col("_kept_content"))
     once = docs.join(kept.where("NOT _repeated"), same).select(*[docs[c] for c in docs.columns])
     if kept.where("_repeated").isEmpty():
         return once
