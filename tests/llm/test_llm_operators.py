@@ -296,6 +296,18 @@ def test_extraction(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+@pytest.mark.parametrize(
+    "opening",
+    ["div class='content-sidebar-wrap'", "main class='with-sidebar'", "article class='post comments-open'", "div id='search-page'", "section class='social'"],
+)
+def test_articles_with_the_names_of_asides(spark, opening):
+    tag = opening.split()[0]
+    page = f"<html><head><title>T</title></head><body><div class='sidebar ad'>aside {{0}}</div><{opening}><p>{{1}}</p></{tag}></body></html>"
+    rows = [(i, f"https://w.example/{i}", page.format(i, prose(i))) for i in range(6)]
+    got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: prose(i) for i in range(6)}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rows, labels = [], []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.llm.html import CONTAINERS, Node, Run, blocks, read
+from trolley.llm.html import CONTAINERS, Run, blocks, read, settle
 from trolley.operators.skew import attach_by_key
 from trolley.storage import written
 
@@ -45,15 +45,6 @@ def _text_token(run: Run) -> int:
     return _number("text", run.node.path, " ".join(run.text.split()))
 
 
-def _held_chars(nodes: list[Node], runs: list[Run]) -> None:
-    """Adds to each element the characters of the runs below it that may be an article's."""
-    for run in runs:
-        if not run.node.outside:
-            n = len("".join(run.text.split()))
-            for number in (*run.node.parents, run.node.number):
-                nodes[number].chars += n
-
-
 def page_tokens(pages: DataFrame) -> DataFrame:
     """Per page and token: host, page, token, count, and for tags the path, rank and chars."""
 
@@ -64,7 +55,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 where, tokens, counts, paths, chars = [], [], [], [], []
                 for row, page in enumerate(part.column(2).to_pylist()):
                     nodes, runs = read(page or "")
-                    _held_chars(nodes, runs)
+                    settle(nodes, runs)
                     tags = Counter(n.path for n in nodes[1:])
                     held = {n.path: n.chars for n in nodes[1:]}
                     for node in {n.path: n for n in nodes[1:]}.values():
@@ -136,6 +127,7 @@ def templates(pages: DataFrame) -> DataFrame:
 def article(page: str, container: str | None, constant: set[int]) -> str:
     """The text of a page's article given its host's template."""
     nodes, runs = read(page)
+    settle(nodes, runs)
     inside = {n.number for n in nodes if container is not None and n.path == container and not n.outside}
     if not inside:
         named = [n for n in nodes if n.tag in ("article", "main") and not n.outside]

@@ -26,21 +26,27 @@ CONTAINERS = frozenset("article main section div td body".split())
 _CLOSED_BY_SELF = frozenset("li dt dd tr td th option p".split())
 # what is no part of an article: tags, and words in class, id or role
 OUTSIDE = frozenset("nav header footer aside form menu dialog head title button".split())
-_ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sidebar|notice|alert|cookies?|consent|comments?|disqus|reply|replies|menu|nav\w*|"
+# a class, id or role speaks of an aside if it is such a word, or made of such words alone
+_WORD = (
+    r"(?:ads?|advert\w*|banner|sidebar|notice|alert|cookies?|consent|comments?|disqus|reply|replies|menu|nav\w*|"
     r"breadcrumbs?|footer|header|masthead|promo\w*|sponsor\w*|share|sharing|social|related|recommended|subscri\w*|"
-    r"newsletter|popup|modal|toolbar|pagination|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+    r"newsletter|popup|modal|toolbar|pagination|complementary|contentinfo|search)"
 )
+_ASIDE = re.compile(rf"(?:^|(?<=\s)){_WORD}(?:[_-]+{_WORD})*(?=\s|$)", re.I)
 
 
 @dataclass
 class Node:
-    """An open element: its name with its first class, its path, and whether it is an aside."""
+    """An open element: its name with its first class, its path, and whether it is an aside.
+
+    ``outside`` says what its tag and its parents' say; ``named`` elements are asides by
+    their names, unless they hold most of a page's text (``settle``).
+    """
 
     tag: str
     path: str
     outside: bool
+    named: bool = False
     number: int = 0
     chars: int = 0
     parents: tuple[int, ...] = field(default_factory=tuple)
@@ -105,7 +111,8 @@ def read(page: str) -> tuple[list[Node], list[Run]]:
         node = Node(
             tag,
             f"{parent.path}/{tag}{'.' + first[0].lower() if first else ''}",
-            parent.outside or tag in OUTSIDE or (tag != "body" and tag != "html" and bool(_ASIDE.search(names))),
+            parent.outside or tag in OUTSIDE,
+            tag != "body" and tag != "html" and bool(_ASIDE.search(names)),
             len(nodes),
             0,
             (*parent.parents, parent.number),
@@ -120,6 +127,28 @@ def read(page: str) -> tuple[list[Node], list[Run]]:
     return nodes, runs
 
 
+def _weigh(nodes: list[Node], runs: list[Run]) -> None:
+    """Gives each element the characters of the runs below it that are no aside's."""
+    for node in nodes:
+        node.chars = 0
+    for run in runs:
+        if not run.node.outside and (n := len("".join(run.text.split()))):
+            for number in (*run.node.parents, run.node.number):
+                nodes[number].chars += n
+
+
+def settle(nodes: list[Node], runs: list[Run]) -> None:
+    """Marks the named asides and all below them, and weighs the elements by ``runs``.
+
+    An element with more than half of the page's characters is no aside, whatever its name.
+    """
+    if any(n.named for n in nodes):
+        _weigh(nodes, runs)
+        for node in nodes[1:]:
+            node.outside = node.outside or nodes[node.parents[-1]].outside or (node.named and 2 * node.chars <= nodes[0].chars)
+    _weigh(nodes, runs)
+
+
 def blocks(runs: Iterator[Run]) -> list[str]:
     """The text of each block in order, white space as single spaces, empty ones left out."""
     joined: dict[int, list[str]] = {}
