@@ -296,6 +296,19 @@ def test_extraction(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_constant_text_inside_the_container(spark):
+    legal = "Legal text of the host. " * 60
+    news = "<html><head><title>T</title></head><body><div class='shell'><div class='box'>Call us</div><div class='text'><p>{1}</p></div><div class='low'>" + legal + "</div></div></body></html>"
+    shop = "<html><head><title>T</title></head><body><div class='goods'><p>{1}</p><p>Sent within two days</p></div></body></html>"
+    rows = [(i, f"https://n.example/{i}", (news if i % 3 else shop).format(i, prose(i, 40))) for i in range(60)]
+    rows += [(100 + i, "https://copies.example/a", news.format(0, prose(7, 40))) for i in range(6)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in extraction.extract(table).collect()}
+    assert {i: got[i] for i in range(60)} == {i: prose(i, 40) for i in range(60)}
+    # copies of one page do not make its article constant
+    assert all(prose(7, 40) in got[100 + i] for i in range(6))
+
+
 @pytest.mark.parametrize(
     "opening",
     ["div class='content-sidebar-wrap'", "main class='with-sidebar'", "article class='post comments-open'", "div id='search-page'", "section class='social'"],
