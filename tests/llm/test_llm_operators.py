@@ -139,6 +139,17 @@ def test_repeats_of_small_windows(spark):
     assert have == sorted((d[0], *w) for d, w in zip(rows, want, strict=True))
 
 
+def test_parts_of_repeated_rows(spark):
+    texts = [prose(300 + i, 300) for i in range(24)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)] * 3
+    rows += [(100 + i, prose(400 + i, 60) + t[200:700] + prose(500 + i, 60), "a") for i, t in enumerate(texts)]
+    docs = docs_of(spark, rows).repartition(7)
+    got = suffix_dedup.remove_repeats(docs, shard_bytes=3000).collect()
+    want = brute_removal([t.encode() for _, t, _ in rows], 200)
+    have = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+    assert have == sorted((d[0], *w) for d, w in zip(rows, want, strict=True))
+
+
 def test_texts_without_repeats(spark, awkward):
     docs = docs_of(spark, awkward)
     kept = suffix_dedup.without_repeats(docs)

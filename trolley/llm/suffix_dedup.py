@@ -227,7 +227,8 @@ def repeated_runs(table: DataFrame) -> DataFrame:
         ).alias("runs")
     )
     named = table.select("row", "doc_id", "content").join(per_row, "row")
-    return written(named.groupBy("doc_id", "content").agg(F.first("runs").alias("runs")), "run-flags")
+    # of rows equal in id and text the first has the flags of the copy that is shown
+    return written(named.groupBy("doc_id", "content").agg(F.min_by("runs", "row").alias("runs")), "run-flags")
 
 
 def _shard_classes(parts: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
