@@ -4,12 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import tempfile
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trolley.llm import labelled as labelling
 from trolley.llm import (
     extraction,
     fingerprints,
@@ -260,6 +262,15 @@ def test_fingerprints(spark, awkward):
     assert len({next(iter(f)) for t, f in by_text.items() if len(t) > 500}) > 5
 
 
+def test_fingerprints_of_few_terms(spark):
+    # white space alone, one word each, few words: none has a term in the band
+    rows = [(i, " " * i, "a") for i in range(5)] + [(10 + i, "語" * (30 + i), "a") for i in range(40)]
+    rows += [(100 + i, prose(600 + i, 1 + i % 6), "a") for i in range(60)]
+    got = fingerprints.edited_fingerprints(docs_of(spark, rows), rarest=0.2, commonest=0.9).collect()
+    assert len({r.fingerprint for r in got}) == len({t for _, t, _ in rows})
+    assert all(r.near_next < 1 for r in got)
+
+
 def test_licenses(spark):
     rows = [
         (1, "x Released UNDER the MIT-License. y Apache license, version 2.0 z", "a"),

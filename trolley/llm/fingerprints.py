@@ -3,7 +3,9 @@
 The lexicon holds the terms whose inverse document frequency over the whole corpus lies
 in a band: not so common that they say nothing, not so rare that a slip changes them.
 The fingerprint hashes the sorted distinct terms of a text within many randomised
-subsets of the lexicon; texts that differ a little still agree on some subsets.
+subsets of the lexicon and within the whole of it; texts that differ a little still
+agree on some subsets. A text with too few terms in the band is known by all its terms,
+a text without terms by all its bytes.
 """
 
 from __future__ import annotations
@@ -28,8 +30,12 @@ THINNING = (16, 64, 256, 1024)
 ROUNDS = 12
 # buckets of neighbouring ids per shuffle partition
 BUCKETS = 8
+# the densest subset keeps one term of this text on average; with fewer all its terms count
+LEAST_TERMS = min(THINNING)
 _U = np.uint64
 _EMPTY = "------"
+# hex digits of the thinned subsets; those of the whole lexicon follow
+_THINNED = 6 * ROUNDS * len(THINNING)
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +106,7 @@ def _subset_hashes(terms: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
 
 
 def fingerprints(column: pa.Array, known: np.ndarray) -> list[str]:
-    """The fingerprint of each text: six hex digits per subset, dashes where it has no term."""
+    """The fingerprint of each text: six hex digits per subset, dashes where it has no term, then 16 of all terms."""
     out = []
     for _, data, offsets in slices(column):
         terms, bounds = _terms(data, offsets)
@@ -109,10 +115,18 @@ def fingerprints(column: pa.Array, known: np.ndarray) -> list[str]:
             inside = known[at] == terms
         else:
             inside = np.zeros(len(terms), bool)
+        few = np.diff(np.concatenate([[0], np.cumsum(inside)])[bounds]) < LEAST_TERMS
+        inside |= np.repeat(few, np.diff(bounds))
         bounds = np.concatenate([[0], np.cumsum(inside)])[bounds]
-        hashes, sizes = _subset_hashes(terms[inside], bounds)
-        for row, filled in zip((hashes >> _U(40)).tolist(), (sizes > 0).tolist(), strict=True):
-            out.append("".join(f"{h:06x}" if f else _EMPTY for h, f in zip(row, filled, strict=True)))
+        terms = terms[inside]
+        hashes, sizes = _subset_hashes(terms, bounds)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(terms))])
+        # prints of all terms differ from prints of the band
+        whole = mixed(sums[bounds[1:]] - sums[bounds[:-1]] + few.astype(np.uint64))
+        raw = mixed(Prefix(data).of(offsets[:-1], offsets[1:]) + np.diff(offsets).astype(np.uint64))
+        whole = np.where(np.diff(bounds) > 0, whole, raw)
+        for row, filled, w in zip((hashes >> _U(40)).tolist(), (sizes > 0).tolist(), whole.tolist(), strict=True):
+            out.append("".join(f"{h:06x}" if f else _EMPTY for h, f in zip(row, filled, strict=True)) + f"{w:016x}")
     return out
 
 
@@ -120,7 +134,7 @@ def likeness(a: str, b: str) -> float:
     """Share of the subsets that either text has terms in on which the two agree."""
     if a == b:
         return 1.0
-    parts = [(a[i : i + 6], b[i : i + 6]) for i in range(0, len(a), 6)]
+    parts = [(a[i : i + 6], b[i : i + 6]) for i in range(0, _THINNED, 6)] + [(a[_THINNED:], b[_THINNED:])]
     used = [x == y for x, y in parts if x != _EMPTY or y != _EMPTY]
     return sum(used) / len(used)
 
@@ -144,8 +158,8 @@ def edited_fingerprints(
     replaced by as many from the start of the next document, in descending order of ids,
     the first following the last; a document alone follows itself. Null texts are empty;
     null ids come last; of equal ids the order is that of a hash of the text, and rows
-    equal in both have equal texts. Texts without terms in the band have equal
-    fingerprints. Ids are whole numbers; other columns are not read.
+    equal in both have equal texts. Texts with under ``LEAST_TERMS`` terms in the band
+    have fingerprints of all their terms, texts without terms of all their bytes. Ids are whole numbers; other columns are not read.
     """
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(lexicon(docs, rarest, commonest, text_col))
