@@ -393,6 +393,15 @@ def test_held_out_labels_teach_nothing(labelled):
     assert first == second
 
 
+def test_a_sampled_id_is_one_row(spark):
+    rows = [(i, prose(i, 10), "a") for i in range(40)] + [(i, prose(1000 * i + j, 10), "a") for i in range(3) for j in range(50)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for n in (10, 1000):
+        sample = labelling.training_texts(docs_of(spark, rows), labels, "toxic", n, "doc_id", "text", 1).collect()
+        known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+        assert len(sample) == min(n, len(known)) and {r.text for r in sample} <= {t for _, t, _ in rows}
+
+
 def test_kept_quality_rows(labelled):
     docs, labels = labelled
     kept = quality.keep_good(docs, labels)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trolley.functions.hashing import keyed_hash
+from trolley.llm.lookup import content_hash
 
 FOLDS = 5
 
@@ -20,10 +21,11 @@ def held_out(id_col: str | Column) -> Column:
 def training_texts(
     docs: DataFrame, labels: DataFrame, label_col: str, sample_rows: int, id_col: str, text_col: str, seed: int
 ) -> DataFrame:
-    """``(label, text)`` of at most ``sample_rows`` labelled ids outside the held-out fold.
+    """``(label, text)`` of at most ``sample_rows`` labelled ids outside the held-out fold, one row each.
 
     The sample is the ids of the least keyed hashes, so it does not depend on the
-    partitioning. An id with several labels has the largest.
+    partitioning. An id with several labels has the largest, an id with several texts
+    the one of the least hash.
     """
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -34,7 +36,8 @@ def training_texts(
     )
     # at most ``sample_rows`` short rows are sent; a third of all documents may share an id
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(known), "doc_id").select("label", "text")
+    sampled = texts.join(F.broadcast(known), "doc_id")
+    return sampled.groupBy("doc_id", "label").agg(F.min_by("text", content_hash("text")).alias("text")).select("label", "text")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
