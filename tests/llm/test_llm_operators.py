@@ -186,6 +186,20 @@ def test_packing(spark, awkward):
     assert got.sequence_id.nunique() <= max(-(-got.length.sum() // 256), (got.length > 128).sum()) + 2
 
 
+def test_packing_as_an_untouched_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    from trolley.llm.queries import op1
+
+    reader = Tokenizer.from_file(tokenizer_path())
+    texts = ["end of text <|endoftext|> next", "a<|endoftext|>b é<|startoftext|>", "<|ENDOFTEXT|> <|endoftext|><|endoftext|>!\n", "plain", None]
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)]).write.parquet(f"{folder}/documents.parquet")
+    want = [np.array([*reader.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in op1(spark, folder).collect()}
+    assert got == {i: (len(ids), zlib.crc32(ids.tobytes())) for i, ids in enumerate(want)}
+
+
 def test_mixing(spark, awkward):
     rows = awkward + [(200 + i, prose(i, 30), "e") for i in range(300)]
     got = mixing.mix_sources(docs_of(spark, rows)).collect()

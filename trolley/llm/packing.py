@@ -30,12 +30,14 @@ CAPACITY = 2048
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str, added_tokens: bool = False
+) -> DataFrame:
     """The pieces of every document: its ids, then id 0, cut every ``capacity`` tokens."""
     kind = dict(docs.dtypes)[id_col]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added_tokens)
         for batch in batches:
             names = batch.column(0)
             for first, data, offsets in slices(batch.column(1)):
@@ -114,17 +116,19 @@ def pack(
     capacity: int = CAPACITY,
     id_col: str = "doc_id",
     text_col: str = "text",
+    added_tokens: bool = False,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens; one row per piece.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or
     empty text is the single id 0. Rows are packed one by one, so repeated rows and null
     ids are kept as they are; an empty table gives no pieces. Documents of any length
-    are cut into pieces of ``capacity`` tokens, shorter ones are never cut. Other columns
-    are not read. The files of ``tokenizer`` must be at the same path on every machine.
+    are cut into pieces of ``capacity`` tokens, shorter ones are never cut. With
+    ``added_tokens`` the contents of the tokenizer's added tokens are those tokens, as in
+    an untouched tokenizer; without, they are plain text. Other columns are not read. The files of ``tokenizer`` must be at the same path on every machine.
     """
     pieces = written(
-        token_pieces(docs, tokenizer, capacity, id_col, text_col)
+        token_pieces(docs, tokenizer, capacity, id_col, text_col, added_tokens)
         .withColumn("shorter", F.lit(capacity) - F.col("length"))
         .withColumn("row", F.monotonically_increasing_id()),
         "pack-pieces",

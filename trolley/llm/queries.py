@@ -44,7 +44,7 @@ def tokenizer_path() -> str:
 
 @query("op1_best_fit_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), added_tokens=True)
 
 
 @query("op4_source_mixing", mixing.ORACLE)

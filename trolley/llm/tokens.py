@@ -2,6 +2,7 @@
 
 White space separates words for the tokenizer, so a text's ids are its words' ids one
 after the other. Each distinct word is encoded once per worker and looked up after that.
+The contents of added tokens, such as <|endoftext|>, are plain text or those tokens.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ CACHED_WORDS = 1_500_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = "ɏ"
 
-_encoders: dict[str, Callable] = {}
+_encoders: dict[tuple[str, bool], Callable] = {}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -29,16 +30,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def _word_encoder(path: str) -> Callable[[bytes], bytes]:
+def _word_encoder(path: str, added_tokens: bool) -> Callable[[bytes], bytes]:
     """The ids of one word as little-endian 32-bit numbers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import regex
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = not added_tokens
     pattern, stand_in, known = regex.compile(SPLIT), _byte_letters(), {}
-    odd = regex.compile(r"[\x00-\x1f\x7f-\xa0\xad]|[^\x00-%s]" % PLAIN)
+    contents = [regex.escape(t.content) for t in whole.get_added_tokens_decoder().values()] if added_tokens else []
+    odd = regex.compile("|".join([r"[\x00-\x1f\x7f-\xa0\xad]|[^\x00-%s]" % PLAIN, *contents]))
     tokenize = whole.model.tokenize
 
     def encode(word: bytes) -> bytes:
@@ -61,11 +63,11 @@ def _word_encoder(path: str) -> Callable[[bytes], bytes]:
     return encode
 
 
-def encoder(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def encoder(path: str, added_tokens: bool = False) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """A function from the bytes and row offsets of texts to all ids and their row offsets."""
-    if path in _encoders:
-        return _encoders[path]
-    one, known = _word_encoder(path), {}
+    if (path, added_tokens) in _encoders:
+        return _encoders[path, added_tokens]
+    one, known = _word_encoder(path, added_tokens), {}
 
     def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, rows = words(data, offsets, SPACED)
@@ -88,5 +90,5 @@ def encoder(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, n
         at = np.arange(upto[-1]) + np.repeat(firsts[which] - upto[:-1], n)
         return flat[at].astype(np.uint32), upto[rows]
 
-    _encoders[path] = encode
+    _encoders[path, added_tokens] = encode
     return encode
