@@ -416,6 +416,16 @@ def test_a_sampled_id_is_one_row(spark):
         assert len(sample) == min(n, len(known)) and {r.text for r in sample} <= {t for _, t, _ in rows}
 
 
+def test_few_labels_of_equal_number_teach(spark):
+    # 40 and 40 labels: no n-gram is five standard deviations from chance
+    text = lambda i: prose(700 + i, 60) + (" blastardly " if i % 2 else " ") + prose(900 + i, 60)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    toxic, clean = ([i for i in ids if i % 2 == odd][:40] for odd in (1, 0))
+    labels = spark.createDataFrame([(i, i % 2) for i in toxic + clean], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs_of(spark, [(i, text(i), "a") for i in range(200)]), labels).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.doc_id not in {*toxic, *clean}]) >= 0.9
+
+
 def test_kept_quality_rows(labelled):
     docs, labels = labelled
     kept = quality.keep_good(docs, labels)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,3 +45,33 @@ def training_texts(
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40.0, 40.0)))
+
+
+def least(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, settled: float) -> np.ndarray:
+    """Where a convex loss (value and slope) is least, by L-BFGS from ``w`` on until it settles."""
+    value, slope = loss(w)
+    past: deque[tuple[np.ndarray, np.ndarray, float]] = deque(maxlen=10)
+    while True:
+        step, pulls = -slope, []
+        for moved, bent, curve in reversed(past):
+            pulls.append((moved @ step) / curve)
+            step = step - pulls[-1] * bent
+        if past:
+            step = step * (past[-1][2] / (past[-1][1] @ past[-1][1]))
+        for (moved, bent, curve), pull in zip(past, reversed(pulls), strict=True):
+            step = step + (pull - (bent @ step) / curve) * moved
+        length, down = 1.0, float(slope @ step)
+        while True:
+            tried = w + length * step
+            lower, there = loss(tried)
+            if lower <= value + 1e-4 * length * down:
+                break
+            length /= 2
+            if length < 1e-12:
+                return w
+        moved, bent = tried - w, there - slope
+        if (curve := float(moved @ bent)) > 1e-12 * float(bent @ bent):
+            past.append((moved, bent, curve))
+        before, w, value, slope = value, tried, lower, there
+        if before - value <= settled * before:
+            return w

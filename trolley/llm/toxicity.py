@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.llm.labelled import held_out, sigmoid, training_texts
+from trolley.llm.labelled import held_out, least, sigmoid, training_texts
 from trolley.llm.spans import mixed, slices
 from trolley.storage import written
 
@@ -24,11 +24,10 @@ SAMPLE_ROWS = 12_000
 SIZES = (4, 5, 6)
 BUCKET_BITS = 20
 FEATURES = 12_000
-# standard deviations from chance that a feature needs
-LEAST_STRENGTH = 5.0
 SMOOTHING = 1.0
 RIDGE = 1e-4
-ROUNDS = 150
+# the loss has settled when a round lowers it by a smaller share
+SETTLED = 1e-6
 SEED = 10
 THRESHOLD = 0.5
 
@@ -154,34 +153,32 @@ def _sample_pairs(texts: DataFrame, model: Ratios) -> tuple[np.ndarray, np.ndarr
 
 
 def fit(texts: DataFrame) -> Ratios:
-    """Ratios from document counts, then weights by gradient steps on the log loss."""
+    """Ratios from document counts, then the weights of least log loss."""
     bucket, clean, toxic = _document_counts(texts)
     ratio = np.log((toxic + SMOOTHING) / (toxic.sum() + SMOOTHING * max(len(bucket), 1))) - np.log(
         (clean + SMOOTHING) / (clean.sum() + SMOOTHING * max(len(bucket), 1))
     )
-    # features whose toxic texts are more, or fewer, than chance would explain
+    # first the features whose toxic texts are more, or fewer, than chance would explain; noise is left to the ridge
     expected = (toxic + clean) * (toxic.sum() / max((toxic + clean).sum(), 1))
     strength = np.abs(toxic - expected) / np.sqrt(np.maximum(expected, 1e-9))
-    best = np.argsort(-strength, kind="stable")[:FEATURES]
-    best = np.sort(best[strength[best] >= LEAST_STRENGTH])
+    best = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
     model = Ratios(bucket[best], ratio[best], np.ones(len(best)), 0.0)
     if not len(best):
         return Ratios(model.buckets, model.ratios, model.weights, 2.0 if toxic.sum() > clean.sum() else -2.0)
     label, row, feature = _sample_pairs(texts, model)
     if label.all() or not label.any():
         return Ratios(model.buckets, model.ratios, model.weights * 0, 2.0 if label.any() else -2.0)
-    value = model.ratios[feature]
     n, width = len(label), len(best)
-    # many features per text: small first weights keep the start in the steep part
-    weights, bias = np.full(width, 0.02), float(np.log(label.mean() / (1 - label.mean())))
-    moment, square, rate = np.zeros(width + 1), np.zeros(width + 1), 0.02
-    for turn in range(1, ROUNDS + 1):
-        miss = sigmoid(np.bincount(row, value * weights[feature], n) + bias) - label
-        slope = np.append(np.bincount(feature, value * miss[row], width) / n + RIDGE * weights, miss.mean())
-        moment = 0.9 * moment + 0.1 * slope
-        square = 0.99 * square + 0.01 * slope * slope
-        step = rate * (moment / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
-        weights, bias = weights - step[:-1], bias - step[-1]
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(row, (model.ratios * w[:-1])[feature], n) + w[-1]
+        miss = sigmoid(z) - label
+        slope = np.append(np.bincount(feature, miss[row], width) * model.ratios / n + RIDGE * w[:-1], miss.mean())
+        return float(np.mean(np.logaddexp(0, z) - label * z) + RIDGE / 2 * w[:-1] @ w[:-1]), slope
+
+    start = np.append(np.zeros(width), np.log(label.mean() / (1 - label.mean())))
+    *weights, bias = least(loss, start, SETTLED)
+    weights = np.array(weights)
     return Ratios(model.buckets, model.ratios, weights, float(bias))
 
 
