@@ -15,12 +15,14 @@ from trolley.llm import (
     packing,
     quality,
     suffix_dedup,
+    token_counts,
     topk,
     toxicity,
 )
 from trolley.registry.inputs import table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,10 +38,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 @query("op1_best_fit_packing")
@@ -100,3 +102,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_extraction")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
