@@ -9,7 +9,7 @@ import zlib
 import pytest
 import sentencepiece
 
-from trolley.llm import token_counts
+from trolley.llm import prefix_trie, token_counts
 from trolley.llm.queries import PIECES, tokenizer_path
 
 DOCS = "doc_id bigint, text string, key string, n bigint, pieces string, `row` int, known int, word string"
@@ -66,3 +66,77 @@ def test_each_pretoken_is_counted_once(spark, documents):
 def test_token_counts_of_no_documents(spark):
     none = docs_of(spark, []).limit(0)
     assert token_counts.count_tokens(none, tokenizer_path(PIECES)).collect() == []
+
+
+TURNS = "conv_id bigint, turn bigint, role string, text string, depth int, n int, x1 string, digest string, pos int, h int"
+
+
+def turns_of(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2, "x", "d", 3, 4) for r in rows], TURNS).repartition(3)
+
+
+def brute_trie(rows):
+    convs = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            convs[c].append((t is not None, t or 0, prefix_digest(role, text), (role or "", text or "")))
+    turns = {c: [t[3] for t in sorted(ts)] for c, ts in convs.items()}
+    paths = {}
+    for c in turns:
+        h = zlib.crc32(str(c).encode()) % 4
+        head = c - (abs(c) % 20) * (1 if c >= 0 else -1)
+        paths[c] = tuple(turns.get(head, [])[:h] + turns[c][h:])
+    nodes = collections.defaultdict(list)
+    for c, p in sorted(paths.items()):
+        for d in range(len(p) + 1):
+            nodes[p[:d]].append(c)
+    out = []
+    for p, members in nodes.items():
+        below = [q for q in nodes if q[: len(p)] == p]
+        kids = [q for q in below if len(q) == len(p) + 1]
+        leaves = [q for q in below if not any(len(r) == len(q) + 1 and r[: len(q)] == q for r in below)]
+        saved = sum((len(nodes[q]) - 1) * len(re.findall(prefix_trie.WORD, q[-1][1])) for q in below if q)
+        ends = ",".join(str(c) for c in members if len(paths[c]) == len(p))
+        parent = min(nodes[p[:-1]]) if p else None
+        out.append((min(members), len(p), parent, len(members), len(kids), len(leaves), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def prefix_digest(role, text):
+    role, text = role or "", text or ""
+    return hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest()[:32]
+
+
+def chats(seed, n, most=9, kinds=3):
+    rng, rows = random.Random(seed), []
+    for c in range(n):
+        size = rng.randint(1, most)
+        rows += [(c, t, "user" if t % 2 == 0 else "bot", "say " * rng.randrange(kinds) + "x") for t in range(size)]
+    return rows
+
+
+@pytest.mark.parametrize("block", [1, 2, 4])
+def test_trie(spark, block):
+    rows = chats(1, 90)
+    rows += [(200 + i, t, "user", f"same {t} words here") for i in range(30) for t in range(6)]
+    rows += [(300 + i, t, "user", f"same {t} words here") for i in range(10) for t in range(i)]
+    rows += [(-7, 0, None, None), (-7, None, "user", None), (-7, None, "user", "a"), (-20, 1, "", ""), (None, 0, "user", "lost")]
+    rows += [(400, 1, "user", "tie"), (400, 1, "user", "eit"), (400, 1, "user", "tie"), (401, 1, "user", ""), (419, 5, "x", "word " * 50_000)]
+    got = prefix_trie.trie(turns_of(spark, rows), block)
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert got.columns == columns
+    assert sorted(map(tuple, got.collect()), key=str) == brute_trie(rows)
+
+
+def test_trie_of_long_and_equal_conversations(spark, monkeypatch):
+    """Conversations over many stretches of blocks, and a node where many conversations end."""
+    monkeypatch.setattr(prefix_trie, "STRETCH", 3)
+    monkeypatch.setattr(prefix_trie, "LISTED", 4)
+    rows = [(c, t, "user", f"turn {t % 5}") for c in (20, 40, 41) for t in range(50 + c)]
+    rows += [(c, 0, "user", "hi") for c in range(100, 300, 1)]
+    got = prefix_trie.trie(turns_of(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_trie(rows)
+
+
+def test_trie_of_no_conversations(spark):
+    assert prefix_trie.trie(turns_of(spark, []).limit(0)).collect() == []

@@ -13,6 +13,7 @@ from trolley.llm import (
     mixing,
     near_duplicates,
     packing,
+    prefix_trie,
     quality,
     suffix_dedup,
     token_counts,
@@ -107,3 +108,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_counts")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
+@query("op11_prefix_trie", prefix_trie.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
