@@ -9,7 +9,7 @@ import zlib
 import pytest
 import sentencepiece
 
-from trolley.llm import prefix_trie, token_counts
+from trolley.llm import prefix_trie, spelling, token_counts
 from trolley.llm.queries import PIECES, tokenizer_path
 
 DOCS = "doc_id bigint, text string, key string, n bigint, pieces string, `row` int, known int, word string"
@@ -140,3 +140,88 @@ def test_trie_of_long_and_equal_conversations(spark, monkeypatch):
 
 def test_trie_of_no_conversations(spark):
     assert prefix_trie.trie(turns_of(spark, []).limit(0)).collect() == []
+
+
+def brute_words(rows):
+    counts = collections.Counter()
+    for i, text in rows:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", low):
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 7 and n >= 2}
+
+
+def one_apart(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_groups(words):
+    forms, near_of = {}, {}
+    for w in words:
+        near = [v for v in words if one_apart(w, v)]
+        near_of[w] = len(near)
+        best = min(near, key=lambda v: (-words[v], v), default=None)
+        forms[w] = best if best and words[best] >= 10 * words[w] else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while forms[root]:
+            root = forms[root]
+        out.append((w, forms[w], root, n, near_of[w], words.get(forms[w])))
+    return sorted(out)
+
+
+COLUMNS = ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+def test_spelling_of_texts(spark):
+    rng = random.Random(3)
+    rows = [(None, "Lettera LETTERA lettera"), (1, None), (2, ""), (3, "naïvetéÿ NaïVeTéÿ×÷ÀÀÀÀÀÀÀ ÀÀÀÀÀÀÀ ΣΑΣΑΣΑΣΑ")]
+    stems = ["remember", "remembers", "remembr", "aaaaaaaa", "aaaaaaa", "aaaaaaaaa", "abababab"]
+    for i in range(120):
+        weights = [400, 30, 3, 200, 15, 2, 1]
+        rows.append((i, " ".join(rng.choices(stems, weights, k=rng.randint(0, 400)))))
+    rows += [(7, "x" * 3000 + " " + "x" * 3001)] * 2 + [(8, "word,rememberé\n" * 200_000)]
+    got = spelling.variants(docs_of(spark, rows))
+    assert got.columns == COLUMNS
+    assert sorted(map(tuple, got.collect())) == brute_groups(brute_words(rows))
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcé😀"])
+def test_spelling_groups(spark, letters):
+    """Dense words over small alphabets: every kind of edit, runs of equal letters, long chains of forms."""
+    rng = random.Random(len(letters))
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(0, 7))): rng.choice([1, 2, 3, 20, 25, 300, 4000, 50_000]) for _ in range(250)}
+    words = {w: n for w, n in words.items() if w}
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = spelling.spelling_groups(spark.createDataFrame(list(words.items()), "word string, n bigint"))
+            assert sorted(map(tuple, got.collect())) == brute_groups(words)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_trie_nodes_are_numbered(spark):
+    """Equal prefixes have equal numbers, different ones different numbers without gaps."""
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(400)})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    rows = spelling.numbered_trie(df).orderBy("rank").collect()
+    assert [r.word for r in rows] == words and [r["rank"] for r in rows] == list(range(len(words)))
+    number = {}
+    for r in rows:
+        for i, node in enumerate(r.path, 1):
+            assert number.setdefault(r.word[:i], node) == node
+    assert sorted(number.values()) == list(range(1, len(number) + 1))
+
+
+def test_spelling_of_no_words(spark):
+    assert spelling.variants(docs_of(spark, [(1, "short words"), (2, None)])).collect() == []
+    assert spelling.variants(docs_of(spark, []).limit(0)).collect() == []

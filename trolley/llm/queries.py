@@ -15,6 +15,7 @@ from trolley.llm import (
     packing,
     prefix_trie,
     quality,
+    spelling,
     suffix_dedup,
     token_counts,
     topk,
@@ -113,3 +114,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_prefix_trie", prefix_trie.ORACLE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_spelling_variants", spelling.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
