@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trolley.operators import catalogue_neighbours as cn
 from trolley.operators import neighbours as nb
 from trolley.operators import tfidf as tf
 from trolley.operators.catalogue import with_product_text
@@ -194,6 +195,45 @@ def good_examples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_CATALOGUE_SQL = f"""{_COMBINED_SQL},
+scores AS (
+  SELECT a.id, b.id AS neighbour_id, round(sum(a.weight * b.weight), 9) AS score
+  FROM combined a JOIN combined b ON a.idx = b.idx AND a.id <> b.id GROUP BY a.id, b.id),
+near AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbour_id) AS rank
+  FROM scores WHERE score > 0 QUALIFY rank <= 9)
+"""
+
+
+def _catalogue_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = tf.similarity_vectors(enriched(spark, sf))[1]
+    return cn.catalogue_neighbours(vectors.withColumn("id", F.col("id").cast("bigint")), 9)
+
+
+@query(
+    "catalogue_neighbours",
+    f"""{_CATALOGUE_SQL} SELECT id, rank::INTEGER AS rank, neighbour_id, round(score, 6) AS score
+    FROM near""",
+)
+def catalogue_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The nine nearest products of every product."""
+    return _catalogue_neighbours(spark, sf).select(
+        "id", "rank", "neighbour_id", rounded("score").alias("score")
+    )
+
+
+@query(
+    "catalogue_similarity",
+    f"""{_CATALOGUE_SQL} SELECT round(avg(score), 6) AS mean_similarity,
+      round(stddev_pop(score), 6) AS std_similarity,
+      round(quantile_cont(score, 0.95), 6) AS p95_similarity FROM near""",
+)
+def catalogue_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """The similarity report over the neighbours of the whole catalogue."""
+    stats = nb.similarity_statistics(_catalogue_neighbours(spark, sf))
+    return stats.select(*[rounded(c).alias(c) for c in stats.columns])
+
+
 @query(
     "similarity_output",
     f"""{_COMBINED_SQL} SELECT 'product_similarity' AS embedding_type,
