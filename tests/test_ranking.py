@@ -166,6 +166,18 @@ def test_nearest_items_in_blocks(spark, crowd, vectors):
         assert [r.item_id for r in got] == want
 
 
+def test_nearest_items_stay_on_executors(spark, crowd, vectors):
+    found = rk.evaluation_cases(crowd, vectors)
+    profiles = rk.user_profiles(found.history, vectors)
+    nearest = mt.recommend_nearest(profiles, vectors, 7, block_bytes=5000)
+    plan = nearest._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "WindowGroupLimit" in plan and "Broadcast" not in plan
+    blank = vectors.select("item_id", F.when(F.col("item_id") % 2 == 0, F.col("embedding")).alias("embedding"))
+    odd = mt.recommend_nearest(profiles.unionByName(profiles.limit(1).selectExpr("-1L AS user_id", "cast(NULL AS array<double>) AS profile")), blank, 3)
+    assert odd.where("item_id % 2 = 1 OR user_id = -1").isEmpty() and odd.count() == 3 * profiles.count()
+    assert mt.recommend_nearest(profiles.limit(0), vectors, 3).isEmpty()
+
+
 def test_items_and_users_without_vectors(spark):
     """Candidates and profiles without a vector score zero, on both paths."""
     vectors = spark.createDataFrame(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trolley.operators.baskets import Baskets
@@ -15,8 +14,10 @@ from trolley.operators.vocab import item_frequencies
 from trolley.storage import written
 
 CUTOFFS = [1, 5, 10, 15, 20, 50]
-BLOCK_BYTES = 128 * 1024 * 1024
+# items, and profiles, of one cell; two such blocks are in a task at a time
+BLOCK_BYTES = 32 * 1024 * 1024
 USERS_AT_ONCE = 256
+SCORE_DIGITS = 12
 
 
 def target_items(baskets: Baskets) -> DataFrame:
@@ -39,32 +40,39 @@ def recommend_popular(baskets: Baskets, k: int) -> DataFrame:
     ).select("user_id", "item_id", (F.col("pos") + 1).alias("rank"))
 
 
-def _best_of_block(shared, k: int):
-    """Per Arrow batch of profiles: the k best items of one block of the item matrix."""
+def _best_of_cell(k: int):
+    """For one block of items and one of profiles: the k best items of each profile."""
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = shared.value
-        keep = min(k, len(ids))
-        for batch in batches:
-            for start in range(0, batch.num_rows, USERS_AT_ONCE):
-                part = batch.slice(start, USERS_AT_ONCE)
-                flat = part.column("profile").flatten().to_numpy()
-                scores = unit_rows(flat.reshape(part.num_rows, -1)) @ unit.T
+    def best(items: pa.Table, users: pa.Table) -> pa.Table:
+        found_users, found_items, found_scores = [], [], []
+        if items.num_rows and users.num_rows:
+            ids = items["item_id"].to_numpy()
+            unit = unit_rows(_dense(items["v"], items.num_rows))
+            keep = min(k, len(ids))
+            for start in range(0, users.num_rows, USERS_AT_ONCE):
+                part = users.slice(start, USERS_AT_ONCE)
+                # equal vectors must tie exactly, whatever block they are in
+                scores = np.round(unit_rows(_dense(part["profile"], part.num_rows)) @ unit.T, SCORE_DIGITS)
                 floor = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-                items, values = [], []
-                for row, least in zip(scores, floor):
+                for user, row, least in zip(part["user_id"].to_pylist(), scores, floor):
                     near = np.flatnonzero(row >= least)
                     near = near[np.lexsort((ids[near], -row[near]))][:keep]
-                    items.append(ids[near])
-                    values.append(row[near])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("user_id"), pa.array(items), pa.array(values)],
-                    names=["user_id", "items", "scores"],
-                )
+                    found_users.append(np.full(len(near), user))
+                    found_items.append(ids[near])
+                    found_scores.append(row[near])
+        columns = zip((found_users, found_items, found_scores), (np.int64, np.int64, np.float64))
+        return pa.table(
+            [pa.array(np.concatenate(c) if c else np.zeros(0, t), pa.from_numpy_dtype(t)) for c, t in columns],
+            names=["user_id", "item_id", "score"],
+        )
 
     return best
 
 
+def _dense(vectors: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy().reshape(rows, -1)
+
+
 def recommend_nearest(
     profiles: DataFrame,
     vectors: DataFrame,
@@ -74,47 +82,48 @@ def recommend_nearest(
 ) -> DataFrame:
     """(user_id, item_id, rank): the ``k`` items with highest cosine to the profile.
 
-    The item matrix is shared block by block, each block within ``block_bytes``, and
-    every block keeps only k items per user before anything is shuffled.
+    Items and profiles are cut into blocks of about ``block_bytes``, and every block of
+    items meets every block of profiles on an executor. Nothing goes through the driver or
+    a broadcast. A cell keeps k items per profile, and a rank filter cuts a user's lists
+    before they are merged. Items without a vector are never recommended and users without
+    a profile get no list; equal scores go by item id.
     """
     spark = vectors.sparkSession
-    rows, width = vectors.agg(F.count("*"), F.max(F.size(col))).first()
-    n_blocks = max(1, -(-(rows * width * 8) // block_bytes))
-    blocks = vectors.select(
-        "item_id",
-        F.col(col).cast("array<double>").alias("v"),
-        F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)).alias("block"),
+    rows, width = vectors.agg(F.count(col), F.max(F.size(col))).first()
+    profiles = written(
+        profiles.where("profile IS NOT NULL").select("user_id", F.col("profile").cast("array<double>").alias("profile")),
+        "profiles",
     )
-    if n_blocks > 1:
-        blocks = written(blocks, "item-blocks")
-        profiles = written(profiles, "profiles")
-    found = None
-    for number in range(n_blocks):
-        local = blocks.where(F.col("block") == number).toArrow()
-        if local.num_rows == 0:
-            continue
-        ids = local["item_id"].to_numpy()
-        values = local["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), width)
-        shared = spark.sparkContext.broadcast((ids, unit_rows(values)))
-        part = profiles.select("user_id", "profile").mapInArrow(
-            _best_of_block(shared, k),
-            "user_id bigint, items array<bigint>, scores array<double>",
-        )
-        if n_blocks > 1:
-            part = written(part, "block-best")
-            shared.destroy()
-        found = part if found is None else found.unionByName(part)
-    # a user has at most k items per block
-    listed = found.select("user_id", F.explode(F.arrays_zip("items", "scores")).alias("e"))
-    order = F.sort_array(
-        F.collect_list(F.struct((-F.col("e.scores")).alias("s"), F.col("e.items").alias("i")))
+    n_users = profiles.count()
+    per_block = max(1, block_bytes // (8 * (width or 1)))
+    item_blocks = max(1, -(-rows // per_block))
+    # blocks of profiles are small enough to occupy every core
+    per_core = -(-n_users // spark.sparkContext.defaultParallelism)
+    user_blocks = max(1, -(-n_users // max(1, min(per_block, per_core))))
+
+    def block_of(key: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    cell = ["item_block", "user_block"]
+    items = vectors.where(F.col(col).isNotNull()).select(
+        block_of("item_id", item_blocks).alias("item_block"), every(user_blocks).alias("user_block"),
+        F.col("item_id").cast("bigint").alias("item_id"), F.col(col).cast("array<double>").alias("v"),
     )
-    return (
-        listed.groupBy("user_id")
-        .agg(F.slice(order, 1, k).alias("top"))
-        .select("user_id", F.posexplode("top").alias("pos", "t"))
-        .select("user_id", F.col("t.i").alias("item_id"), (F.col("pos") + 1).alias("rank"))
+    users = profiles.select(
+        every(item_blocks).alias("item_block"), block_of("user_id", user_blocks).alias("user_block"),
+        F.col("user_id").cast("bigint").alias("user_id"), "profile",
+    )
+    found = (
+        items.groupBy(*cell)
+        .cogroup(users.groupBy(*cell))
+        .applyInArrow(_best_of_cell(k), "user_id bigint, item_id bigint, score double")
     )
+    order = W.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("user_id", "item_id", "rank")
 
 
 def _user_hits(recommended: DataFrame, relevant: DataFrame, cutoffs: list[int]) -> DataFrame:
