@@ -221,3 +221,35 @@ def test_prepared_files(spark, sequences, tmp_path):
     assert (meta.num_train, meta.num_val) == (2, 1)
     assert meta.vocab_size == done.vocab.count() + 2
     assert meta.max_basket_size == 3
+
+
+def test_a_huge_basket_widens_only_its_own_row(spark, tmp_path):
+    """One basket of 100,000 items: stored rows of others stay small, padding waits for the reader."""
+    small = [(u, b, u * 10 + b, u * 7 + i) for u in range(1, 6) for b in range(3) for i in range(u)]
+    lines = spark.createDataFrame([(o, p) for _, _, o, p in small], "l_orderkey bigint, l_partkey bigint").unionByName(
+        spark.range(100_000).selectExpr("900L AS l_orderkey", "id AS l_partkey")
+    )
+    orders = spark.createDataFrame([(o, u, b) for u, b, o, _ in {(u, b, o, 0) for u, b, o, _ in small}] + [(900, 9, 0), (11, 9, 1)],
+                                   "o_orderkey bigint, o_custkey bigint, d int")
+    orders = orders.dropDuplicates(["o_orderkey"]).selectExpr("o_orderkey", "o_custkey", "timestamp_seconds(d * 86400) AS o_orderdate")
+    path = str(tmp_path / "out")
+    prepare_sequences(bk.baskets_from_orders(orders, lines), max_seq=2, path=path)
+    ragged = src.read_ragged(spark, path)
+    sizes = {r.user_id: r.n for r in ragged.selectExpr("user_id", "aggregate(baskets, 0, (a, b) -> a + size(b)) + size(target) AS n").collect()}
+    assert max(n for u, n in sizes.items() if u != 9) <= 15 and sizes[9] >= 100_000
+    padded = src.read_prepared(spark, path)
+    row = padded.where("user_id = 3").select("sequence", "target_padded", "sequence_mask").first()
+    assert [len(b) for b in row.sequence] == [100_000] * 2 and len(row.target_padded) == 100_000
+    assert sum(x != 0 for x in row.target_padded) == 3 and row.sequence_mask == [1, 1]
+    plan = padded.select("target_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "baskets" not in plan.split("ReadSchema: ")[1].splitlines()[0]
+
+
+def test_reader_gives_the_padded_rows(spark, sequences, tmp_path):
+    path = str(tmp_path / "out")
+    done = prepare_sequences(bk.baskets_from_sequences(sequences), max_seq=4, max_basket=2, path=path)
+    columns = ["user_id", "sequence", "sequence_mask", "basket_mask", "target_padded", "target_tokens", "masked_sequence", "masked_labels", "split"]
+    stored = src.read_prepared(spark, path).select(*columns)
+    encoded = encode.mask_baskets(encode.encode_sequences(bk.baskets_from_sequences(sequences), done.vocab, 4, 2))
+    assert sorted(stored.collect()) == sorted(done.rows.select(*columns).collect())
+    assert sorted(stored.drop("split").collect()) == sorted(encoded.select(*columns[:-1]).collect())

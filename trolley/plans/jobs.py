@@ -11,7 +11,7 @@ from trolley.operators import composites as comp
 from trolley.operators import neighbours
 from trolley.operators.baskets import Baskets
 from trolley.operators.catalogue import enrich_products
-from trolley.operators.encode import encode_sequences, mask_baskets
+from trolley.operators.encode import hide_baskets, mask_ragged, pad_sequences, ragged_sequences
 from trolley.operators.families import Families, fuzzy_families
 from trolley.operators.linalg import SvdModel, project, truncated_svd
 from trolley.operators.ranking import (
@@ -39,12 +39,13 @@ from trolley.storage import written
 
 
 class Prepared(NamedTuple):
-    """Vocabulary, prepared rows with their split, and the widths used."""
+    """Vocabulary, prepared rows with their split, the widths used, and the ragged rows."""
 
     vocab: DataFrame
     rows: DataFrame
     max_seq: int
     max_basket: int
+    ragged: DataFrame
 
 
 def prepare_sequences(
@@ -56,16 +57,22 @@ def prepare_sequences(
     seed: int = 42,
     path: str | None = None,
 ) -> Prepared:
-    """Vocabulary, padded sequences, masked copies and the train/val split."""
+    """Vocabulary, padded sequences, masked copies and the train/val split.
+
+    What is written are ragged rows; ``rows`` pads them as they are read.
+    """
     vocab = written(vocabulary(baskets.items), "vocabulary")
-    width = max_basket or max_basket_size(baskets)
-    encoded = written(encode_sequences(baskets, vocab, max_seq, width), "encoded")
-    masked = mask_baskets(encoded, mask_prob, seed)
-    done = Prepared(vocab, assign_split(masked, "user_id", val_fraction, seed), max_seq, width)
+    largest = max_basket_size(baskets)
+    width = max_basket or largest
+    ragged = written(
+        ragged_sequences(baskets, vocab, max_seq, width if width < largest else None), "ragged"
+    )
+    ragged = assign_split(mask_ragged(ragged, mask_prob, seed), "user_id", val_fraction, seed)
     if path:
         write_vocabulary(vocab, f"{path}/vocabulary")
-        write_prepared(done.rows, vocab, path, max_seq, width)
-    return done
+        write_prepared(ragged, vocab, path, max_seq, width)
+    rows = hide_baskets(pad_sequences(ragged, width, max_seq))
+    return Prepared(vocab, rows, max_seq, width, ragged)
 
 
 def group_products(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trolley.operators import baskets as bk
 from trolley.operators import encode, split, stats, vocab
 from trolley.plans.jobs import prepare_sequences
-from trolley.registry.base import query, rounded
+from trolley.registry.base import ORACLES, query, rounded
 from trolley.registry.inputs import BASKETS_SQL, basket_items, baskets, table
 from trolley.sources import tables as src
 from trolley.storage import new_path
@@ -166,7 +166,11 @@ def target_token_sets(spark: SparkSession, sf: str) -> DataFrame:
     FROM counted c LEFT JOIN chosen USING (user_id)""",
 )
 def masked_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.mask_baskets(_encoded(spark, sf)).select(
+    return _masked(encode.mask_baskets(_encoded(spark, sf)))
+
+
+def _masked(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "user_id",
         F.array_join("masked_positions", ",").alias("masked_positions"),
         _joined("masked_labels").alias("masked_labels"),
@@ -228,8 +232,7 @@ def prepared_output(spark: SparkSession, sf: str) -> DataFrame:
 def prepared_rows(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "prepared")
     prepare_sequences(baskets(spark, sf), path=path)
-    rows = spark.read.parquet(f"{path}/data")
-    return rows.select(
+    return src.read_prepared(spark, path).select(
         "user_id",
         F.col("split"),
         F.aggregate("sequence_mask", F.lit(0), lambda a, m: a + m).alias("n_history"),
@@ -238,6 +241,14 @@ def prepared_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("stored_sequences", ORACLES["masked_sequences"])
+def stored_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Masked sequences through the ragged files and the padding reader."""
+    path = new_path(spark, "prepared")
+    prepare_sequences(baskets(spark, sf), path=path)
+    return _masked(src.read_prepared(spark, path))
+
+
 def _sequence_file(spark: SparkSession, sf: str, sequence: str, target: str) -> str:
     """The histories as a CSV of list literals, the form customer files come in."""
     nested = bk.nested_sequences(baskets(spark, sf))

@@ -29,8 +29,9 @@ def write_prepared(
     max_basket: int,
     mode: str = "errorifexists",
 ) -> None:
-    """``data`` partitioned by split, and ``metadata`` with sizes and counts.
+    """Ragged rows in ``data``, partitioned by split, and ``metadata`` with widths and counts.
 
+    Padding is left to ``read_prepared``, so the size of the files is that of the tokens.
     The counts come from the written files, so the pipeline runs once.
     """
     spark = prepared.sparkSession

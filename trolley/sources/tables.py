@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trolley.operators.encode import hide_baskets, pad_sequences
 from trolley.operators.position import with_positions
 
 # How the two sequence columns are recognised when not named exactly.
@@ -173,3 +174,20 @@ def family_members(families: DataFrame) -> DataFrame:
         "product.department",
         "product.aisle",
     )
+
+
+def read_ragged(spark: SparkSession, path: str) -> DataFrame:
+    """The prepared rows of ``write_prepared`` as they are stored, without padding."""
+    return spark.read.parquet(f"{path}/data")
+
+
+def read_prepared(spark: SparkSession, path: str) -> DataFrame:
+    """The prepared rows at the widths of their metadata, with masked copies and labels.
+
+    Padding is made row by row from the columns that are used, so a reader of, say, target
+    tokens alone neither reads nor builds sequences.
+    """
+    sizes = spark.read.parquet(f"{path}/metadata").first()
+    ragged = read_ragged(spark, path)
+    padded = pad_sequences(ragged, sizes["max_basket_size"], sizes["max_seq_length"])
+    return hide_baskets(padded) if "masked_positions" in ragged.columns else padded
