@@ -7,6 +7,7 @@ import __spark_entry__ as entry_module
 from trolley.operators import encode, vocab
 from trolley.operators.baskets import baskets_from_orders
 from trolley.operators.families import fuzzy_families
+from trolley.operators import ranking as rk
 from trolley.operators.ranking import evaluation_cases, sample_candidates
 
 
@@ -104,3 +105,42 @@ def test_scan_reads_only_needed_columns(spark, sf):
     plan = plan_of(entry_module.queries()["top_items"](spark, sf))
     schema = plan.split("ReadSchema: ")[1].splitlines()[0]
     assert schema == "struct<l_orderkey:bigint,l_partkey:bigint>"
+
+
+def test_scores_in_cells_are_those_of_the_shared_matrix(spark, skewed):
+    """One customer with a third of all cases, blocks of a few items, gaps in the vectors."""
+    found = evaluation_cases(baskets_from_orders(*skewed))
+    parts = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.sin(F.col("id") * i + i))
+    vectors = spark.range(800).where("id % 7 <> 3").select(F.col("id").alias("item_id"), parts.alias("embedding"))
+    history = found.history.where("user_id <> 5")
+    cases = sample_candidates(found, spark.range(800).withColumnRenamed("id", "item_id"), n=20)
+    whole = rk.rank_embedding(history, vectors)(cases)
+    cells = rk.rank_embedding(history, vectors, limit_bytes=0, cell_bytes=3000)(cases)
+    plan = plan_of(cells)
+    assert "FlatMapCoGroupsInArrow" in plan
+    a, b = ({(r.user_id, r.positive_item): r for r in rows.collect()} for rows in (whole, cells))
+    assert a.keys() == b.keys()
+    for key, row in a.items():
+        assert row.candidates == b[key].candidates and row.scores == pytest.approx(b[key].scores)
+
+
+def test_times_in_place_are_those_of_the_join(spark, skewed):
+    found = evaluation_cases(baskets_from_orders(*skewed))
+    cases = sample_candidates(found, spark.range(800).withColumnRenamed("id", "item_id"), n=20)
+    bought = found.usage.select("user_id", "item_id", F.lit(2).alias("times"))
+    got = [rk.rank_frequency(bought, inline_history=n)(cases).select("user_id", "positive_item", "scores") for n in (5_000, 12, 0)]
+    assert got[0].exceptAll(got[1]).isEmpty() and got[0].exceptAll(got[2]).isEmpty()
+    assert got[0].count() == got[1].count() == got[2].count() == cases.count()
+    assert got[0].where("scores[0] = 0").isEmpty()
+
+
+def test_histories_do_not_travel_beside_cases(spark, skewed):
+    """No exchange carries both a case's positive and the blocked places of its user."""
+    found = evaluation_cases(baskets_from_orders(*skewed))
+    blocked = found.history.groupBy("user_id").agg(F.collect_list("item_id").alias("blocked"), F.count("*").alias("n_cases"))
+    cases = found.cases.withColumn("positive_pos", F.col("positive_item"))
+    plan = rk._inline_negatives(cases, blocked, rk.DrawStream(800, 20, 1.3, 1))._jdf.queryExecution()
+    formatted = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    exchanges = [e for e in formatted.split("\n\n") if "Exchange" in e.split("\n")[0]]
+    inputs = [e.split("Input")[1].splitlines()[0] for e in exchanges if "Input" in e]
+    assert inputs and not any("blocked" in i and "positive_item" in i for i in inputs)

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trolley.functions.hashing import hash_to_long, keyed_hash
-from trolley.functions.vectors import cosine, mean_vector
+from trolley.functions.vectors import mean_vector
 from trolley.operators.baskets import Baskets
 from trolley.operators.position import with_key_positions, with_positions
 from trolley.operators.skew import attach_by_key
@@ -28,8 +28,12 @@ TOP_K = 10
 # a history up to this long travels with its cases; longer ones are joined in long form
 INLINE_HISTORY = 5_000
 DRAWS_AT_ONCE = 1_000
-# an item matrix up to this size is shared with every task; beyond it vectors are joined
+# an item matrix up to this size is shared with every task; beyond it blocks of
+# ``CELL_BYTES`` meet blocks of cases
 SHARED_MATRIX_BYTES = 256 * 1024 * 1024
+CELL_BYTES = 32 * 1024 * 1024
+# a cell scores about a hundred times as many candidates
+CASES_PER_ITEM_BLOCK = 2_500
 
 CASE_COLUMNS = ["user_id", "positive_item", "positive_pos", "history_size"]
 
@@ -156,17 +160,18 @@ class DrawStream(NamedTuple):
 
 
 def _inline_negatives(cases: DataFrame, blocked: DataFrame, stream: DrawStream) -> DataFrame:
-    """The first draws outside the history, with the history as an array beside the case.
+    """The first draws outside the history, which meets the case where it is drawn.
 
-    Short histories leave most of the catalogue free, so the draws are few.
+    Short histories leave most of the catalogue free, so the draws are few. Cases and
+    histories move apart from each other, a history once per user.
     """
-    ready = attach_by_key(cases, blocked, ["user_id"], "n_cases", "left", cheap=True)
+    ready = attach_by_key(
+        cases, blocked, ["user_id"], "n_cases", "left", cheap=True, spread_by=["user_id", "positive_item"]
+    )
     draws = F.transform(F.sequence(F.lit(0), stream.length().cast("int")), stream.at)
     taken = F.coalesce("blocked", F.array().cast("array<bigint>"))
     free = F.array_except(draws, F.array_append(taken, F.col("positive_pos")))
-    return spread(ready, "user_id", "positive_item").select(
-        *CASE_COLUMNS, F.slice(free, 1, stream.wanted).alias("negatives")
-    )
+    return ready.select(*CASE_COLUMNS, F.slice(free, 1, stream.wanted).alias("negatives"))
 
 
 def _joined_negatives(cases: DataFrame, history: DataFrame, stream: DrawStream) -> DataFrame:
@@ -353,35 +358,51 @@ def rank_random(seed: int = 42) -> Ranker:
     return rank
 
 
-def rank_frequency(purchases: DataFrame) -> Ranker:
+def _times_by_join(candidates: DataFrame, purchases: DataFrame) -> DataFrame:
+    """(user_id, positive_item, _seen): candidates found in histories, for histories of any length."""
+    single = candidates.select(
+        "user_id", "positive_item", F.explode("candidates").alias("item_id")
+    )
+    seen = single.join(purchases, ["user_id", "item_id"])
+    # only candidates found in a history travel on
+    return seen.groupBy("user_id", "positive_item").agg(
+        F.map_from_entries(F.collect_list(F.struct("item_id", "times"))).alias("_seen")
+    )
+
+
+def rank_frequency(purchases: DataFrame, inline_history: int = INLINE_HISTORY) -> Ranker:
     """Scores are the number of history baskets of (user_id, item_id) in ``times``.
 
     Histories without leakage never contain a candidate, so such cases fall back to
-    item order.
+    item order. A history of up to ``inline_history`` items meets its user's cases as one
+    map; candidates of users with longer ones are joined in long form.
     """
 
     def rank(candidates: DataFrame) -> DataFrame:
-        single = candidates.select(
-            "user_id", "positive_item", F.explode("candidates").alias("item_id")
-        )
-        seen = single.join(
-            purchases.select("user_id", "item_id", "times"), ["user_id", "item_id"]
+        rows = purchases.select("user_id", "item_id", "times")
+        cases = candidates.groupBy("user_id").agg(F.count("*").alias("_cases"))
+        sizes = written(
+            rows.groupBy("user_id").agg(F.count("*").alias("_size")).join(cases, "user_id"), "history-sizes"
         )
-        # only candidates found in a history travel on
-        hits = seen.groupBy("user_id", "positive_item").agg(
+        is_long = F.col("_size") > inline_history
+        long_users = sizes.where(is_long).select("user_id")
+        maps = rows.join(sizes.where(~is_long), "user_id").groupBy("user_id", "_cases").agg(
             F.map_from_entries(F.collect_list(F.struct("item_id", "times"))).alias("_seen")
         )
-        score = F.transform(
-            "candidates",
-            lambda item: F.coalesce(
-                F.try_element_at("_seen", item).cast("double"), F.lit(0.0)
-            ),
-        )
-        return (
-            candidates.join(hits, ["user_id", "positive_item"], "left")
-            .withColumn("scores", score)
-            .drop("_seen")
+        seen = F.transform(
+            "candidates", lambda item: F.coalesce(F.try_element_at("_seen", item).cast("double"), F.lit(0.0))
         )
+        keyed = ["user_id", "positive_item"]
+        if long_users.isEmpty():
+            ready = attach_by_key(candidates, maps, ["user_id"], "_cases", "left", spread_by=keyed)
+        else:
+            short = attach_by_key(
+                candidates.join(long_users, "user_id", "left_anti"), maps, ["user_id"], "_cases", "left", spread_by=keyed
+            ).drop("_cases")
+            long = candidates.join(long_users, "user_id", "left_semi")
+            long_rows = rows.join(long_users, "user_id", "left_semi")
+            ready = short.unionByName(long.join(_times_by_join(long, long_rows), keyed, "left"))
+        return ready.select(*candidates.columns, seen.alias("scores"))
 
     return rank
 
@@ -475,50 +496,105 @@ def rank_embedding(
     vectors: DataFrame,
     col: str = "embedding",
     limit_bytes: int = SHARED_MATRIX_BYTES,
+    cell_bytes: int = CELL_BYTES,
 ) -> Ranker:
     """Scores are cosines between the user's mean history vector and the candidates.
 
     A candidate without a vector, and every candidate of a user without a profile,
     scores 0, as the zero vector does. A profile is made once per user, not per case. An
-    item matrix within the size limit is shared and scored in Arrow batches; a larger
-    one is joined.
+    item matrix within the size limit is shared and scored in Arrow batches; blocks of a
+    larger one meet blocks of cases.
     """
 
     def rank(candidates: DataFrame) -> DataFrame:
         profiles = user_profiles(history, vectors, col, limit_bytes)
         sizes = candidates.groupBy("user_id").agg(F.count("*").alias("_rows"))
+        shared = shared_matrix(vectors, col, limit_bytes)
+        if shared is None:
+            return _score_in_cells(candidates, sizes, profiles, vectors, col, cell_bytes)
         ready = attach_by_key(
             candidates, sizes.join(profiles, "user_id", "left"), ["user_id"], "_rows"
         ).drop("_rows")
-        shared = shared_matrix(vectors, col, limit_bytes)
-        if shared is not None:
-            return ready.mapInArrow(
-                _score_in_batches(shared),
-                "user_id bigint, positive_item bigint, candidates array<bigint>, "
-                "scores array<double>",
-            )
-        return _score_by_join(ready, vectors, col)
+        return ready.mapInArrow(
+            _score_in_batches(shared),
+            "user_id bigint, positive_item bigint, candidates array<bigint>, "
+            "scores array<double>",
+        )
 
     return rank
 
 
-def _score_by_join(ready: DataFrame, vectors: DataFrame, col: str) -> DataFrame:
-    """Cosines by joining vectors to single candidates, for matrices of any size."""
-    single = ready.select(
-        "user_id", "positive_item", "profile",
-        F.posexplode("candidates").alias("k", "item_id"),
-    )
-    demand = single.groupBy("item_id").agg(F.count("*").alias("_rows"))
-    scored = attach_by_key(
-        single,
-        demand.join(vectors.select("item_id", F.col(col).alias("_v")), "item_id", "left"),
-        ["item_id"],
-        "_rows",
-    ).select(
-        "user_id", "positive_item", "k", "item_id",
-        F.when(F.col("profile").isNull() | F.col("_v").isNull(), F.lit(0.0))
-        .otherwise(cosine(F.col("profile"), F.col("_v")))
-        .alias("score"),
+def _cell_scores(singles: pa.Table, known: pa.Table) -> pa.Table:
+    """Scores of single candidates by the item vectors and profiles of their cell."""
+    scores = np.zeros(singles.num_rows)
+    if singles.num_rows and known.num_rows:
+        is_item = known["is_item"].to_numpy(zero_copy_only=False)
+        ids = known["id"].to_numpy()
+        unit = unit_rows(known["v"].combine_chunks().flatten().to_numpy().reshape(known.num_rows, -1))
+        rows, found = [], np.ones(singles.num_rows, bool)
+        for kind, column in ((True, "item_id"), (False, "user_id")):
+            place = np.flatnonzero(is_item == kind)
+            place = place[np.argsort(ids[place], kind="stable")]
+            wanted = singles[column].to_numpy()
+            at = np.searchsorted(ids[place], wanted)
+            inside = at < len(place)
+            row = place[np.where(inside, at, 0)] if len(place) else np.zeros(len(wanted), np.int64)
+            found &= inside & (ids[row] == wanted) if len(place) else False
+            rows.append(row)
+        scores[found] = np.einsum("ij,ij->i", unit[rows[0][found]], unit[rows[1][found]])
+    return pa.table(
+        [singles["user_id"], singles["positive_item"], singles["k"], singles["item_id"], pa.array(scores)],
+        names=["user_id", "positive_item", "k", "item_id", "score"],
+    )
+
+
+def _score_in_cells(
+    candidates: DataFrame, sizes: DataFrame, profiles: DataFrame, vectors: DataFrame, col: str, cell_bytes: int
+) -> DataFrame:
+    """Cosines for matrices of any size: blocks of items meet blocks of cases.
+
+    Single candidates travel as ids. A vector goes once to each block of cases, a profile
+    once to each block of items. The cases of a user with many of them are dealt to
+    several blocks, and the profile to each of these.
+    """
+    width = vectors.agg(F.max(F.size(col))).first()[0] or 1
+    per_block = max(1, cell_bytes // (8 * width))
+    item_blocks = max(1, -(-vectors.count() // per_block))
+    sizes = written(sizes, "case-counts")
+    n_cases = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    per_cell = CASES_PER_ITEM_BLOCK * item_blocks
+    case_blocks = max(
+        -(-n_cases // per_cell), min(n_cases, candidates.sparkSession.sparkContext.defaultParallelism), 1
+    )
+    dealt = F.greatest(F.ceil(F.col("_rows") * case_blocks / F.lit(max(n_cases, 1))), F.lit(1)).cast("int")
+    sizes = sizes.select("user_id", "_rows", dealt.alias("_dealt"))
+
+    def case_block(part: Column) -> Column:
+        return F.pmod(F.xxhash64("user_id", part.cast("int")), F.lit(case_blocks)).cast("int")
+
+    def item_block(item: str) -> Column:
+        return F.pmod(F.xxhash64(item), F.lit(item_blocks)).cast("int")
+
+    cell = ["item_block", "case_block"]
+    placed = attach_by_key(candidates, sizes, ["user_id"], "_rows", cheap=True).select(
+        "user_id", "positive_item", F.posexplode("candidates").alias("k", "item_id"),
+        case_block(F.pmod(F.xxhash64("positive_item"), F.col("_dealt"))).alias("case_block"),
+    )
+    singles = placed.withColumn("item_block", item_block("item_id"))
+    items = vectors.where(F.col(col).isNotNull()).select(
+        F.lit(True).alias("is_item"), F.col("item_id").cast("bigint").alias("id"), F.col(col).cast("array<double>").alias("v"),
+        item_block("item_id").alias("item_block"), F.explode(F.sequence(F.lit(0), F.lit(case_blocks - 1))).alias("case_block"),
+    )
+    parts = F.explode(F.sequence(F.lit(0), F.col("_dealt") - 1))
+    people = profiles.where("profile IS NOT NULL").join(sizes, "user_id").select("user_id", "profile", parts.alias("part"))
+    people = people.select(
+        F.lit(False).alias("is_item"), F.col("user_id").cast("bigint").alias("id"), F.col("profile").cast("array<double>").alias("v"),
+        F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("item_block"), case_block(F.col("part")).alias("case_block"),
+    ).distinct()
+    scored = (
+        singles.groupBy(*cell)
+        .cogroup(items.unionByName(people).groupBy(*cell))
+        .applyInArrow(_cell_scores, "user_id bigint, positive_item bigint, k int, item_id bigint, score double")
     )
     listed = scored.groupBy("user_id", "positive_item").agg(
         F.sort_array(F.collect_list(F.struct("k", "item_id", "score"))).alias("c")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.storage import written
+from trolley.storage import spread, written
+
 
 def attach_by_key(
     df: DataFrame,
@@ -14,6 +15,7 @@ def attach_by_key(
     rows_col: str,
     how: str = "inner",
     cheap: bool = False,
+    spread_by: list[str] | None = None,
 ) -> DataFrame:
     """Join ``stats`` (one row per key) to ``df`` without sending a hot key to one task.
 
@@ -23,6 +25,10 @@ def attach_by_key(
     data. Hot keys are joined by broadcast and their rows never shuffle; the others take
     an ordinary join. ``stats`` is read several times, so it is written first unless it
     is ``cheap`` to read again.
+
+    With ``spread_by`` costly work may follow in the same stage: rows of ordinary keys meet
+    their facts in as many partitions as there are, those of hot keys are dealt by these
+    columns ahead of the join. So wide facts never travel beside the rows.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -32,11 +38,16 @@ def attach_by_key(
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # as few keys as there could be hot ones: one broadcast of them all is the whole job
     if n_keys <= parts:
-        return df.join(F.broadcast(stats), keys, how)
+        dealt = spread(df, *spread_by) if spread_by else df
+        return dealt.join(F.broadcast(stats), keys, how)
     if not total or largest * parts <= total:
-        return df.join(stats, keys, how)
+        return (spread(df, *keys) if spread_by else df).join(stats, keys, how)
     is_hot = F.coalesce(F.col(rows_col) * parts > F.lit(total), F.lit(False))
     hot, warm = stats.where(is_hot), stats.where(~is_hot)
+    other_rows = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    if spread_by:
+        df = spread(df.join(F.broadcast(hot.select(*keys)), keys, "left_semi"), *spread_by)
+        other_rows = spread(other_rows, *keys)
     hot_rows = df.join(F.broadcast(hot), keys, "inner")
-    other_rows = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(warm, keys, how)
+    other_rows = other_rows.join(warm, keys, how)
     return hot_rows.unionByName(other_rows)
