@@ -444,3 +444,43 @@ def test_empty_tables(spark):
         topk.top_k(vectors, vectors), extraction.extract(pages), suffix_dedup.without_repeats(docs), mixing.mixed_rows(docs),
     ):
         assert df.count() == 0
+
+
+def edited_copies(n, seed=4):
+    """Copies of one text of 150 words with one to five words replaced."""
+    rng = random.Random(seed)
+    base, rows = prose(77, 150).split(), []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.randint(1, 5)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "a"))
+    return rows
+
+
+def test_pairs_grow_with_the_copies(spark, monkeypatch):
+    """Comparisons inside a group of near copies grow with their number, not with its square."""
+    compared = {}
+
+    def counting(df, label):
+        out = plain(df, label)
+        if label in ("first-stars", "stars", "last-stars", "rest-pairs"):
+            compared[n] = compared.get(n, 0) + out.count()
+        return out
+
+    plain = near_duplicates.written
+    monkeypatch.setattr(near_duplicates, "written", counting)
+    for n in (150, 600):
+        rows = edited_copies(n)
+        got = near_duplicates.classes(docs_of(spark, rows)).collect()
+        want, _ = brute_components(rows, 5, 80, 100)
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    assert compared[600] < 6 * compared[150], compared
+
+
+def test_near_copies_with_clashing_columns(spark):
+    rows = [(1, prose(1), "a"), (2, prose(1) + " end", "a"), (2, prose(1) + " end", "a"), (3, prose(2), "b"), (3, prose(2), "b"), (4, None, None)]
+    docs = docs_of(spark, rows).selectExpr("*", "1 AS _kept_id", "2 AS _kept", "3 AS own_id", "4 AS own", "5 AS keep", "6 AS repeated", "7 AS c0")
+    kept = near_duplicates.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] and kept.where("c0 <> 7 OR own <> 4").isEmpty()

@@ -7,12 +7,14 @@ slots than the largest difference allowed have equal slots in every linked pair:
 sketches are joined slot by slot (pigeonhole), and candidates are verified exactly.
 
 No group of documents with an equal slot is expanded into its pairs. Each group has a
-hub, the member that shares most slots with others, and every member is compared with
-the hub. What is left are pairs of members of which one is not linked to the hub. Seen
-from the hub, each member is the set of shingles in which it differs from it, and two
-members can link only if these differences overlap enough; the differences are small
-and mostly unlike, so joining on their first few elements, in one fixed order, leaves
-few pairs, and loses none.
+hub, the member that shares most slots with others. Only components matter, so a pair
+that is connected already is never compared, and that takes three rounds: every document
+is compared with the strongest of its hubs; in groups that are not one component by then,
+members with the hub; in those that are still not, members with each other. These are
+pairs of which one is not linked to the hub. Seen from the hub, each member is the set of
+shingles in which it differs from it, and two members can link only if these differences
+overlap enough. Elements that few members have come first, so joining on the first few
+elements leaves few pairs, and loses none.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trolley.llm.components import connected_components
@@ -36,6 +39,8 @@ _STEP = _U(0xA24BAED4963EE407)
 BAND_GROWTH = 1.6
 # a document has fewer size bands to be looked for in
 MOST_BANDS = 64
+# pairs that one copy of a hub's set is compared in
+HUB_PAIRS = 256
 
 
 @dataclass(frozen=True)
@@ -199,15 +204,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, likeness: Likeness, id_col: str, t
     return written(texts.select("node", "text").mapInArrow(build, "node bigint, shingles array<bigint>"), "shingle-sets")
 
 
-def _ordered_difference(hub: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Shingles of one set only, those that the hub lacks first, each part in hash order."""
-    return np.concatenate([np.setdiff1d(own, hub, True), np.setdiff1d(hub, own, True)])
-
-
 def _compare(pairs: DataFrame, sets: DataFrame, likeness: Likeness, differences: bool) -> DataFrame:
-    """Exact likeness of ``pairs(hub, node)``.
+    """Exact likeness of ``pairs(hub, node)``; with ``differences`` also the unlike shingles.
 
-    With ``differences``, also the elements by which members of a hub's group can meet.
+    ``reach`` is then the number of leading elements of the difference by which a member
+    of the hub's group can meet others. A hub with many pairs is copied, and its pairs are
+    dealt to the copies.
     """
 
     whole, gap = likeness.den + likeness.num, likeness.den - likeness.num
@@ -223,7 +225,8 @@ def _compare(pairs: DataFrame, sets: DataFrame, likeness: Likeness, differences:
                 own = theirs[i].values.to_numpy().view(np.uint64)
                 sizes = len(hub) + len(own)
                 common = len(np.intersect1d(hub, own, assume_unique=True))
-                linked, prefix, apart = likeness.linked(common, sizes), None, sizes - 2 * common
+                linked, apart = likeness.linked(common, sizes), sizes - 2 * common
+                reach = unlike = None
                 if differences:
                     if linked:
                         # a partner is not linked to the hub, so the overlap is over half of this
@@ -231,33 +234,38 @@ def _compare(pairs: DataFrame, sets: DataFrame, likeness: Likeness, differences:
                         least = twice // (2 * whole) + 1
                     else:
                         least = apart - likeness.difference(len(own) + likeness.largest_partner(len(own)))
-                    prefix = signed(_ordered_difference(hub, own)[: apart - max(least, 1) + 1])
-                rows.append((hub_node, node, linked, len(own), apart, prefix))
+                    reach = apart - max(least, 1) + 1
+                    unlike = signed(np.setxor1d(hub, own, assume_unique=True))
+                rows.append((hub_node, node, linked, len(own), apart, reach, unlike))
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([r[2] for r in rows], pa.bool_()),
-                    pa.array([r[3] for r in rows], pa.int64()),
-                    pa.array([r[4] for r in rows], pa.int64()),
-                    pa.array([r[5] for r in rows], pa.list_(pa.int64())),
-                ],
-                names=["hub", "node", "linked", "size", "apart", "prefix"],
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
+                names=["hub", "node", "linked", "size", "apart", "reach", "unlike"],
             )
 
-    both = pairs.join(sets.withColumnRenamed("shingles", "theirs"), "node").join(
-        sets.select(F.col("node").alias("hub"), F.col("shingles").alias("mine")), "hub"
+    copies = written(
+        pairs.groupBy("hub").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / HUB_PAIRS).cast("int")),
+        "hub-copies",
+    )
+    dealt = attach_by_key(pairs, copies, ["hub"], "n", cheap=True).select(
+        "hub", "node", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy")
+    )
+    hubs = sets.join(copies.withColumnRenamed("hub", "node"), "node").select(
+        F.col("node").alias("hub"), F.col("shingles").alias("mine"),
+        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"),
     )
+    both = dealt.join(sets.withColumnRenamed("shingles", "theirs"), "node").join(hubs, ["hub", "copy"])
     return written(
         both.select("hub", "node", "mine", "theirs").mapInArrow(
-            compare, "hub bigint, node bigint, linked boolean, size bigint, apart bigint, prefix array<bigint>"
+            compare,
+            "hub bigint, node bigint, linked boolean, size bigint, apart bigint, reach bigint, unlike array<bigint>",
         ),
         "compared",
     )
 
 
-def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, likeness: Likeness, id_col: str, text_col: str) -> DataFrame:
-    """Links ``(a, b)`` between ``nodes`` that have the same components as all links."""
+def _groups(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, hub, weight): the members of each slot group, its hub and the hub's weight."""
     own = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     owner = F.col("row") * MOST_BANDS + F.col("band")
     slots = own.select("row", F.posexplode("keys").alias("band", "of")).select(
@@ -268,40 +276,88 @@ def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, likeness: Like
     member = written(slots.join(met, "key"), "met-members")
     needs = own.select("row", F.posexplode("needs").alias("band", "need")).select(owner.alias("owner"), "need")
     able = member.groupBy("owner").agg(F.count("*").alias("n")).join(needs, "owner").where("n >= need").select("owner")
-    member = written(member.join(able, "owner"), "able-members")
-    shared = member.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    member = written(
-        member.join(written(shared, "shared-slots"), "key").select(
-            "key", F.expr(f"owner div {MOST_BANDS}").alias("node"), "members"
-        ),
-        "slot-members",
-    )
+    member = member.join(able, "owner").select("key", F.expr(f"owner div {MOST_BANDS}").alias("node"))
+    member = written(member, "able-members")
+    shared = written(member.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared-slots")
     # the hub of a group is the member with the largest groups, so that one compares most
-    weight = member.groupBy("node").agg(F.sum("members").alias("weight"))
-    weighed = member.join(weight, "node")
-    hubs = weighed.groupBy("key").agg(
-        F.max(F.struct("weight", -F.col("node"))).alias("top"),
-    ).select("key", (-F.col("top.col2")).alias("hub"))
-    stars = written(
-        member.join(written(hubs, "hubs"), "key").where("hub != node").select("hub", "node").distinct(), "stars"
+    weighed = attach_by_key(member, shared, ["key"], "members", cheap=True)
+    weight = weighed.groupBy("node").agg(F.sum("members").alias("weight"))
+    hubs = weighed.join(weight, "node").groupBy("key").agg(
+        F.max(F.struct("weight", -F.col("node"))).alias("top"), F.count("*").alias("members")
+    ).select("key", (-F.col("top.col2")).alias("hub"), "top.weight", "members")
+    return written(attach_by_key(member, hubs, ["key"], "members").drop("members"), "slot-groups")
+
+
+def _mixed(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their roots and their hub's, of the groups that are not one component."""
+    named = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = named.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"),
+        F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).alias("hub_root"),
+    ).where("low < high").select("key", "members", "hub_root")
+    return written(attach_by_key(named, several, ["key"], "members").drop("members"), "mixed-groups")
+
+
+def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``(node, root)`` after the links ``found(hub, node)`` join components."""
+    def root_of(col: str, name: str) -> DataFrame:
+        return roots.select(F.col("node").alias(col), F.col("root").alias(name))
+
+    edges = found.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    edges = edges.join(root_of("a", "ra"), "a", "left").join(root_of("b", "rb"), "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")
     )
-    wanted = stars.select("node").union(stars.select("hub")).distinct()
+    merged = connected_components(edges.distinct())
+    lone = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    every = roots.unionByName(lone.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    lifted = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return written(every.join(lifted, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+
+
+def joined_roots(
+    docs: DataFrame, sketches: DataFrame, nodes: DataFrame, likeness: Likeness, id_col: str, text_col: str
+) -> DataFrame:
+    """``(node, root)`` of the nodes that have links: the components of all links."""
+    groups = _groups(sketches, nodes)
+    outer = groups.where("hub != node")
+    # every hub and member may have to be compared; sets are built when they first are
+    wanted = outer.select("node").union(outer.select("hub")).distinct()
     named = sketches.select(F.col("row").alias("node"), "doc_id", "content").join(wanted, "node", "left_semi")
-    named = written(named, "set-names")
-    sets = _sets(docs, named, likeness, id_col, text_col)
-    compared = _compare(stars, sets, likeness, differences=True)
-    rest = _rest(compared, likeness)
-    more = _compare(rest, sets, likeness, differences=False)
-    return compared.where("linked").selectExpr("hub AS a", "node AS b").unionByName(
-        more.where("linked").selectExpr("hub AS a", "node AS b")
+    sets = _sets(docs, written(named, "set-names"), likeness, id_col, text_col)
+
+    strongest = outer.groupBy("node").agg(F.max(F.struct("weight", -F.col("hub"))).alias("top"))
+    first = written(strongest.select((-F.col("top.col2")).alias("hub"), "node"), "first-stars")
+    roots = connected_components(
+        _compare(first, sets, likeness, False).where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     )
+    stars = _mixed(groups, roots).where("root != hub_root").select("hub", "node").distinct()
+    stars = written(stars.join(first, ["hub", "node"], "left_anti"), "stars")
+    roots = _contracted(roots, _compare(stars, sets, likeness, False).where("linked"))
+
+    mixed = _mixed(groups, roots).where("hub != node").select("hub", "node", "root").distinct()
+    mixed = written(mixed, "last-stars")
+    compared = _compare(mixed.select("hub", "node"), sets, likeness, True)
+    rest = _rest(compared.join(mixed, ["hub", "node"]), likeness)
+    return _contracted(roots, _compare(rest, sets, likeness, False).where("linked"))
 
 
 def _rest(compared: DataFrame, likeness: Likeness) -> DataFrame:
-    """Pairs of members of one hub's group that can link, of which one is not linked to the hub."""
+    """Pairs of members of one hub's group that can link and are not in one component.
+
+    Of such a pair one member is not linked to the hub. Elements of a difference are taken
+    by the number of members that have them, the rarest first.
+    """
     lone = compared.where("NOT linked").select("hub").distinct()
-    elements = compared.join(lone, "hub", "left_semi").select(
-        "hub", "node", "linked", "size", "apart", F.posexplode("prefix").alias("at", "element")
+    each = compared.join(lone, "hub", "left_semi").select(
+        "hub", "node", "root", "linked", "size", "apart", "reach", F.explode("unlike").alias("element")
+    )
+    each = written(each, "unlike-elements")
+    commonness = each.groupBy("hub", "element").agg(F.count("*").alias("holders"))
+    each = attach_by_key(each, commonness, ["hub", "element"], "holders")
+    place = F.row_number().over(W.partitionBy("hub", "node").orderBy("holders", "element")) - 1
+    # what no other member has can meet nothing, but takes its place
+    elements = written(
+        each.withColumn("at", place).where("at < reach AND holders > 1").drop("holders", "reach"), "leading-elements"
     )
     a, b = elements.alias("a"), elements.where("NOT linked").alias("b")
     most = F.floor(
@@ -312,6 +368,7 @@ def _rest(compared: DataFrame, likeness: Likeness) -> DataFrame:
     can = (
         (F.col("a.hub") == F.col("b.hub"))
         & (F.col("a.element") == F.col("b.element"))
+        & (F.col("a.root") != F.col("b.root"))
         & (F.col("a.linked") | (F.col("a.node") < F.col("b.node")))
         & (F.col("a.apart") + F.col("b.apart") - 2 * after <= most)
         & (F.col("a.size") * likeness.den >= F.col("b.size") * likeness.num)
@@ -346,7 +403,7 @@ def classes(
         ),
         "shingle-classes",
     )
-    roots = connected_components(links(docs, sketches, sets, likeness, id_col, text_col))
+    roots = joined_roots(docs, sketches, sets, likeness, id_col, text_col)
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("first"))
     known = rooted.join(least, "root").select("n_shingles", "set_sum", "set_mix", "copies", "first")
@@ -374,18 +431,19 @@ def keep_one(
         found.groupBy("doc_id", "content")
         .agg(F.max("keep").alias("keep"), F.count("*").alias("rows"), F.max("n_shingles").alias("n_shingles"))
         .where("keep")
-        .select(
-            F.col("doc_id").alias("_kept_id"),
-            F.col("content").alias("_kept_content"),
-            ((F.col("rows") > 1) & (F.col("n_shingles") > 0)).alias("_repeated"),
-        ),
+        .select("doc_id", "content", ((F.col("rows") > 1) & (F.col("n_shingles") > 0)).alias("repeated")),
         "kept",
     )
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (content_hash(text_col) == F.col("_kept_content"))
-    once = docs.join(kept.where("NOT _repeated"), same).select(*[docs[c] for c in docs.columns])
-    if kept.where("_repeated").isEmpty():
+    # all columns travel under their number, so that none can clash with a name of this stage
+    numbered = docs.select(
+        F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("own"),
+        F.col(id_col).alias("own_id"), content_hash(text_col).alias("own_content"),
+    )
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_content") == F.col("content"))
+    columns = [F.col(f"own.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    once = numbered.join(kept.where("NOT repeated"), same).select(*columns)
+    if kept.where("repeated").isEmpty():
         return once
     # rows equal in id and text are one document; there is nothing to tell them apart by
-    again = docs.join(kept.where("_repeated"), same)
-    first = [F.first(docs[c]).alias(c) for c in docs.columns]
-    return once.unionByName(again.groupBy("_kept_id", "_kept_content").agg(*first).select(*docs.columns))
+    again = numbered.join(kept.where("repeated"), same).groupBy("own_id", "own_content")
+    return once.unionByName(again.agg(F.first("own").alias("own")).select(*columns))
