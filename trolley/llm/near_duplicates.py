@@ -7,14 +7,13 @@ slots than the largest difference allowed have equal slots in every linked pair:
 sketches are joined slot by slot (pigeonhole), and candidates are verified exactly.
 
 No group of documents with an equal slot is expanded into its pairs. Each group has a
-hub, the member that shares most slots with others. Only components matter, so a pair
-that is connected already is never compared, and that takes three rounds: every document
-is compared with the strongest of its hubs; in groups that are not one component by then,
-members with the hub; in those that are still not, members with each other. These are
-pairs of which one is not linked to the hub. Seen from the hub, each member is the set of
-shingles in which it differs from it, and two members can link only if these differences
-overlap enough. Elements that few members have come first, so joining on the first few
-elements leaves few pairs, and loses none.
+hub, the member that shares most slots with others, and every member is compared with
+the hub. What is left are pairs of members that these links have not brought into one
+component, of which one is not linked to the hub. Seen from the hub, each member is the
+set of shingles in which it differs from it, and two members can link only if these
+differences overlap enough. Elements that many of a group's members have, as a sample of
+it tells, come last, so joining on the first few elements, in one fixed order, leaves few
+pairs, and loses none whatever the sample says.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ from trolley.llm.components import connected_components
 from trolley.llm.lookup import content_hash, texts_of
 from trolley.llm.spans import SPACED, Prefix, lower, mixed, signed, slices, words
 from trolley.operators.skew import attach_by_key
-from trolley.storage import written
+from trolley.storage import spread, written
 
 _U = np.uint64
 _STEP = _U(0xA24BAED4963EE407)
@@ -41,6 +40,8 @@ BAND_GROWTH = 1.6
 MOST_BANDS = 64
 # pairs that one copy of a hub's set is compared in
 HUB_PAIRS = 256
+# members of a large group that tell which elements are common, and in how many of them
+SAMPLED, OFTEN = 64, 3
 
 
 @dataclass(frozen=True)
@@ -204,15 +205,25 @@ def _sets(docs: DataFrame, wanted: DataFrame, likeness: Likeness, id_col: str, t
     return written(texts.select("node", "text").mapInArrow(build, "node bigint, shingles array<bigint>"), "shingle-sets")
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, likeness: Likeness, differences: bool) -> DataFrame:
-    """Exact likeness of ``pairs(hub, node)``; with ``differences`` also the unlike shingles.
+def _ordered_difference(hub: np.ndarray, own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Shingles of one set only: those that the hub lacks first, the group's common ones last."""
+    parts = [np.setdiff1d(own, hub, True), np.setdiff1d(hub, own, True)]
+    often = [np.isin(part, common) for part in parts]
+    return np.concatenate([p[~o] for p, o in zip(parts, often, strict=True)] + [p[o] for p, o in zip(parts, often, strict=True)])
 
-    ``reach`` is then the number of leading elements of the difference by which a member
-    of the hub's group can meet others. A hub with many pairs is copied, and its pairs are
-    dealt to the copies.
+
+def _compare(
+    pairs: DataFrame, sets: DataFrame, likeness: Likeness, common: DataFrame | None = None, prefixes: bool = True
+) -> DataFrame:
+    """Exact likeness of ``pairs(hub, node)``.
+
+    With ``common(hub, common)``, ``leading`` are the elements by which members of a hub's
+    group can meet; without, and with ``prefixes`` off, it is the whole difference. A hub
+    with many pairs is copied, and its pairs are dealt to the copies.
     """
 
     whole, gap = likeness.den + likeness.num, likeness.den - likeness.num
+    ordered = common is not None
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,23 +235,25 @@ def _compare(pairs: DataFrame, sets: DataFrame, likeness: Likeness, differences:
                 hub = mine[i].values.to_numpy().view(np.uint64)
                 own = theirs[i].values.to_numpy().view(np.uint64)
                 sizes = len(hub) + len(own)
-                common = len(np.intersect1d(hub, own, assume_unique=True))
-                linked, apart = likeness.linked(common, sizes), sizes - 2 * common
-                reach = unlike = None
-                if differences:
+                shared = len(np.intersect1d(hub, own, assume_unique=True))
+                linked, leading, apart = likeness.linked(shared, sizes), None, sizes - 2 * shared
+                if ordered:
                     if linked:
                         # a partner is not linked to the hub, so the overlap is over half of this
                         twice = apart * whole + (len(hub) - len(own)) * gap
                         least = twice // (2 * whole) + 1
                     else:
                         least = apart - likeness.difference(len(own) + likeness.largest_partner(len(own)))
-                    reach = apart - max(least, 1) + 1
-                    unlike = signed(np.setxor1d(hub, own, assume_unique=True))
-                rows.append((hub_node, node, linked, len(own), apart, reach, unlike))
-            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                    often = batch.column(4)[i].values
+                    often = np.zeros(0, np.uint64) if often is None else often.to_numpy().view(np.uint64)
+                    leading = signed(_ordered_difference(hub, own, often)[: apart - max(least, 1) + 1])
+                elif not prefixes:
+                    leading = signed(np.setxor1d(hub, own, assume_unique=True))
+                rows.append((hub_node, node, linked, len(own), apart, leading))
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
-                names=["hub", "node", "linked", "size", "apart", "reach", "unlike"],
+                names=["hub", "node", "linked", "size", "apart", "leading"],
             )
 
     copies = written(
@@ -250,52 +263,56 @@ def _compare(pairs: DataFrame, sets: DataFrame, likeness: Likeness, differences:
     dealt = attach_by_key(pairs, copies, ["hub"], "n", cheap=True).select(
         "hub", "node", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy")
     )
-    hubs = sets.join(copies.withColumnRenamed("hub", "node"), "node").select(
-        F.col("node").alias("hub"), F.col("shingles").alias("mine"),
-        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"),
-    )
+    hubs = sets.withColumnsRenamed({"node": "hub", "shingles": "mine"}).join(copies, "hub")
+    if ordered:
+        hubs = hubs.join(common, "hub", "left")
+    hubs = hubs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("n", "copies")
     both = dealt.join(sets.withColumnRenamed("shingles", "theirs"), "node").join(hubs, ["hub", "copy"])
     return written(
-        both.select("hub", "node", "mine", "theirs").mapInArrow(
-            compare,
-            "hub bigint, node bigint, linked boolean, size bigint, apart bigint, reach bigint, unlike array<bigint>",
+        both.select("hub", "node", "mine", "theirs", *(["common"] if ordered else [])).mapInArrow(
+            compare, "hub bigint, node bigint, linked boolean, size bigint, apart bigint, leading array<bigint>"
         ),
         "compared",
     )
 
 
-def _groups(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node, hub, weight): the members of each slot group, its hub and the hub's weight."""
+def _common(stars: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFrame:
+    """(hub, common): elements by which many members of a large group differ from its hub.
+
+    Told by a bounded sample of members, and used for an order only.
+    """
+    large = stars.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > SAMPLED)
+    picked = attach_by_key(stars, large, ["hub"], "n").withColumn(
+        "no", F.row_number().over(W.partitionBy("hub").orderBy(F.xxhash64("node"), "node"))
+    ).where(F.col("no") <= SAMPLED)
+    unlike = _compare(picked.select("hub", "node"), sets, likeness, prefixes=False)
+    often = unlike.select("hub", F.explode("leading").alias("element")).groupBy("hub", "element").agg(
+        F.count("*").alias("n")
+    ).where(F.col("n") >= OFTEN)
+    # at most SAMPLED / OFTEN times the size of a sampled difference
+    return written(often.groupBy("hub").agg(F.collect_list("element").alias("common")), "common-elements")
+
+
+def _members(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, members): the members of each group of documents with an equal slot."""
     own = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
     owner = F.col("row") * MOST_BANDS + F.col("band")
-    slots = own.select("row", F.posexplode("keys").alias("band", "of")).select(
-        owner.alias("owner"), F.explode("of").alias("key")
+    # all slots move once: the count and the join that drops keys with one member share it
+    slots = spread(
+        own.select("row", F.posexplode("keys").alias("band", "of")).select(
+            owner.alias("owner"), F.explode("of").alias("key")
+        ),
+        "key",
     )
-    # a key alone can say nothing, nor can a document with fewer shared keys than a link needs
-    met = written(slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "met-slots")
+    met = slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     member = written(slots.join(met, "key"), "met-members")
+    # nor can a document with fewer shared keys than a link needs say anything
     needs = own.select("row", F.posexplode("needs").alias("band", "need")).select(owner.alias("owner"), "need")
     able = member.groupBy("owner").agg(F.count("*").alias("n")).join(needs, "owner").where("n >= need").select("owner")
+    able = written(able, "able-owners")
     member = member.join(able, "owner").select("key", F.expr(f"owner div {MOST_BANDS}").alias("node"))
-    member = written(member, "able-members")
-    shared = written(member.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared-slots")
-    # the hub of a group is the member with the largest groups, so that one compares most
-    weighed = attach_by_key(member, shared, ["key"], "members", cheap=True)
-    weight = weighed.groupBy("node").agg(F.sum("members").alias("weight"))
-    hubs = weighed.join(weight, "node").groupBy("key").agg(
-        F.max(F.struct("weight", -F.col("node"))).alias("top"), F.count("*").alias("members")
-    ).select("key", (-F.col("top.col2")).alias("hub"), "top.weight", "members")
-    return written(attach_by_key(member, hubs, ["key"], "members").drop("members"), "slot-groups")
-
-
-def _mixed(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members, with their roots and their hub's, of the groups that are not one component."""
-    named = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = named.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"),
-        F.max(F.when(F.col("node") == F.col("hub"), F.col("root"))).alias("hub_root"),
-    ).where("low < high").select("key", "members", "hub_root")
-    return written(attach_by_key(named, several, ["key"], "members").drop("members"), "mixed-groups")
+    shared = member.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    return written(attach_by_key(member, shared, ["key"], "members"), "slot-members")
 
 
 def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
@@ -317,47 +334,35 @@ def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
 def joined_roots(
     docs: DataFrame, sketches: DataFrame, nodes: DataFrame, likeness: Likeness, id_col: str, text_col: str
 ) -> DataFrame:
-    """``(node, root)`` of the nodes that have links: the components of all links."""
-    groups = _groups(sketches, nodes)
-    outer = groups.where("hub != node")
-    # every hub and member may have to be compared; sets are built when they first are
-    wanted = outer.select("node").union(outer.select("hub")).distinct()
+    """``(node, root)`` of the nodes that may have links: the components of all links."""
+    member = _members(sketches, nodes)
+    # the hub of a group is the member with the largest groups, so that one compares most
+    weight = member.groupBy("node").agg(F.sum("members").alias("weight"))
+    hubs = member.join(weight, "node").groupBy("key", "members").agg(
+        F.max(F.struct("weight", -F.col("node"))).alias("top"),
+    ).select("key", "members", (-F.col("top.col2")).alias("hub"))
+    stars = attach_by_key(member.drop("members"), hubs, ["key"], "members")
+    stars = written(stars.where("hub != node").select("hub", "node").distinct(), "stars")
+    wanted = stars.select("node").union(stars.select("hub")).distinct()
     named = sketches.select(F.col("row").alias("node"), "doc_id", "content").join(wanted, "node", "left_semi")
     sets = _sets(docs, written(named, "set-names"), likeness, id_col, text_col)
-
-    strongest = outer.groupBy("node").agg(F.max(F.struct("weight", -F.col("hub"))).alias("top"))
-    first = written(strongest.select((-F.col("top.col2")).alias("hub"), "node"), "first-stars")
+    compared = _compare(stars, sets, likeness, _common(stars, sets, likeness))
     roots = connected_components(
-        _compare(first, sets, likeness, False).where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        compared.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     )
-    stars = _mixed(groups, roots).where("root != hub_root").select("hub", "node").distinct()
-    stars = written(stars.join(first, ["hub", "node"], "left_anti"), "stars")
-    roots = _contracted(roots, _compare(stars, sets, likeness, False).where("linked"))
-
-    mixed = _mixed(groups, roots).where("hub != node").select("hub", "node", "root").distinct()
-    mixed = written(mixed, "last-stars")
-    compared = _compare(mixed.select("hub", "node"), sets, likeness, True)
-    rest = _rest(compared.join(mixed, ["hub", "node"]), likeness)
-    return _contracted(roots, _compare(rest, sets, likeness, False).where("linked"))
+    rest = _rest(compared, roots, likeness)
+    return _contracted(roots, _compare(rest, sets, likeness).where("linked"))
 
 
-def _rest(compared: DataFrame, likeness: Likeness) -> DataFrame:
+def _rest(compared: DataFrame, roots: DataFrame, likeness: Likeness) -> DataFrame:
     """Pairs of members of one hub's group that can link and are not in one component.
 
-    Of such a pair one member is not linked to the hub. Elements of a difference are taken
-    by the number of members that have them, the rarest first.
+    Of such a pair one member is not linked to the hub.
     """
-    lone = compared.where("NOT linked").select("hub").distinct()
-    each = compared.join(lone, "hub", "left_semi").select(
-        "hub", "node", "root", "linked", "size", "apart", "reach", F.explode("unlike").alias("element")
-    )
-    each = written(each, "unlike-elements")
-    commonness = each.groupBy("hub", "element").agg(F.count("*").alias("holders"))
-    each = attach_by_key(each, commonness, ["hub", "element"], "holders")
-    place = F.row_number().over(W.partitionBy("hub", "node").orderBy("holders", "element")) - 1
-    # what no other member has can meet nothing, but takes its place
-    elements = written(
-        each.withColumn("at", place).where("at < reach AND holders > 1").drop("holders", "reach"), "leading-elements"
+    rooted = compared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    elements = rooted.join(mixed.select("hub"), "hub", "left_semi").select(
+        "hub", "node", "root", "linked", "size", "apart", F.posexplode("leading").alias("at", "element")
     )
     a, b = elements.alias("a"), elements.where("NOT linked").alias("b")
     most = F.floor(
