@@ -286,11 +286,15 @@ def _common(stars: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFrame:
         "no", F.row_number().over(W.partitionBy("hub").orderBy(F.xxhash64("node"), "node"))
     ).where(F.col("no") <= SAMPLED)
     unlike = _compare(picked.select("hub", "node"), sets, likeness, prefixes=False)
-    often = unlike.select("hub", F.explode("leading").alias("element")).groupBy("hub", "element").agg(
-        F.count("*").alias("n")
-    ).where(F.col("n") >= OFTEN)
-    # at most SAMPLED / OFTEN times the size of a sampled difference
-    return written(often.groupBy("hub").agg(F.collect_list("element").alias("common")), "common-elements")
+
+    # at most SAMPLED differences a hub
+    def often(group: pa.Table) -> pa.Table:
+        elements, n = np.unique(group["leading"].combine_chunks().flatten().to_numpy(), return_counts=True)
+        found = pa.array([elements[n >= OFTEN]], pa.list_(pa.int64()))
+        return pa.table([group["hub"].slice(0, 1), found], names=["hub", "common"])
+
+    found = unlike.select("hub", "leading").groupBy("hub").applyInArrow(often, "hub bigint, common array<bigint>")
+    return written(found, "common-elements")
 
 
 def _members(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
