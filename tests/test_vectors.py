@@ -145,3 +145,22 @@ def test_sample_neighbours_exclude_self_and_break_ties_by_id(spark):
     for r in sorted(got, key=lambda r: (r.id, r["rank"])):
         near.setdefault(r.id, []).append(r.neighbour_id)
     assert near == {1: [2, 4], 2: [1, 4], 3: [4, 1], 4: [3, 1], 5: [1, 2]}
+
+
+def test_all_restarts_move_in_one_scan(spark):
+    """As good as the best of separate fits, with a job per round and not per restart."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(c, 0.8, (60, 3)) for c in rng.normal(0, 3, (6, 3))])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "item_id bigint, embedding array<double>")
+    df = df.unionByName(spark.createDataFrame([(-1, None)], df.schema))
+    found = cl.fit_kmeans(df, k=6, restarts=20)
+    single = df.where("item_id >= 0").withColumn("x", array_to_vector("embedding"))
+    best = min(KMeans(k=6, featuresCol="x", seed=s, maxIter=300).fit(single).summary.trainingCost for s in range(5))
+    apart = ((points[:, None] - np.array(found.centres)) ** 2).sum(axis=2).min(axis=1).sum()
+    assert found.cost == pytest.approx(apart, rel=1e-3) and found.cost <= best * 1.001
+    assert cl.fit_kmeans(df, k=6, restarts=20) == found
+    few = cl.fit_kmeans(df.where("item_id < 2"), k=5, restarts=2)
+    assert len(few.centres) == 2 and few.cost == pytest.approx(0)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -20,6 +24,65 @@ def _vectors(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("_x", array_to_vector(F.col(col).cast("array<double>")))
 
 
+class Centres(NamedTuple):
+    """The best restart: its centres, the sum of squared distances, its rounds and number."""
+
+    centres: list[list[float]]
+    cost: float
+    rounds: int
+    restart: int
+
+
+def _first_centres(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Centres of a bounded sample, each drawn by its squared distance from those before."""
+    centres = [sample[rng.integers(len(sample))]]
+    apart = np.full(len(sample), np.inf)
+    while len(centres) < k:
+        apart = np.minimum(apart, ((sample - centres[-1]) ** 2).sum(axis=1))
+        if not apart.sum():
+            break  # fewer different rows than clusters
+        centres.append(sample[rng.choice(len(sample), p=apart / apart.sum())])
+    return np.array(centres)
+
+
+def _cluster_sums(centres: dict[int, np.ndarray]):
+    """Per task: count, cost and sum of the rows nearest to each centre of every restart."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {r: np.zeros(len(c)) for r, c in centres.items()}
+        costs = {r: np.zeros(len(c)) for r, c in centres.items()}
+        sums = {r: np.zeros(c.shape) for r, c in centres.items()}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            lengths = (x * x).sum(axis=1)
+            for r, c in centres.items():
+                apart = lengths[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1)
+                own = apart.argmin(axis=1)
+                least = np.maximum(apart[np.arange(len(x)), own], 0)
+                mine = own[:, None] == np.arange(len(c))
+                counts[r] += mine.sum(axis=0)
+                costs[r] += np.bincount(own, least, len(c))
+                sums[r] += mine.T.astype(float) @ x
+        rows = [(r, i, counts[r][i], costs[r][i], sums[r][i]) for r, c in centres.items() for i in range(len(c))]
+        types = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([row[i] for row in rows], t) for i, t in enumerate(types)],
+            names=["restart", "cluster", "n", "cost", "total"],
+        )
+
+    return add
+
+
+def _add_up(parts: pa.Table) -> pa.Table:
+    """The sums of one centre over all tasks, of which there are few."""
+    total = parts["total"].combine_chunks().flatten().to_numpy().reshape(parts.num_rows, -1).sum(axis=0)
+    n, cost = (float(parts[c].to_numpy().sum()) for c in ("n", "cost"))
+    columns = [parts["restart"].slice(0, 1), parts["cluster"].slice(0, 1), pa.array([n]), pa.array([cost])]
+    return pa.table([*columns, pa.array([total], pa.list_(pa.float64()))], names=["restart", "cluster", "n", "cost", "total"])
+
+
 def fit_kmeans(
     vectors: DataFrame,
     col: str = "embedding",
@@ -27,30 +90,59 @@ def fit_kmeans(
     restarts: int = 20,
     max_iter: int = 300,
     seed: int = 42,
-) -> KMeansModel:
-    """The best of ``restarts`` k-means runs by training cost.
-
-    The vectors are re-read on every pass of every run, so they are kept in memory
-    for the duration of the fits, spilling to disk.
+    tolerance: float = 1e-4,
+    sample_rows: int = 10_000,
+) -> Centres:
+    """The best of ``restarts`` k-means runs by cost, all of them in one scan per round.
+
+    The first centres come from at most ``sample_rows`` rows. A round reads the vectors
+    once, adds up the rows nearest to each centre of every restart that still moves, and
+    moves the centres; the driver sees restarts * k sums. A restart is done when no centre
+    moves by more than ``tolerance``. The vectors are kept in memory meanwhile, spilling
+    to disk. Rows without a vector take no part; fewer different rows than ``k`` give as
+    many centres as there are.
     """
-    ready = _vectors(vectors, col).select("_x").persist()
+    ready = vectors.where(F.col(col).isNotNull()).select(F.col(col).cast("array<double>").alias("x")).persist()
+    schema = "restart int, cluster int, n double, cost double, total array<double>"
     try:
-        best = None
-        for run in range(restarts):
-            model = KMeans(
-                k=k, featuresCol="_x", predictionCol="cluster", initMode="k-means||",
-                maxIter=max_iter, seed=seed + run,
-            ).fit(ready)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        return best
+        sample = ready.orderBy(F.xxhash64("x")).limit(sample_rows).toArrow()
+        if not sample.num_rows:
+            raise ValueError("there are no vectors to cluster")
+        rows = sample["x"].combine_chunks().flatten().to_numpy().reshape(sample.num_rows, -1)
+        rng = np.random.default_rng(seed)
+        centres = {r: _first_centres(rows, k, rng) for r in range(restarts)}
+        cost, rounds, moving = dict.fromkeys(centres, np.inf), dict.fromkeys(centres, 0), set(centres)
+        for _ in range(max_iter):
+            active = {r: centres[r] for r in sorted(moving)}
+            sums = ready.mapInArrow(_cluster_sums(active), schema).groupBy("restart", "cluster").applyInArrow(_add_up, schema)
+            moved, costs = {r: c.copy() for r, c in active.items()}, dict.fromkeys(active, 0.0)
+            # restarts * k rows
+            for row in sums.collect():
+                costs[row["restart"]] += row["cost"]
+                if row["n"]:
+                    moved[row["restart"]][row["cluster"]] = np.array(row["total"]) / row["n"]
+            for r, c in active.items():
+                if np.sqrt(((moved[r] - c) ** 2).sum(axis=1)).max() <= tolerance:
+                    moving.discard(r)
+                centres[r], cost[r], rounds[r] = moved[r], costs[r], rounds[r] + 1
+            if not moving:
+                break
+        best = min(cost, key=lambda r: (cost[r], r))
+        return Centres(centres[best].tolist(), cost[best], rounds[best], best)
     finally:
         ready.unpersist()
 
 
-def assign_clusters(vectors: DataFrame, model: KMeansModel, col: str = "embedding") -> DataFrame:
-    """Add ``cluster``."""
-    return model.transform(_vectors(vectors, col)).drop("_x")
+def _distances(found: Centres, col: str) -> Column:
+    known = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in found.centres])
+    value = F.col(col).cast("array<double>")
+    return F.transform(known, lambda c: euclidean(value, c))
+
+
+def assign_clusters(vectors: DataFrame, found: Centres, col: str = "embedding") -> DataFrame:
+    """Add ``cluster``: the nearest centre, the first of equally near ones."""
+    distances = _distances(found, col)
+    return vectors.withColumn("cluster", (F.array_position(distances, F.array_min(distances)) - 1).cast("int"))
 
 
 def silhouette(vectors: DataFrame, cluster: str = "cluster", col: str = "embedding") -> float:
@@ -163,14 +255,13 @@ def category_representation(coherence: DataFrame, category: str) -> DataFrame:
     return dominated.withColumn("share", F.col("clusters") / F.lit(every))
 
 
-def kmeans_facts(assigned: DataFrame, model: KMeansModel, col: str) -> DataFrame:
+def kmeans_facts(assigned: DataFrame, found: Centres, col: str) -> DataFrame:
     """One row: rows, clusters, rows that are not at their nearest centre, and the largest
     gap between a centre and the mean of its rows (in any dimension)."""
     # k centres, as many as the caller asked for
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    known = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
+    known = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in found.centres])
     value = F.col(col).cast("array<double>")
-    distances = F.transform(known, lambda c: euclidean(value, c))
+    distances = _distances(found, col)
     own = F.get(distances, F.col("cluster"))
     means = assigned.select("cluster", F.posexplode(value).alias("d", "x")).groupBy("cluster", "d").agg(
         F.avg("x").alias("mean")
