@@ -164,3 +164,24 @@ def test_all_restarts_move_in_one_scan(spark):
     assert cl.fit_kmeans(df, k=6, restarts=20) == found
     few = cl.fit_kmeans(df.where("item_id < 2"), k=5, restarts=2)
     assert len(few.centres) == 2 and few.cost == pytest.approx(0)
+
+
+def test_a_grid_records_what_fails(spark):
+    df = spark.createDataFrame([(i, [float(i // 10), 1.0], i // 10) for i in range(30)], "item_id bigint, embedding array<double>, g int")
+
+    def broken(items):
+        raise RuntimeError("no such method")
+
+    grid = [
+        ("group", "3", lambda v: v.withColumn("cluster", F.col("g"))),
+        ("group", "noise", lambda v: v.withColumn("cluster", F.when(F.col("g") == 0, 0).otherwise(cl.NOISE))),
+        ("other", "x", broken),
+        ("other", "column", lambda v: v.withColumn("cluster", F.col("missing"))),
+    ]
+    rows = {(r.method, r.params): r for r in cl.run_grid(df, grid).collect()}
+    assert rows["group", "3"].succeeded and rows["group", "3"].silhouette == pytest.approx(1)
+    assert rows["group", "noise"].failure == "ValueError: 1 clusters, two are needed"
+    assert rows["other", "x"].failure == "RuntimeError: no such method"
+    assert not rows["other", "column"].succeeded and "missing" in rows["other", "column"].failure
+    summary = cl.run_summary(cl.run_grid(df, grid)).first()
+    assert (summary.total_methods_tested, summary.success_rate) == (2, 0.25)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -295,6 +295,39 @@ def run_summary(runs: DataFrame) -> DataFrame:
     )
 
 
+RUN_COLUMNS = (
+    "method string, params string, succeeded boolean, silhouette double, calinski_harabasz double, failure string"
+)
+
+
+def run_grid(
+    vectors: DataFrame,
+    grid: list[tuple[str, str, Callable[[DataFrame], DataFrame]]],
+    cluster: str = "cluster",
+    col: str = "embedding",
+) -> DataFrame:
+    """(method, params, succeeded, silhouette, calinski_harabasz, failure): one row per run.
+
+    Each run of ``grid`` is (method, params, build); ``build`` adds the cluster column to
+    the vectors. Rows of noise are not scored. A run fails, and the grid goes on, if it
+    raises or leaves fewer than two clusters; ``failure`` then says why. Clusters without
+    any spread have no Calinski-Harabasz score. ``run_summary`` and ``best_run`` take the
+    result.
+    """
+    rows = []
+    for method, params, build in grid:
+        try:
+            found = build(vectors).where(F.col(cluster) != NOISE)
+            n_clusters = found.agg(F.countDistinct(cluster)).first()[0]
+            if n_clusters < 2:
+                raise ValueError(f"{n_clusters} clusters, two are needed")
+            score = calinski_harabasz(found, cluster, col).first()["calinski_harabasz"]
+            rows.append((method, params, True, float(silhouette(found, cluster, col)), score, None))
+        except Exception as error:  # whatever ends a run is its result
+            rows.append((method, params, False, None, None, f"{type(error).__name__}: {error}"))
+    return vectors.sparkSession.createDataFrame(rows, RUN_COLUMNS)
+
+
 def best_run(runs: DataFrame) -> DataFrame:
     """The run with the highest combined score from (method, params, silhouette, ch)."""
     score = combined_score(F.col("silhouette"), F.col("calinski_harabasz"))

@@ -401,6 +401,56 @@ def best_clustering_run(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# clusterings by label groups and by the signs of leading components; one group fails
+_GRID = [("labels", g) for g in (10, 5, 2, 1)] + [("signs", p) for p in (0, 1, 3)]
+
+
+def _grid_clusters(method: str, size: int, component: str) -> str:
+    if method == "labels":
+        return f"label % {size}"
+    bits = [f"CASE WHEN {component.format(i + 1)} > 0 THEN {1 << i} ELSE 0 END" for i in range(size)]
+    return " + ".join(["0", *bits])
+
+
+def _grid_run_sql(method: str, size: int) -> str:
+    return f"""SELECT * FROM ({_clustered_sql(_grid_clusters(method, size, "v[{}]"))}, {_SILHOUETTE_SQL}, {_CH_SQL}
+      SELECT '{method}' AS method, '{size}' AS params, n_clusters >= 2 AS succeeded,
+        CASE WHEN n_clusters >= 2 THEN round(silhouette, 6) END AS silhouette,
+        CASE WHEN n_clusters >= 2 THEN round(score, 6) END AS calinski_harabasz,
+        CASE WHEN n_clusters < 2 THEN 'ValueError: ' || n_clusters || ' clusters, two are needed' END AS failure
+      FROM silhouettes, ch)"""
+
+
+_GRID_SQL = " UNION ALL ".join(_grid_run_sql(*run) for run in _GRID)
+
+
+def _grid_runs(spark: SparkSession, sf: str) -> DataFrame:
+    def by(method: str, size: int):
+        named = _grid_clusters(method, size, "element_at(embedding, {})")
+        return lambda items: items.withColumn("cluster", F.expr(named))
+
+    return cl.run_grid(vectors(spark, sf), [(m, str(s), by(m, s)) for m, s in _GRID])
+
+
+@query("clustering_grid", _GRID_SQL)
+def clustering_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Every run of a grid with its scores, or why it failed."""
+    return _grid_runs(spark, sf).withColumns(
+        {c: rounded(c) for c in ("silhouette", "calinski_harabasz")}
+    )
+
+
+@query(
+    "grid_success_rate",
+    f"""SELECT count(DISTINCT method) AS total_methods_tested, count(*) AS total_parameter_combinations,
+      count(*) FILTER (succeeded) AS successful_combinations,
+      round(count(*) FILTER (succeeded) / count(*)::DOUBLE, 6) AS success_rate FROM ({_GRID_SQL})""",
+)
+def grid_success_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of a grid's runs that gave a clustering."""
+    return cl.run_summary(_grid_runs(spark, sf)).withColumn("success_rate", rounded("success_rate"))
+
+
 @query(
     "clustering_success_rate",
     """SELECT count(DISTINCT l_returnflag) AS total_methods_tested,
