@@ -219,6 +219,33 @@ def test_mixing(spark, awkward):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
 
 
+def test_mixing_rows_that_share_an_id(spark, tmp_path):
+    """A hot id, copies of one text and null ids are cut through like any other rows."""
+    copy = prose(3, 25)
+    rows = [(7, prose(i, 25), "abc"[i % 3]) for i in range(150)] + [(8, copy, "abc"[i % 3]) for i in range(150)]
+    rows += [(None, prose(400 + i, 25), "abc"[i % 3]) for i in range(90)] + [(i, prose(i, 25), "c") for i in range(900, 960)]
+    docs = docs_of(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.mix_sources(docs).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.source_size, r.target].append(r)
+    assert len(by) == len({r.target for r in got}) > 1
+    for (_, target), own in by.items():
+        assert abs(sum(r.taken for r in own) - target) <= 25
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(mixing.ORACLE).fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+    # copies that nothing tells apart, and nothing else
+    only = mixing.mix_sources(docs_of(spark, [(1, copy, s) for s in "aab" * 40])).collect()
+    assert {r.copies for r in only} <= {0, 1, 2, 3} and len(only) == 120
+    for target in {r.target for r in only}:
+        assert abs(sum(r.taken for r in only if r.target == target) - target) <= 25
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(0)
     rows = [(int(i), [float(x) for x in rng.normal(size=8).astype("f")], "x") for i in range(400)]
@@ -484,3 +511,18 @@ def test_near_copies_with_clashing_columns(spark):
     kept = near_duplicates.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] and kept.where("c0 <> 7 OR own <> 4").isEmpty()
+
+
+def test_rows_without_repeats_with_clashing_columns(spark):
+    shared = prose(5, 80)
+    rows = [(i, f"{prose(60 + i, 20)} {shared} {prose(90 + i, 20)}", "a") for i in range(3)] + [(None, None, "b"), (4, "", None)]
+    docs = docs_of(spark, rows).selectExpr(
+        "*", "1 AS _kept", "2 AS _own_id", "3 AS own_id", "4 AS own_content", "5 AS kept", "6 AS c0", "7 AS n_bytes", "8 AS sha"
+    )
+    cut = suffix_dedup.without_repeats(docs)
+    assert cut.columns == docs.columns
+    got = {r.doc_id: r for r in cut.collect()}
+    assert len(got) == 5 and got[None].text is None and got[4].text == ""
+    assert all(shared[5:-5] not in got[i].text and prose(60 + i, 20)[:-5] in got[i].text and got[i]._kept == 1 for i in range(3))
+    mixed = mixing.mixed_rows(docs.selectExpr("*", "9 AS hash", "10 AS spare", "11 AS copies", "12 AS kept_0"))
+    assert mixed.columns[-4:] == ["hash", "spare", "copies", "kept_0"] and {r.spare for r in mixed.collect()} == {10}

@@ -4,6 +4,8 @@ Each document has a fixed 60-bit hash. The share of a source that the mix takes
 more than the rest is the documents whose hash lies below a threshold; the threshold
 is found from a histogram of sizes by source and hash bucket. Only the bucket that
 holds the boundary is looked at again, in finer buckets, until one hash value is left.
+Rows that share it, equal in id and text, are then split in the same way by a second
+hash stored with each row, so that no id and no group of copies is taken as one.
 Nothing is sorted by document, and the driver sees single numbers only.
 """
 
@@ -71,34 +73,28 @@ def source_targets(
     return placed.select("no_source", "source", "rows", "source_size", target.alias("target"))
 
 
-def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Adds to each source ``whole`` (times that all of it is taken), ``cut`` and ``at_cut``.
+def _boundary(rows: DataFrame, budget: DataFrame, value: str) -> DataFrame:
+    """Where the budgets end among the values of ``value``, one row per source at most.
 
-    A document is taken once more if its hash is below ``cut``, or equal to it with
-    ``at_cut``. ``at_cut`` holds when that brings the source nearer to its target.
+    ``budget`` has the words that a source has left (``rest``) and a ``prefix`` of 0. The
+    result has the boundary's value as ``at``, its words and rows, the budget left for it
+    and its least ``spare``.
     """
     keys = ["no_source", "source"]
-    whole = F.when(
-        F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
-    ).otherwise(0)
-    targets = written(
-        targets.withColumn("whole", whole.cast("bigint")).withColumn(
-            "rest", F.col("target") - F.col("whole") * F.col("source_size")
-        ),
-        "mix-targets",
-    )
-    budget = targets.where("rest > 0").select(*keys, "rest", F.lit(0).cast("bigint").alias("prefix"))
     found = None
     for bits in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
-        bucket = F.shiftright("hash", bits)
-        rows = sized.where("size > 0").withColumn("bucket", bucket)
+        here = rows.withColumn("bucket", F.shiftright(value, bits))
         if found is not None:
             # only rows of the boundary buckets go on; the source is spread over many buckets
-            rows = rows.withColumn("prefix", F.shiftright("hash", bits + STEP_BITS)).join(
+            here = here.withColumn("prefix", F.shiftright(value, bits + STEP_BITS)).join(
                 budget.select(*keys, "prefix"), [*keys, "prefix"], "left_semi"
             )
-        histogram = rows.groupBy(*keys, "bucket").agg(
-            F.sum("size").alias("words"), F.min("hash").alias("low"), F.max("hash").alias("high")
+        histogram = here.groupBy(*keys, "bucket").agg(
+            F.sum("size").alias("words"),
+            F.count("*").alias("rows"),
+            F.min(value).alias("low"),
+            F.max(value).alias("high"),
+            F.min("spare").alias("least"),
         )
         upto = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
         edge = written(
@@ -109,19 +105,59 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
             "mix-edges",
         )
         done = edge.where("low = high").select(
-            *keys, F.col("low").alias("cut"), (F.col("rest") * 2 > F.col("words")).alias("at_cut")
+            *keys, F.col("low").alias("at"), "rest", "words", "rows", "least"
         )
         found = done if found is None else found.unionByName(done)
         budget = edge.where("low < high").select(*keys, "rest", F.col("bucket").alias("prefix"))
         if budget.isEmpty():
             break
-    return targets.join(found, keys, "left").select(
+    return found
+
+
+def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds to each source ``whole`` (times that all of it is taken) and its cut.
+
+    A row is taken once more if ``(hash, spare)`` is below ``(cut, spare_cut)``, or equal
+    to it with ``at_cut``, which holds when that brings the source nearer to its target.
+    """
+    keys = ["no_source", "source"]
+    whole = F.when(
+        F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
+    ).otherwise(0)
+    targets = written(
+        targets.withColumn("whole", whole.cast("bigint")).withColumn(
+            "rest", F.col("target") - F.col("whole") * F.col("source_size")
+        ),
+        "mix-targets",
+    )
+    start = F.lit(0).cast("bigint").alias("prefix")
+    filled = sized.where("size > 0")
+    edge = written(
+        _boundary(filled, targets.where("rest > 0").select(*keys, "rest", start), "hash"), "mix-cuts"
+    )
+    nearer = (F.col("rest") * 2 > F.col("words")).alias("at_cut")
+    cuts = edge.where("rows = 1").select(
+        *keys, F.col("at").alias("cut"), F.col("least").alias("spare_cut"), nearer
+    )
+    shared = edge.where("rows > 1")
+    if not shared.isEmpty():
+        at = shared.select(*keys, F.col("at").alias("hash"))
+        equal = filled.join(at, [*keys, "hash"], "left_semi")
+        split = _boundary(equal, shared.select(*keys, "rest", start), "spare")
+        cuts = cuts.unionByName(
+            split.select(*keys, F.col("at").alias("spare_cut"), nearer)
+            .join(at, keys)
+            .withColumnRenamed("hash", "cut")
+        )
+    none = F.lit(-1).cast("bigint")
+    return targets.join(cuts, keys, "left").select(
         *keys,
         "rows",
         "source_size",
         "target",
         "whole",
-        F.coalesce("cut", F.lit(-1).cast("bigint")).alias("cut"),
+        F.coalesce("cut", none).alias("cut"),
+        F.coalesce("spare_cut", none).alias("spare_cut"),
         F.coalesce("at_cut", F.lit(False)).alias("at_cut"),
     )
 
@@ -130,6 +166,7 @@ def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
     source_col: str = "source",
+    text_col: str = "text",
     size: Column | None = None,
     carry: dict[str, str] | None = None,
     weights: tuple[int, ...] = WEIGHTS,
@@ -138,29 +175,43 @@ def mix_sources(
 ) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, ``taken`` and ``copies``.
 
-    ``copies`` is how often the mix takes the row, ``taken`` the words that makes. ``size`` defaults to the words of ``text``. ``taken`` is a multiple of the size, from
-    0 to ``max_repeat`` times it. Null or empty texts have size 0 and are taken as 0; a
-    null id is an id like any other, a null source is the last source. Rows with equal
-    ids share a hash, so repeated rows are taken alike; sizes of all rows count. An empty
-    table gives an empty result. Columns beyond those named are ignored; ``carry`` maps
-    further columns to names that the result keeps.
+    ``copies`` is how often the mix takes the row, ``taken`` the words that makes.
+    ``size`` defaults to the words of ``text_col``. ``taken`` is a multiple of the size,
+    from 0 to ``max_repeat`` times it. Null or empty texts have size 0 and are taken as 0;
+    a null id is an id like any other, a null source is the last source. The hash is of
+    id and text, so rows that share an id, null included, are taken one by one; of rows
+    equal in both as many are taken as the budget holds, by a hash of their carried
+    columns, and of wholly equal rows it makes no difference which. An empty table gives an empty result. Columns beyond
+    those named are ignored; ``carry`` maps further columns to names that the result keeps.
     """
-    size = word_count("text") if size is None else size
+    size = word_count(text_col) if size is None else size
+    parts = [
+        F.coalesce(F.col(id_col).cast("string"), F.lit("none")),
+        F.md5(F.coalesce(F.col(text_col), F.lit(""))),
+    ]
+    # rows equal in id and text go by their other columns, then by a stored row number
+    others = [F.col(c).alias(name) for c, name in (carry or {}).items() if c not in (id_col, text_col)]
+    told = F.md5(F.to_json(F.struct(*others)) if others else F.lit(""))
+    numbered = F.concat(
+        F.substring(told, 1, 8), keyed_hash(seed, F.monotonically_increasing_id().cast("string"))
+    )
     sized = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
             size.cast("bigint").alias("size"),
             F.col(source_col).isNull().alias("no_source"),
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-            hash_to_long(
-                keyed_hash(seed, F.coalesce(F.col(id_col).cast("string"), F.lit("none")))
-            ).alias("hash"),
+            hash_to_long(keyed_hash(seed, *parts)).alias("hash"),
+            hash_to_long(numbered).alias("spare"),
             *[F.col(c).alias(name) for c, name in (carry or {}).items()],
         ),
         "mix-sizes",
     )
     cuts = thresholds(sized, source_targets(sized, weights, max_repeat))
-    extra = (F.col("hash") < F.col("cut")) | ((F.col("hash") == F.col("cut")) & F.col("at_cut"))
+    nearer = (F.col("spare") == F.col("spare_cut")) & F.col("at_cut")
+    extra = (F.col("hash") < F.col("cut")) | (
+        (F.col("hash") == F.col("cut")) & ((F.col("spare") < F.col("spare_cut")) | nearer)
+    )
     times = F.col("whole") + F.when(extra, 1).otherwise(0)
     return attach_by_key(sized, cuts, ["no_source", "source"], "rows").select(
         "doc_id",
@@ -177,7 +228,8 @@ ORACLE = rf"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS src,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-    ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, 'none')), 1, 15))::BIGINT AS hash
+    ('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, 'none') || '|'
+      || md5(coalesce(text, ''))), 1, 15))::BIGINT AS hash
   FROM documents),
 sources AS (
   SELECT no_source, src, sum(size)::BIGINT AS source_size,
@@ -201,13 +253,13 @@ budgets AS (
   FROM targets),
 summed AS (
   SELECT *, target - whole * source_size AS rest,
-    sum(size) OVER (PARTITION BY no_source, src ORDER BY hash) AS upto,
-    sum(size) OVER (PARTITION BY no_source, src, hash) AS same
+    sum(size) OVER (PARTITION BY no_source, src ORDER BY hash
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM sized JOIN budgets USING (no_source, src))
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies
 FROM (SELECT *, (whole + CASE
     WHEN upto <= rest THEN 1
-    WHEN upto - same <= rest AND (rest - (upto - same)) * 2 > same THEN 1
+    WHEN upto - size <= rest AND (rest - (upto - size)) * 2 > size THEN 1
     ELSE 0 END)::INTEGER AS copies
   FROM summed)
 """
@@ -216,8 +268,13 @@ FROM (SELECT *, (whole + CASE
 def mixed_rows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options
 ) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them, all columns: none, once or several times."""
+    """The rows of ``docs`` as the mix takes them, all columns: none, once or several times.
+
+    Null texts and texts without words have size 0 and are never cut, so they come as
+    often as their source as a whole; null ids and sources, ties, repeated rows and empty
+    tables go as in ``mix_sources``. Columns may have any names.
+    """
     carry = {c: f"kept_{i}" for i, c in enumerate(docs.columns)}
-    mix = mix_sources(docs, id_col, source_col, word_count(text_col), carry, **options)
+    mix = mix_sources(docs, id_col, source_col, text_col, None, carry, **options)
     repeated = mix.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return repeated.select(*[F.col(name).alias(c) for c, name in carry.items()])

@@ -451,11 +451,19 @@ def without_repeats(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, with the text that ``remove_repeats`` leaves.
 
-    A character that loses some of its bytes goes as a whole.
+    A character that loses some of its bytes goes as a whole. Null and empty texts stay
+    as they are, rows equal in id and text lose the same strings, an empty table stays
+    empty, and columns may have any names.
     """
     _, one = _removals(docs, window, grams, shard_bytes, id_col, text_col, True)
-    one = one.select(F.col("own_id").alias("_own_id"), F.col("own_content").alias("_own_content"), F.col("kept").alias("_kept"))
-    same = F.col(id_col).eqNullSafe(F.col("_own_id")) & (content_hash(text_col) == F.col("_own_content"))
-    joined = docs.join(one, same, "left")
-    kept = F.coalesce(joined["_kept"], joined[text_col]).alias(text_col)
-    return joined.select(*[kept if c == text_col else joined[c] for c in docs.columns])
+    # all columns travel under their number, so that none can clash with a name of this stage
+    numbered = docs.select(
+        F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"),
+        F.col(id_col).alias("doc_id"), content_hash(text_col).alias("content"),
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("content") == F.col("own_content"))
+    joined = numbered.join(one.select("own_id", "own_content", "kept"), same, "left")
+    columns = [F.col(f"row.c{i}") for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    columns[at] = F.coalesce("kept", columns[at])
+    return joined.select(*[column.alias(c) for column, c in zip(columns, docs.columns)])
