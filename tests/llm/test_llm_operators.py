@@ -526,3 +526,20 @@ def test_rows_without_repeats_with_clashing_columns(spark):
     assert all(shared[5:-5] not in got[i].text and prose(60 + i, 20)[:-5] in got[i].text and got[i]._kept == 1 for i in range(3))
     mixed = mixing.mixed_rows(docs.selectExpr("*", "9 AS hash", "10 AS spare", "11 AS copies", "12 AS kept_0"))
     assert mixed.columns[-4:] == ["hash", "spare", "copies", "kept_0"] and {r.spare for r in mixed.collect()} == {10}
+
+
+def test_extraction_of_asides_with_compound_names(spark):
+    """Sidebars, comments and notices go by ordinary compound names; a post's own header stays."""
+    asides = ["comment-list", "user-comments", "post-comments", "related-posts", "share-buttons", "sidebar-left",
+              "newsletter-signup", "site-nav", "ad-container", "widget", "site-header"]
+    def page(i):
+        boxes = "".join(f"<div class='{name}'><p>Aside {name} {i} says {prose(i * 50 + j, 4)}</p></div>" for j, name in enumerate(asides))
+        return (f"<html><body><main><div class='post-header'><h1>Title {i}</h1></div><div class='story-body'>"
+                f"<p>{prose(7000 + i, 150)}</p></div>{boxes}</main></body></html>")
+    rows = [(i, f"http://shop.example/{i}", page(i)) for i in range(40)]
+    got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Title {i}\n\n{prose(7000 + i, 150)}" for i in range(40)}
+    # a box that holds most of a page is its text, whatever its name
+    rows = [(i, f"http://talk.example/{i}", f"<body><div class='comment-list'><p>{prose(i, 90)}</p></div><p>{prose(800 + i, 3)}</p></body>") for i in range(5)]
+    got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(prose(r.page_id, 90) in r.text for r in got)

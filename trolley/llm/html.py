@@ -26,13 +26,24 @@ CONTAINERS = frozenset("article main section div td body".split())
 _CLOSED_BY_SELF = frozenset("li dt dd tr td th option p".split())
 # what is no part of an article: tags, and words in class, id or role
 OUTSIDE = frozenset("nav header footer aside form menu dialog head title button".split())
-# a class, id or role speaks of an aside if it is such a word, or made of such words alone
+# a class, id or role speaks of an aside if it is such a word, or made of such words and of words of place and form;
+# a post's or comment's own header or footer is none by its name
 _WORD = (
     r"(?:ads?|advert\w*|banner|sidebar|notice|alert|cookies?|consent|comments?|disqus|reply|replies|menu|nav\w*|"
-    r"breadcrumbs?|footer|header|masthead|promo\w*|sponsor\w*|share|sharing|social|related|recommended|subscri\w*|"
+    r"breadcrumbs?|promo\w*|sponsor\w*|share|sharing|social|related|recommended|subscri\w*|"
     r"newsletter|popup|modal|toolbar|pagination|complementary|contentinfo|search)"
 )
-_ASIDE = re.compile(rf"(?:^|(?<=\s)){_WORD}(?:[_-]+{_WORD})*(?=\s|$)", re.I)
+_EDGE = r"(?:footer|header|masthead)"
+_PLACE = (
+    r"(?:site|page|main|global|left|right|top|bottom|primary|secondary|container|wrap|wrapper|box|block|area|section|"
+    r"list|items?|bar|inner|outer|widgets?|panel|form|signup|links?|buttons?|icons?|slot|unit)"
+)
+_OWNER = r"(?:user|reader|post|posts|article|articles|story|stories|thread)"
+_ASIDE = re.compile(
+    rf"(?:^|(?<=\s))(?:(?:(?:{_PLACE}|{_OWNER})[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_EDGE}|{_PLACE}|{_OWNER}))*"
+    rf"|(?:{_PLACE}[_-]+)*{_EDGE}(?:[_-]+(?:{_WORD}|{_EDGE}|{_PLACE}))*|widgets?)(?=\s|$)",
+    re.I,
+)
 
 
 @dataclass
