@@ -54,11 +54,8 @@ class WindowRuns:
     hash, ``count`` the places of that hash in it, ``row`` the text it belongs to.
     """
 
-    def __init__(
-        self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int, of: WindowRuns | None = None, kept=None
-    ):
-        """All windows, or those of the runs ``kept`` (by number) of ``of``."""
-        self.prefix = of.prefix if of is not None else Prefix(data)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
+        self.prefix = Prefix(data)
         n, width = len(data), window - gram + 1
         self.first = self.last = self.row = self.count = np.zeros(0, np.int64)
         self.gram = np.zeros(0, np.uint64)
@@ -74,11 +71,6 @@ class WindowRuns:
         np.add.at(valid, offsets[:-1][whole], 1)
         np.add.at(valid, offsets[1:][whole] - window + 1, -1)
         valid = np.cumsum(valid[: n - window + 1]).astype(bool)
-        if of is not None:
-            edge = np.zeros(len(valid) + 1, np.int32)
-            np.add.at(edge, of.first[kept], 1)
-            np.add.at(edge, of.last[kept] + 1, -1)
-            valid &= np.cumsum(edge[:-1]) > 0
         change = np.ones(len(valid), bool)
         change[1:] = (least[1:] != least[:-1]) | ~valid[:-1]
         # texts of exactly one window may lie side by side
@@ -115,12 +107,19 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
-_HASHES = "grams array<bigint>, bodies array<bigint>, places array<int>"
+_HASHES = "ats array<int>, tos array<int>, grams array<bigint>, bodies array<bigint>, places array<int>"
+_HASH_NAMES = ["ats", "tos", "grams", "bodies", "places"]
 
 
-def _hash_columns(found: WindowRuns, rows: int, window: int) -> list[pa.Array]:
-    bounds = np.searchsorted(found.row, np.arange(rows + 1))
+def _hash_columns(found: WindowRuns, row: np.ndarray, base: np.ndarray, rows: int, window: int) -> list[pa.Array]:
+    """Per row its runs: first and last window from the start of its text, and their hashes.
+
+    ``row`` is the row of each run, ``base`` where the text of that row starts.
+    """
+    bounds = np.searchsorted(row, np.arange(rows + 1))
     return [
+        _lists((found.first - base).astype(np.int32), bounds),
+        _lists((found.last - base).astype(np.int32), bounds),
         _lists(signed(found.gram), bounds),
         _lists(signed(found.bodies(window)), bounds),
         _lists(found.count.astype(np.int32), bounds),
@@ -143,9 +142,9 @@ def run_table(docs: DataFrame, window: int, gram: int, id_col: str, text_col: st
                         batch.column(1).slice(first, n),
                         pa.array(np.diff(offsets).astype(np.int64)),
                         pa.array(shas),
-                        *_hash_columns(found, n, window),
+                        *_hash_columns(found, found.row, offsets[found.row], n, window),
                     ],
-                    names=["doc_id", "content", "n_bytes", "sha", "grams", "bodies", "places"],
+                    names=["doc_id", "content", "n_bytes", "sha", *_HASH_NAMES],
                 )
 
     schema = f"doc_id {kind}, content bigint, n_bytes bigint, sha string, {_HASHES}"
@@ -154,26 +153,29 @@ def run_table(docs: DataFrame, window: int, gram: int, id_col: str, text_col: st
 
 
 class _Flags:
-    """Numbers of the whole and the sent runs of a slice, from the flag lists of its rows."""
+    """The flagged runs of the texts of a slice, in windows from the start of their text.
 
-    def __init__(self, found: WindowRuns, flags: pa.Array):
-        bounds = np.searchsorted(found.row, np.arange(len(flags) + 1))
+    ``starts``, ``ends`` and ``bounds`` are the byte spans of whole repeats and where each
+    text's begin. ``opens``, ``closes`` and ``row`` are the byte spans of the windows sent
+    on, with the text of each; spans whose windows lie side by side are one.
+    """
+
+    def __init__(self, flags: pa.Array, window: int):
         upto = flags.offsets.to_numpy()
         of = flags.values.slice(upto[0], upto[-1] - upto[0])
-        number = of.field(0).to_numpy().astype(np.int64) + np.repeat(bounds[:-1], np.diff(upto))
-        self.whole = number[of.field(1).to_numpy(zero_copy_only=False)]
-        self.sent = number[of.field(2).to_numpy(zero_copy_only=False)]
-
-
-def _spans(found: WindowRuns, numbers: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """First and last byte of runs, counted from the start of their texts, and bounds by text."""
-    numbers = np.sort(numbers)
-    base = offsets[found.row[numbers]]
-    bounds = np.searchsorted(found.row[numbers], np.arange(len(offsets)))
-    return found.first[numbers] - base, found.last[numbers] + window - base, bounds
-
-
-def finer_table(texts: DataFrame, window: int, grams: tuple[int, int]) -> DataFrame:
+        at, to = (of.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+        whole, sent = (of.field(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        row = np.repeat(np.arange(len(flags)), np.diff(upto))
+        self.starts, self.ends = at[whole], to[whole] + window
+        self.bounds = np.searchsorted(row[whole], np.arange(len(flags) + 1))
+        at, to, row = at[sent], to[sent], row[sent]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] > to[:-1] + 1) | (row[1:] != row[:-1])
+        last = np.append(new[1:], True)[: len(at)]
+        self.opens, self.closes, self.row = at[new], to[last] + window, row[new]
+
+
+def finer_table(texts: DataFrame, window: int, gram: int) -> DataFrame:
     """Per text: spans of whole repeats, and the hashes of the finer runs of undecided windows."""
     kind = dict(texts.dtypes)["doc_id"]
 
@@ -181,19 +183,22 @@ def finer_table(texts: DataFrame, window: int, grams: tuple[int, int]) -> DataFr
         for batch in batches:
             for first, data, offsets in slices(batch.column(3)):
                 n = len(offsets) - 1
-                coarse = WindowRuns(data, offsets, window, grams[0])
-                flags = _Flags(coarse, batch.column(2).slice(first, n))
-                fine = WindowRuns(data, offsets, window, grams[1], coarse, flags.sent)
-                starts, ends, bounds = _spans(coarse, flags.whole, offsets, window)
+                flags = _Flags(batch.column(2).slice(first, n), window)
+                # only the bytes of undecided windows are hashed again
+                begins = offsets[flags.row] + flags.opens
+                lengths = flags.closes - flags.opens
+                upto = np.concatenate([[0], np.cumsum(lengths)])
+                parts = data[np.repeat(begins - upto[:-1], lengths) + np.arange(upto[-1])]
+                fine = WindowRuns(parts, upto, window, gram)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, n),
                         batch.column(1).slice(first, n),
-                        _lists(starts.astype(np.int32), bounds),
-                        _lists(ends.astype(np.int32), bounds),
-                        *_hash_columns(fine, n, window),
+                        _lists(flags.starts.astype(np.int32), flags.bounds),
+                        _lists(flags.ends.astype(np.int32), flags.bounds),
+                        *_hash_columns(fine, flags.row[fine.row], (upto[:-1] - flags.opens)[fine.row], n, window),
                     ],
-                    names=["doc_id", "content", "starts", "ends", "grams", "bodies", "places"],
+                    names=["doc_id", "content", "starts", "ends", *_HASH_NAMES],
                 )
 
     schema = f"doc_id {kind}, content bigint, starts array<int>, ends array<int>, {_HASHES}"
@@ -203,27 +208,32 @@ def finer_table(texts: DataFrame, window: int, grams: tuple[int, int]) -> DataFr
 
 def repeated_runs(table: DataFrame) -> DataFrame:
     """Per text with any: its runs whose hash occurs again; which are whole repeats, which go to shards."""
-    every = table.select("row", F.posexplode(F.arrays_zip("grams", "bodies", "places")).alias("run", "of")).select(
-        "row", "run", F.col("of.grams").alias("gram"), F.col("of.bodies").alias("body"), F.col("of.places").alias("places")
+    every = table.select("row", F.explode(F.arrays_zip(*_HASH_NAMES)).alias("of")).select(
+        "row",
+        F.col("of.ats").alias("at"),
+        F.col("of.tos").alias("to"),
+        F.col("of.grams").alias("gram"),
+        F.col("of.bodies").alias("body"),
+        F.col("of.places").alias("places"),
     )
     again = written(
         every.groupBy("gram").agg(F.sum("places").alias("n")).where("n > 1").select("gram"), "repeated-grams"
     )
     found = written(every.drop("places").join(again, "gram"), "repeated-runs")
     bodies = written(
-        found.groupBy("gram", "body").agg(F.count("*").alias("n"), F.min(F.struct("row", "run")).alias("first")),
+        found.groupBy("gram", "body").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("first")),
         "run-bodies",
     )
     # one copy of a whole repeat joins the shards where an undecided run may hold a part of it
     undecided = bodies.where("n = 1").select("gram").distinct()
-    shown = bodies.where("n > 1").join(undecided, "gram", "left_semi").select("first.row", "first.run", F.lit(True).alias("shown"))
+    shown = bodies.where("n > 1").join(undecided, "gram", "left_semi").select("first.row", "first.at", F.lit(True).alias("shown"))
     whole = bodies.where("n > 1").select("gram", "body", F.lit(True).alias("whole"))
-    flagged = found.join(whole, ["gram", "body"], "left").join(shown, ["row", "run"], "left")
+    flagged = found.join(whole, ["gram", "body"], "left").join(shown, ["row", "at"], "left")
     sent = F.col("whole").isNull() | F.col("shown").isNotNull()
     # one array per text, no longer than the text
     per_row = flagged.groupBy("row").agg(
         F.sort_array(
-            F.collect_list(F.struct("run", F.coalesce("whole", F.lit(False)).alias("whole"), sent.alias("sent")))
+            F.collect_list(F.struct("at", "to", F.coalesce("whole", F.lit(False)).alias("whole"), sent.alias("sent")))
         ).alias("runs")
     )
     named = table.select("row", "doc_id", "content").join(per_row, "row")
@@ -253,7 +263,7 @@ def _shard_classes(parts: list[np.ndarray], window: int) -> tuple[np.ndarray, np
     return sample, sizes, np.stack([one, two]), which
 
 
-def shard_windows(texts: DataFrame, window: int, grams: tuple[int, int], shard_bytes: int) -> DataFrame:
+def shard_windows(texts: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     """Per text: covered spans, and the window classes of its undecided runs.
 
     ``starts``/``ends`` are spans of bytes that are certain to go. ``at``, ``one``,
@@ -310,22 +320,19 @@ def shard_windows(texts: DataFrame, window: int, grams: tuple[int, int], shard_b
 
         for batch in batches:
             ids, contents = batch.column(0), batch.column(1).to_pylist()
-            for first, data, offsets in slices(batch.column(4)):
+            for first, data, offsets in slices(batch.column(3)):
                 n = len(offsets) - 1
-                coarse = WindowRuns(data, offsets, window, grams[0])
-                sent = _Flags(coarse, batch.column(2).slice(first, n)).sent
-                fine = WindowRuns(data, offsets, window, grams[1], coarse, sent)
-                flags = _Flags(fine, batch.column(3).slice(first, n))
-                starts, ends, bounds = _spans(fine, flags.whole, offsets, window)
-                opens, closes, rest = _spans(fine, flags.sent, offsets, window)
+                flags = _Flags(batch.column(2).slice(first, n), window)
+                rest = np.searchsorted(flags.row, np.arange(n + 1))
                 for i in range(n):
-                    spans = list(zip(starts[bounds[i] : bounds[i + 1]].tolist(), ends[bounds[i] : bounds[i + 1]].tolist(), strict=True))
-                    a, b = opens[rest[i] : rest[i + 1]], closes[rest[i] : rest[i + 1]] - window
-                    joined = np.flatnonzero(a[1:] > b[:-1] + 1) + 1 if len(a) else a
-                    firsts = np.concatenate([a[:1], a[joined]])
-                    lasts = np.concatenate([b[joined - 1], b[-1:]]) + window
+                    own = slice(flags.bounds[i], flags.bounds[i + 1])
+                    spans = list(zip(flags.starts[own].tolist(), flags.ends[own].tolist(), strict=True))
+                    own = slice(rest[i], rest[i + 1])
                     text = data[offsets[i] : offsets[i + 1]]
-                    regions = [(x, text[x:y].copy()) for x, y in zip(firsts.tolist(), lasts.tolist(), strict=True)]
+                    regions = [
+                        (x, text[x:y].copy())
+                        for x, y in zip(flags.opens[own].tolist(), flags.closes[own].tolist(), strict=True)
+                    ]
                     held.append((ids.slice(first + i, 1), contents[first + i], spans, regions))
                     size += sum(len(p) for _, p in regions) + 64
                     if size >= shard_bytes:
@@ -338,7 +345,7 @@ def shard_windows(texts: DataFrame, window: int, grams: tuple[int, int], shard_b
         "at array<int>, one array<bigint>, two array<bigint>, copies array<int>"
     )
     return written(
-        texts.select("doc_id", "content", "runs", "finer", "text").mapInArrow(build, schema), "shard-windows"
+        texts.select("doc_id", "content", "runs", "text").mapInArrow(build, schema), "shard-windows"
     )
 
 
@@ -348,12 +355,9 @@ def _removals(
     """The run table, and per text that loses bytes what it loses and keeps."""
     table = run_table(docs, window, grams[0], id_col, text_col)
     flags = repeated_runs(table)
-    finer = finer_table(texts_of(docs, flags, id_col, text_col), window, grams)
+    finer = finer_table(texts_of(docs, flags, id_col, text_col), window, grams[1])
     keys = ["doc_id", "content"]
-    more_flags = repeated_runs(finer).withColumnsRenamed({"runs": "finer", "doc_id": "own_id", "content": "own_content"})
-    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("content") == F.col("own_content"))
-    undecided = written(flags.join(more_flags, same).select(*keys, "runs", "finer"), "undecided")
-    shards = shard_windows(texts_of(docs, undecided, id_col, text_col), window, grams, shard_bytes)
+    shards = shard_windows(texts_of(docs, repeated_runs(finer), id_col, text_col), window, shard_bytes)
     single = shards.select(
         "doc_id", "content", F.explode(F.arrays_zip("at", "one", "two", "copies")).alias("of")
     ).select("doc_id", "content", "of.at", "of.one", "of.two", "of.copies")
