@@ -253,3 +253,35 @@ def test_reader_gives_the_padded_rows(spark, sequences, tmp_path):
     encoded = encode.mask_baskets(encode.encode_sequences(bk.baskets_from_sequences(sequences), done.vocab, 4, 2))
     assert sorted(stored.collect()) == sorted(done.rows.select(*columns).collect())
     assert sorted(stored.drop("split").collect()) == sorted(encoded.select(*columns[:-1]).collect())
+
+
+def test_large_family_documents_are_cut_by_many_tasks(spark, tmp_path):
+    families = {
+        str(i): {
+            "family_id": i, "family_name": f'say "family_id": {i} }}, {{', "size": 2,
+            "representative_product": "\u00e9\u6f22 " * (i % 40), "departments": ["a", "b"], "aisles": [],
+            "avg_similarity": 91.5,
+            "products": [
+                {"product_id": i + k, "name": "family_id", "department": "{", "aisle": "}"} for k in range(i % 5)
+            ],
+        }
+        for i in range(500)
+    }
+    doc = {"metadata": {"total": 500, "of": {"y": 1}}, "families": families}
+    (tmp_path / "one.json").write_text(json.dumps(doc))
+    (tmp_path / "many.json").write_text(json.dumps(doc, indent=2, ensure_ascii=False))
+    (tmp_path / "none.json").write_text(json.dumps({"metadata": {}, "families": {}}))
+    (tmp_path / "other.json").write_text('{"families": {"0": {"size": 2, "family_id": 0}}}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        for name in ("one.json", "many.json"):
+            path = str(tmp_path / name)
+            cut = src.read_large_families(spark, path)
+            assert cut.rdd.getNumPartitions() > 3
+            assert sorted(map(str, cut.collect())) == sorted(map(str, src.read_families(spark, path).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert src.read_large_families(spark, str(tmp_path / "none.json")).count() == 0
+    with pytest.raises(Exception, match="first key"):
+        src.read_large_families(spark, str(tmp_path / "other.json")).collect()

@@ -1,5 +1,8 @@
 """Golden values of the product-name functions."""
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +103,18 @@ def test_compatibility_is_one_directional(spark, first, second, ok):
 def test_shared_words(spark):
     got = one(spark, sim.shared_meaningful_words, "Organic Green Tea Bags", "organic tea bags green")
     assert got == 2
+
+
+def test_subsequences_in_lanes_equal_those_one_by_one():
+    draw = random.Random(5)
+    sizes = [0, 1, 5, 30, 63, 64, 65, 130, 511, 512, 513, 700]
+
+    def text():
+        return "".join(draw.choice("abcde \x00\u00e9\u6f22\U0001f600") for _ in range(draw.choice(sizes)))
+
+    left, right = ([text() for _ in range(400)] for _ in range(2))
+    common, total = sim._subsequence_lengths(pd.Series(left), pd.Series(right))
+    assert common.tolist() == [sim._common_subsequence(a, b) for a, b in zip(left, right)]
+    assert total.tolist() == [len(a) + len(b) for a, b in zip(left, right)]
+    none, _ = sim._subsequence_lengths(pd.Series([], dtype=str), pd.Series([], dtype=str))
+    assert len(none) == 0

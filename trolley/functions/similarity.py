@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +47,10 @@ def _indel_bound(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared, F.length(a) + F.length(b)) + 0.5, F.lit(100.0))
 
 
+LANE_WORDS = 8  # texts of more than 8 x 64 characters on both sides are compared one by one
+_TABLE_BYTES = 16 << 20
+
+
 def _common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, one bit per character of ``a``."""
     where: dict[str, int] = {}
@@ -59,16 +64,86 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - free.bit_count()
 
 
+def _padded(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """One row of codes per text, filled up with 0."""
+    at = np.arange(int(lengths.max(initial=0)))
+    inside = at < lengths[:, None]
+    return np.where(inside, codes[np.where(inside, starts[:, None] + at, 0)], 0)
+
+
+def _lane_lengths(a: np.ndarray, b: np.ndarray, kinds: int) -> np.ndarray:
+    """Longest common subsequences of many pairs at once, one lane of 64-bit words per pair.
+
+    Rows of ``a`` and ``b`` hold codes from 1 to ``kinds``; 0 fills them up and meets nothing.
+    """
+    lanes, width = a.shape
+    words = max(-(-width // 64), 1)
+    where = np.zeros((words, kinds + 1, lanes), np.uint64)
+    lane = np.arange(lanes)
+    for i in range(width):
+        where[i // 64, a[:, i], lane] |= np.uint64(1 << (i % 64))
+    where[:, 0] = 0
+    free = np.full((words, lanes), ~np.uint64(0))
+    for code in b.T:
+        carry = np.zeros(lanes, np.uint64)
+        for w in range(words):
+            hit = free[w] & where[w, code, lane]
+            once = free[w] + hit
+            total = once + carry
+            carry = ((once < hit) | (total < once)).astype(np.uint64)
+            free[w] = total | (free[w] - hit)
+    # bits past the end of a text are never hit, so they stay set
+    return words * 64 - np.bitwise_count(free).sum(axis=0, dtype=np.int64)
+
+
+def _subsequence_lengths(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Longest common subsequence and summed length, in code points, of each pair."""
+    first, second = left.tolist(), right.tolist()
+    codes = np.frombuffer("".join(first + second).encode("utf-32-le"), np.uint32) + 1  # 0 fills up
+    lengths = np.fromiter(map(len, first + second), np.int64, 2 * len(first))
+    starts = np.cumsum(lengths) - lengths
+    n = len(first)
+    len_a, len_b = lengths[:n], lengths[n:]
+    # the shorter text of a pair gives the bits
+    turned = len_a > len_b
+    short, longer = np.minimum(len_a, len_b), np.maximum(len_a, len_b)
+    start_a = np.where(turned, starts[n:], starts[:n])
+    start_b = np.where(turned, starts[:n], starts[n:])
+    common = np.zeros(n, np.int64)
+    order = np.lexsort((longer, short))
+    order = order[short[order] > 0]
+    wide = order[short[order] > 64 * LANE_WORDS]
+    for i in wide:
+        common[i] = _common_subsequence(first[i], second[i])
+    lanes = order[: len(order) - len(wide)]
+    # chunks of pairs alike in length, so that little is filled up and tables stay small
+    step = 4096
+    at = 0
+    while at < len(lanes):
+        some = lanes[at : at + step]
+        a = _padded(codes, start_a[some], short[some])
+        b = _padded(codes, start_b[some], longer[some])
+        kinds = np.unique(a)
+        kinds = kinds[kinds > 0]
+        size = 8 * len(some) * (len(kinds) + 1) * (a.shape[1] // 64 + 1)
+        if max(size, 8 * b.size) > _TABLE_BYTES and len(some) > 1:
+            step = max(len(some) // 2, 1)
+            continue
+        rank_a, rank_b = np.searchsorted(kinds, a), np.searchsorted(kinds, b)
+        known = kinds[np.minimum(rank_b, len(kinds) - 1)] == b
+        common[some] = _lane_lengths(
+            np.where(a > 0, rank_a + 1, 0), np.where(known, rank_b + 1, 0), len(kinds)
+        )
+        at += len(some)
+    return common, len_a + len_b
+
+
 @F.pandas_udf(T.IntegerType())
 def _indel_score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for left, right in batches:
-        yield pd.Series(
-            [
-                round(200 * _common_subsequence(a, b) / (len(a) + len(b))) if a or b else 100
-                for a, b in zip(left, right)
-            ],
-            dtype="int32",
-        )
+        common, total = _subsequence_lengths(left, right)
+        score = np.where(total > 0, np.rint(200 * common / np.maximum(total, 1)), 100)
+        yield pd.Series(score.astype(np.int32))
 
 
 JACCARD_WORDS = Metric(_word_set, _jaccard_score, _jaccard_bound)

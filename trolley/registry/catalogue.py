@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trolley.functions import similarity as sim
 from trolley.functions import text as tx
@@ -13,7 +14,7 @@ from trolley.plans.jobs import group_products
 from trolley.registry.base import query, rounded
 from trolley.registry.inputs import PRODUCTS_SQL, aisles, departments, enriched, products
 from trolley.sinks.tables import family_metadata, write_families
-from trolley.sources.tables import FAMILY_SCHEMA, family_members, read_families
+from trolley.sources.tables import FAMILY_SCHEMA, family_members, read_families, read_large_families
 from trolley.storage import new_path, written
 
 WITH = f"WITH {PRODUCTS_SQL}"
@@ -445,3 +446,26 @@ def family_documents(spark: SparkSession, sf: str) -> DataFrame:
         "family_id", "family_name", "size", "representative_product",
         F.size("products").cast("bigint").alias("products"),
     )
+
+
+@query(
+    "family_documents_large",
+    f"""{_families_sql(80)} SELECT family_id, family_name, size, representative_product,
+      size AS products FROM summary""",
+)
+def family_documents_large(spark: SparkSession, sf: str) -> DataFrame:
+    """The same documents, cut into families by many tasks instead of parsed whole."""
+    path, nested = new_path(spark, "families"), new_path(spark, "document")
+    write_families(_found(spark, sf), path)
+    saved = written(spark.read.schema(FAMILY_SCHEMA).json(f"{path}/families"), "saved")
+    family = F.struct(*[F.col(c) for c in T.StructType.fromDDL(FAMILY_SCHEMA).names])
+    # documents of a thousand families
+    saved.groupBy(F.floor(F.col("family_id") / 1000).alias("doc")).agg(
+        F.map_from_entries(
+            F.collect_list(F.struct(F.col("family_id").cast("string"), family))
+        ).alias("families")
+    ).select("families").write.json(nested)
+    return read_large_families(spark, nested).select(
+        "family_id", "family_name", "size", "representative_product",
+        F.size("products").cast("bigint").alias("products"),
+    )

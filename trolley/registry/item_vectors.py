@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trolley.functions.vectors import cosine, l2_normalise
@@ -136,6 +136,91 @@ def mapped_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return linalg.project(items, model, scaled=True).select("item_id", "reduced")
 
 
+# the scatter matrix, its square and cube, and every row's quadratic forms with them, each
+# divided by the same power of the trace
+_MOMENTS_SQL = f"""{_LONG_SQL}, centred AS (
+  SELECT item_id, d, x - m AS x FROM long JOIN means USING (d)),
+scatter AS (
+  SELECT a.d AS i, b.d AS j, sum(a.x * b.x) AS c FROM centred a JOIN centred b USING (item_id)
+  GROUP BY a.d, b.d),
+total AS (SELECT sum(c) AS t FROM scatter WHERE i = j),
+c1 AS (SELECT i, j, c / t AS c FROM scatter, total),
+c2 AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c1 a JOIN c1 b ON a.j = b.i GROUP BY a.i, b.j),
+c3 AS (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM c2 a JOIN c1 b ON a.j = b.i GROUP BY a.i, b.j),
+powers AS (SELECT 1 AS p, * FROM c1 UNION ALL SELECT 2, * FROM c2 UNION ALL SELECT 3, * FROM c3)
+"""
+_ROW_MOMENTS_SQL = f"""{_MOMENTS_SQL}, imaged AS (
+  SELECT item_id, p, j AS d, sum(x * c) AS y FROM centred JOIN powers ON d = i
+  GROUP BY item_id, p, j)
+SELECT item_id, p, round(sum(x * y) * (SELECT count(DISTINCT d) FROM means) ** p, 6) AS moment
+FROM imaged JOIN centred USING (item_id, d) GROUP BY item_id, p"""
+_POWERS = (1, 2, 3)
+
+
+def _relative_squares(model: linalg.SvdModel):
+    """Squared singular values as shares of their sum, as an array literal."""
+    squares = model.sigma**2
+    return F.array(*[F.lit(float(v)) for v in squares / squares.sum()])
+
+
+def _row_moments(placed: DataFrame, model: linalg.SvdModel, extra: int = 0) -> DataFrame:
+    """Per row and p: squared coordinates weighted by the p-th power of their squared value."""
+    width = len(model.sigma)
+    share = _relative_squares(model)
+    total = float((model.sigma**2).sum())
+    return placed.select(
+        "item_id", "reduced", F.explode(F.array(*[F.lit(p) for p in _POWERS])).alias("p")
+    ).select(
+        "item_id",
+        "p",
+        F.round(
+            F.aggregate(
+                F.zip_with("reduced", share, lambda y, w: y * y * F.pow(w, F.col("p") + extra)),
+                F.lit(0.0),
+                lambda a, v: a + v,
+            )
+            * F.pow(F.lit(float(width)), F.col("p"))
+            * total**extra,
+            6,
+        ).alias("moment"),
+    )
+
+
+@query(
+    "svd_moments",
+    f"""{_MOMENTS_SQL} SELECT p, round(sum(c) * (SELECT count(DISTINCT d) FROM means) ** (p - 1), 9)
+    AS moment FROM powers WHERE i = j GROUP BY p""",
+)
+def svd_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Power sums of the squared singular values are traces of powers of the scatter matrix."""
+    items = vectors(spark, sf)
+    width = src.vector_width(items)
+    report = linalg.singular_report(linalg.truncated_svd(items, width), spark)
+    # the retained share grows by the share of each component
+    by_component = Window.orderBy("component")
+    kept = F.col("cumulative_retained")
+    shares = report.select((kept - F.lag(kept, 1, 0.0).over(by_component)).alias("s"))
+    return shares.select("s", F.explode(F.array(*[F.lit(p) for p in _POWERS])).alias("p")).groupBy("p").agg(
+        F.round(F.sum(F.pow("s", "p")) * F.pow(F.lit(float(width)), F.col("p") - 1), 9).alias("moment")
+    )
+
+
+@query("reduced_moments", _ROW_MOMENTS_SQL)
+def reduced_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Coordinates along the components, told from any other rotation by their weights."""
+    items = vectors(spark, sf)
+    model = linalg.truncated_svd(items, src.vector_width(items))
+    return _row_moments(linalg.project(items, model), model)
+
+
+@query("mapped_moments", _ROW_MOMENTS_SQL)
+def mapped_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from rows of V, whose coordinates are divided by the singular values."""
+    items = vectors(spark, sf)
+    model = linalg.truncated_svd(items, src.vector_width(items))
+    return _row_moments(linalg.project(items, model, scaled=True), model, extra=1)
+
+
 _COMPOSITE_SQL = f"""{_families_sql(80)},
 {VECTORS_SQL.strip()},
 member_vectors AS (SELECT family_id, member_no, product_id, v FROM members

@@ -153,8 +153,8 @@ def vector_width(vectors: DataFrame, vector_col: str = "embedding") -> int:
 def read_families(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Family documents ``{metadata, families: {id: {...}}}``, one row per family.
 
-    A document spread over several lines is read by one task; for large catalogues
-    have one document per line (``multi_line=False``) or the JSON lines written here.
+    A document spread over several lines is read by one task; large ones go to
+    ``read_large_families``.
     """
     family = T.StructType.fromDDL(FAMILY_SCHEMA)
     schema = T.StructType([T.StructField("families", T.MapType(T.StringType(), family))])
@@ -162,6 +162,33 @@ def read_families(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return doc.select(F.explode("families").alias("key", "family")).select("family.*")
 
 
+def read_large_families(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``read_families`` from documents of any size, on one line or many, in many tasks.
+
+    The text is cut at ``"family_id":``. Inside a JSON string every quote has a backslash
+    before it, so these bytes are always a key, and Spark's line reader finds them from
+    any split. Families must have ``family_id`` as their first key, without space before
+    the colon, as ``FAMILY_SCHEMA`` orders them; a document written otherwise is an error.
+    """
+    schema = T.StructType.fromDDL(FAMILY_SCHEMA)
+    marker = '"family_id":'
+    pieces = spark.read.option("lineSep", marker).text(path)
+    # a piece closes its family and ends with the opening of the next one or of the file
+    text = F.concat(F.lit("{" + marker), F.col("value"))
+    value = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    opened = F.col("value").rlike(r"\{\s*\z")
+    closed = F.col("value").rlike(r"\}\s*\z")
+    is_family = F.col("value").rlike(r"\A\s*-?[0-9]")
+    spaced = F.col("value").rlike(r'"family_id"\s+:')
+    whole = F.when(
+        (F.trim("value") != "") & (~(opened | closed) | spaced),
+        F.raise_error(F.lit("family_id must be the first key of a family, directly before its colon")).cast(schema),
+    ).otherwise(value)
+    return pieces.select(F.when(is_family | spaced | ~(opened | closed), whole).alias("family")).where(
+        "family IS NOT NULL"
+    ).select("family.*")
+
+
 def family_members(families: DataFrame) -> DataFrame:
     """One row per (family_id, member_no, product)."""
     return families.select(
