@@ -80,6 +80,24 @@ def test_svd_matches_numpy(spark, items):
     assert report[-1].cumulative_retained == pytest.approx(1.0)
 
 
+def test_randomised_svd_matches_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(150, 60)) @ np.diag(0.7 ** np.arange(60)) @ rng.normal(size=(60, 60)) + 3
+    df = spark.createDataFrame(
+        [(i, [float(v) for v in row]) for i, row in enumerate(x)], "item_id bigint, embedding array<double>"
+    ).repartition(3)
+    model = linalg.randomised_svd(df, 5)
+    centred = x - x.mean(axis=0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(model.sigma, s[:5], rtol=1e-6)
+    assert np.allclose(np.abs(model.u), np.abs(vt[:5].T), atol=1e-4)
+    assert np.allclose(model.explained, s[:5] ** 2 / (s**2).sum(), rtol=1e-6)
+    got = linalg.project_wide(df, model, scaled=True).orderBy("item_id").collect()
+    assert np.allclose([r.reduced for r in got], centred @ model.u / model.sigma)
+    with pytest.raises(ValueError, match="over"):
+        linalg.randomised_svd(df, 5, basis_bytes=100)
+
+
 def test_composites(spark, items):
     x, df = items
     members = spark.createDataFrame(

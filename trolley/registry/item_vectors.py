@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trolley.functions.vectors import cosine, l2_normalise
@@ -157,13 +157,13 @@ FROM imaged JOIN centred USING (item_id, d) GROUP BY item_id, p"""
 _POWERS = (1, 2, 3)
 
 
-def _relative_squares(model: linalg.SvdModel):
+def _relative_squares(model: linalg.SvdModel | linalg.WideSvd) -> Column:
     """Squared singular values as shares of their sum, as an array literal."""
     squares = model.sigma**2
     return F.array(*[F.lit(float(v)) for v in squares / squares.sum()])
 
 
-def _row_moments(placed: DataFrame, model: linalg.SvdModel, extra: int = 0) -> DataFrame:
+def _row_moments(placed: DataFrame, model: linalg.SvdModel | linalg.WideSvd, extra: int = 0) -> DataFrame:
     """Per row and p: squared coordinates weighted by the p-th power of their squared value."""
     width = len(model.sigma)
     share = _relative_squares(model)
@@ -221,6 +221,14 @@ def mapped_moments(spark: SparkSession, sf: str) -> DataFrame:
     return _row_moments(linalg.project(items, model, scaled=True), model, extra=1)
 
 
+@query("wide_moments", _ROW_MOMENTS_SQL)
+def wide_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """The decomposition for wide vectors, with a basis that spans them all."""
+    items = vectors(spark, sf).select("item_id", "embedding")
+    model = linalg.randomised_svd(items, src.vector_width(items))
+    return _row_moments(linalg.project_wide(items, model), model)
+
+
 _COMPOSITE_SQL = f"""{_families_sql(80)},
 {VECTORS_SQL.strip()},
 member_vectors AS (SELECT family_id, member_no, product_id, v FROM members
