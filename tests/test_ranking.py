@@ -2,12 +2,16 @@
 
 import math
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trolley.operators import baskets as bk
+from trolley.functions.hashing import hash_to_long, keyed_hash, numbered_longs
 from trolley.operators import metrics as mt
 from trolley.operators import ranking as rk
 
@@ -201,3 +205,58 @@ def test_foreign_items_block_nothing(spark):
     got = {r.positive_item: r.candidates for r in rk.sample_candidates(found, items, n=10).collect()}
     assert {len(set(c)) for c in got.values()} == {11} and 200 in got
     assert rk.skipped_cases(found, items, 10).first()[0] == 0
+
+
+def test_draws_in_arrays_are_those_of_the_expression(spark):
+    """The hashes of a batch are Spark's, for keys of any length; long messages too."""
+    for seed in (4, 42, 10**50):
+        rows = spark.createDataFrame([(7, 5), (123456789, -4)], "user_id bigint, positive_item bigint")
+        want = rows.select(
+            F.transform(F.sequence(F.lit(95), F.lit(1004)), lambda k: hash_to_long(keyed_hash(seed, "user_id", "positive_item", k))).alias("x")
+        ).collect()
+        for row, (user, item) in zip(want, [(7, 5), (123456789, -4)]):
+            prefix = np.frombuffer(f"{seed}|{user}|{item}|".encode(), np.uint8)
+            assert numbered_longs(prefix[None], 95, 910)[0].tolist() == row.x
+
+
+def test_candidates_drawn_as_they_are_read(spark, crowd, vectors):
+    """Same candidates without a copy on disk, with facts of their user; no draw is spent on a margin."""
+    found = rk.evaluation_cases(crowd, vectors)
+    kept = rk.sample_candidates(found, vectors)
+    profiles = rk.packed_profiles(rk.user_profiles(found.history, vectors))
+    drawn = rk.sample_candidates(found, vectors, facts=profiles, keep=False)
+    assert drawn.drop("profile").exceptAll(kept).isEmpty() and drawn.count() == kept.count()
+    assert "MapInArrow" in drawn._jdf.queryExecution().executedPlan().toString()
+    long = rk.sample_candidates(found, vectors, inline_history=0, facts=profiles, keep=False)
+    assert long.exceptAll(drawn).isEmpty() and long.count() == drawn.count()
+    assert spark.range(1).select(F.lit(30).alias("history_size")).select(rk.DrawStream(100_000, 99, 1.0, 1).length()).first()[0] <= 105
+    ranks = [rk.positive_ranks(rk.rank_embedding(found.history, vectors)(c)) for c in (kept, drawn)]
+    assert ranks[0].exceptAll(ranks[1]).isEmpty()
+
+
+def test_scores_gather_vectors_for_a_few_cases_at_a_time():
+    """A batch of ten thousand cases takes no memory for all their candidates' vectors."""
+    ids, unit = np.arange(2000), np.ones((2000, 64))
+    lists = pa.array([[1] * 100] * 10_000, pa.list_(pa.int64()))
+    user = pa.array(np.arange(10_000))
+    profiles = pa.array([[1.0] * 64] * 10_000, pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([user, user, lists, profiles], names=["user_id", "positive_item", "candidates", "profile"])
+    score = rk._score_in_batches(SimpleNamespace(value=(ids, unit)))
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in score(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 10_000 and peak < 100_000_000
+
+
+def test_cells_send_vectors_to_few_blocks(spark, crowd, vectors):
+    """Candidates travel as one row per case and block of items, not one each."""
+    found = rk.evaluation_cases(crowd, vectors)
+    candidates = rk.sample_candidates(found, vectors)
+    some = vectors.where("item_id < 40")
+    cells = rk.rank_embedding(found.history, some, limit_bytes=0, cell_bytes=700)(candidates)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan.lower() and "FlatMapCoGroupsInArrow" in plan
+    whole = rk.rank_embedding(found.history, some)(candidates)
+    a, b = (rk.positive_ranks(x) for x in (whole, cells))
+    assert a.exceptAll(b).isEmpty() and a.count() == b.count()
