@@ -543,3 +543,23 @@ def test_extraction_of_asides_with_compound_names(spark):
     rows = [(i, f"http://talk.example/{i}", f"<body><div class='comment-list'><p>{prose(i, 90)}</p></div><p>{prose(800 + i, 3)}</p></body>") for i in range(5)]
     got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(prose(r.page_id, 90) in r.text for r in got)
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Rows beyond one group of training rows move the scale, the weights and the cut."""
+    monkeypatch.setattr(quality, "GROUP_ROWS", 60)
+    good, bad = "a calm sentence about the sea and the town", "$$$ BUY NOW !!! |||| %%% 999"
+    rows = [(i, f"{good if i % 3 else bad} {i}", "s") for i in range(400)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    groups = quality.training_groups(docs, labels, "quality", "doc_id", "text")
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    assert groups.agg(F.sum("n")).first()[0] == len(free) and groups.count() > 3
+    x = np.concatenate([np.frombuffer(r.x).reshape(r.n, -1) for r in groups.collect()])
+    model = quality.fit(groups)
+    assert np.allclose(model.centre, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-6)
+    strength = np.clip((x - model.centre) / model.scale, -8, 8) @ model.weights
+    n_good = sum(i % 3 > 0 for i in free)
+    assert model.cut == pytest.approx(np.quantile(strength, 1 - n_good / len(free), method="midpoint"))
+    got = {r.doc_id: r.predicted for r in quality.score_quality(docs, labels).collect()}
+    assert all(got[i] == int(i % 3 > 0) for i in range(400))
