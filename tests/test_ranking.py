@@ -260,3 +260,27 @@ def test_cells_send_vectors_to_few_blocks(spark, crowd, vectors):
     whole = rk.rank_embedding(found.history, some)(candidates)
     a, b = (rk.positive_ranks(x) for x in (whole, cells))
     assert a.exceptAll(b).isEmpty() and a.count() == b.count()
+
+
+def test_nearest_items_in_tiles(monkeypatch):
+    """Tiles of items give the best of all, ties by id, and hold only a tile of scores."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-2, 3, (500, 3)).astype(np.float32)
+    profiles = rng.integers(-2, 3, (40, 3)).astype(float)
+    ids = rng.permutation(500)
+    items = pa.table({"item_id": ids, "v": pa.array(vectors.tolist(), pa.list_(pa.float32()))})
+    users = pa.table({"user_id": np.arange(40), "profile": pa.array(profiles.tolist(), pa.list_(pa.float64()))})
+    scores = np.round(rk.unit_rows(profiles) @ rk.unit_rows(vectors.astype(float)).T, mt.SCORE_DIGITS)
+    for k in (1, 7, 50, 600):
+        want = [[int(ids[j]) for j in np.lexsort((ids, -row))[:k]] for row in scores]
+        for tile in (3, 64, 4096):
+            monkeypatch.setattr(mt, "ITEMS_AT_ONCE", tile)
+            got = mt._best_of_cell(k)(items, users).to_pydict()
+            assert got["item_id"] == [i for row in want for i in row] and got["user_id"] == [u for u, row in enumerate(want) for _ in row]
+    monkeypatch.setattr(mt, "ITEMS_AT_ONCE", 1000)
+    many = pa.table({"item_id": np.arange(50_000), "v": pa.array(rng.normal(size=(50_000, 3)).tolist(), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    mt._best_of_cell(5)(many, users)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000

@@ -16,7 +16,8 @@ from trolley.storage import written
 CUTOFFS = [1, 5, 10, 15, 20, 50]
 # items, and profiles, of one cell; two such blocks are in a task at a time
 BLOCK_BYTES = 32 * 1024 * 1024
-USERS_AT_ONCE = 256
+# scores in memory at a time
+USERS_AT_ONCE, ITEMS_AT_ONCE = 256, 4_096
 SCORE_DIGITS = 12
 
 
@@ -41,25 +42,50 @@ def recommend_popular(baskets: Baskets, k: int) -> DataFrame:
 
 
 def _best_of_cell(k: int):
-    """For one block of items and one of profiles: the k best items of each profile."""
+    """For one block of items and one of profiles: the k best items of each profile.
+
+    Items come in tiles. Only scores that reach a profile's k-th best of the tiles before
+    are looked at, so a tile costs little more than its product.
+    """
 
     def best(items: pa.Table, users: pa.Table) -> pa.Table:
         found_users, found_items, found_scores = [], [], []
         if items.num_rows and users.num_rows:
             ids = items["item_id"].to_numpy()
-            unit = unit_rows(_dense(items["v"], items.num_rows))
             keep = min(k, len(ids))
+            tiles = [
+                (ids[at : at + ITEMS_AT_ONCE], unit_rows(_dense(part["v"], part.num_rows).astype(float)))
+                for at in range(0, len(ids), ITEMS_AT_ONCE)
+                for part in [items.slice(at, ITEMS_AT_ONCE)]
+            ]
             for start in range(0, users.num_rows, USERS_AT_ONCE):
                 part = users.slice(start, USERS_AT_ONCE)
-                # equal vectors must tie exactly, whatever block they are in
-                scores = np.round(unit_rows(_dense(part["profile"], part.num_rows)) @ unit.T, SCORE_DIGITS)
-                floor = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-                for user, row, least in zip(part["user_id"].to_pylist(), scores, floor):
-                    near = np.flatnonzero(row >= least)
-                    near = near[np.lexsort((ids[near], -row[near]))][:keep]
-                    found_users.append(np.full(len(near), user))
-                    found_items.append(ids[near])
-                    found_scores.append(row[near])
+                profiles = unit_rows(_dense(part["profile"], part.num_rows))
+                rows = np.arange(len(profiles))
+                # the best so far, best first; places without an item come last
+                scores = np.full((len(rows), keep), -np.inf)
+                best_ids = np.full((len(rows), keep), np.iinfo(np.int64).max)
+                for tile_ids, unit in tiles:
+                    product = profiles @ unit.T
+                    # rounding moves a score by less than this
+                    floor = scores[:, -1] - 10.0**-SCORE_DIGITS
+                    if len(tile_ids) > keep and floor[0] == -np.inf:
+                        floor = np.partition(product, -keep, axis=1)[:, -keep] - 10.0**-SCORE_DIGITS
+                    row, column = np.nonzero(product >= floor[:, None])
+                    # equal vectors must tie exactly, whatever block they are in
+                    near = np.round(product[row, column], SCORE_DIGITS)
+                    row = np.concatenate([np.repeat(rows, keep), row])
+                    near = np.concatenate([scores.ravel(), near])
+                    near_ids = np.concatenate([best_ids.ravel(), tile_ids[column]])
+                    order = np.lexsort((near_ids, -near, row))
+                    counts = np.bincount(row, minlength=len(rows))
+                    firsts = np.cumsum(counts) - counts
+                    chosen = order[firsts[:, None] + np.arange(keep)]
+                    scores, best_ids = near[chosen], near_ids[chosen]
+                filled = scores > -np.inf
+                found_users.append(np.repeat(part["user_id"].to_numpy(), filled.sum(axis=1)))
+                found_items.append(best_ids[filled])
+                found_scores.append(scores[filled])
         columns = zip((found_users, found_items, found_scores), (np.int64, np.int64, np.float64))
         return pa.table(
             [pa.array(np.concatenate(c) if c else np.zeros(0, t), pa.from_numpy_dtype(t)) for c, t in columns],
@@ -108,9 +134,11 @@ def recommend_nearest(
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     cell = ["item_block", "user_block"]
+    # floats travel as they are, half as many bytes
+    element = "array<float>" if dict(vectors.dtypes)[col] == "array<float>" else "array<double>"
     items = vectors.where(F.col(col).isNotNull()).select(
         block_of("item_id", item_blocks).alias("item_block"), every(user_blocks).alias("user_block"),
-        F.col("item_id").cast("bigint").alias("item_id"), F.col(col).cast("array<double>").alias("v"),
+        F.col("item_id").cast("bigint").alias("item_id"), F.col(col).cast(element).alias("v"),
     )
     users = profiles.select(
         every(item_blocks).alias("item_block"), block_of("user_id", user_blocks).alias("user_block"),
