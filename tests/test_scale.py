@@ -9,6 +9,7 @@ from trolley.operators.baskets import baskets_from_orders
 from trolley.operators.families import fuzzy_families
 from trolley.operators import ranking as rk
 from trolley.operators.ranking import evaluation_cases, sample_candidates
+from trolley.storage import balanced
 
 
 def plan_of(df) -> str:
@@ -144,3 +145,11 @@ def test_histories_do_not_travel_beside_cases(spark, skewed):
     exchanges = [e for e in formatted.split("\n\n") if "Exchange" in e.split("\n")[0]]
     inputs = [e.split("Input")[1].splitlines()[0] for e in exchanges if "Input" in e]
     assert inputs and not any("blocked" in i and "positive_item" in i for i in inputs)
+
+
+def test_no_task_counts_the_terms_of_many_texts(spark):
+    """Texts in few large partitions are dealt again, those in many stay where they are."""
+    few, rows = balanced(spark.range(0, 9000, 1, 4), "id", most=1000)
+    assert rows == 9000 and few.rdd.getNumPartitions() == 9 and few.distinct().count() == 9000
+    many, _ = balanced(spark.range(0, 9000, 1, 40), "id", most=1000)
+    assert many.rdd.getNumPartitions() == 40 and "Exchange" not in plan_of(many)

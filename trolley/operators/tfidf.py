@@ -19,6 +19,8 @@ from trolley.storage import balanced, written
 DEPARTMENT_FLAGS = ["produce", "dairy", "meat", "bakery", "frozen", "beverages", "snacks"]
 AISLE_FLAGS = ["fresh", "frozen", "canned", "packaged", "organic"]
 TEXT_WEIGHT = 0.8
+# terms of so many texts are counted in one task before they are shuffled
+TEXTS_PER_TASK = 4_000
 
 # A short default; pass the list of your choice for another stop vocabulary.
 STOP_WORDS = [
@@ -129,7 +131,7 @@ def tfidf(
     pass only keeps vocabulary terms, which is far less than a stored table of all
     (document, term) pairs.
     """
-    texts, n_docs = balanced(docs.select(id_col, text_col), id_col)
+    texts, n_docs = balanced(docs.select(id_col, text_col), id_col, most=TEXTS_PER_TASK)
     documents = document_terms(texts, id_col, text_col, stop_words)
     vocab = written(
         term_vocabulary(term_statistics(documents), n_docs, min_df, max_df, max_terms),
