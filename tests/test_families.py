@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trolley.functions.similarity import METRICS
+from trolley.functions.similarity import JACCARD_WORDS, METRICS
 from trolley.operators.families import (
+    _joined_pairs,
     assign_families,
+    candidate_lists,
     candidate_pairs,
     fuzzy_families,
     sort_products,
@@ -121,3 +123,39 @@ def test_size_bound_never_hides_a_pair(spark, name):
     rows = pairs.select(metric.score(a, b).alias("score"), metric.at_most(a, b).alias("bound")).collect()
     assert all(r.score <= r.bound for r in rows)
     assert sum(r.bound >= 80 for r in rows) < len(rows) / 2
+
+
+@pytest.mark.parametrize("threshold,window,tile_rows", [(80, 100, 2000), (50, 7, 10), (0, 3, 3), (34, 120, 1)])
+def test_tiles_equal_the_band_join(spark, threshold, window, tile_rows):
+    rng = random.Random(threshold)
+    departments = ["meat seafood", "produce", "dairy eggs", "household", "other", None]
+    rows = [
+        (i, rng.choice([None, *[rng.sample("abcdefg", rng.randint(0, 5))] * 9]), rng.choice(departments), rng.randint(0, 3), rng.randint(0, 3))
+        for i in range(260)
+    ]
+    placed = spark.createDataFrame(rows, "pos bigint, cmp array<string>, department string, bits1 int, bits2 int")
+    joined = _joined_pairs(placed, JACCARD_WORDS, threshold, window).collect()
+    listed = candidate_lists(placed, JACCARD_WORDS, threshold, window, tile_rows).collect()
+    got = [(r.i, j, s) for r in listed for j, s in zip(r.js, r.scores, strict=True)]
+    assert len(joined) > 50 and sorted(got) == sorted(tuple(r) for r in joined)
+    assert all(r.js == sorted(r.js) for r in listed) and len({r.i for r in listed}) == len(listed)
+    assert sorted(tuple(r) for r in candidate_pairs(placed, JACCARD_WORDS, threshold, window).collect()) == sorted(got)
+
+
+def test_many_words_are_compared_in_parts(spark):
+    # more words shared by two rows than a table of words holds
+    one, two = [f"w{k}" for k in range(5000)], [f"w{k}" for k in range(1000, 6000)]
+    rows = [(0, one, "x", 0, 0), (1, two, "x", 0, 0), (2, one, "x", 0, 0), (3, two, "x", 0, 0)]
+    placed = spark.createDataFrame(rows, "pos bigint, cmp array<string>, department string, bits1 int, bits2 int")
+    got = {(r.i, r.j): r.score for r in candidate_pairs(placed, threshold=0).collect()}
+    assert got == {(0, 1): 66, (0, 2): 100, (0, 3): 66, (1, 2): 66, (1, 3): 100, (2, 3): 66}
+
+
+def test_no_pair_of_products_is_a_row(spark):
+    products = spark.createDataFrame(
+        PRODUCTS, "product_id bigint, product_name string, department string, aisle string"
+    )
+    listed = candidate_lists(sort_products(products.coalesce(1)))
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    # the only join adds the offsets of the sorted partitions
+    assert plan.count("Join") <= 1 and "Join [bucket" not in plan
