@@ -284,3 +284,17 @@ def test_nearest_items_in_tiles(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8_000_000
+
+
+def test_shared_vectors_of_floats_stay_floats(spark):
+    # every task holds a copy of them
+    rows = [(i, [float(i), 1.0, -2.0]) for i in range(50)] + [(50, [0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "item_id bigint, embedding array<float>")
+    ids, values = rk.shared_matrix(vectors, "embedding", 1 << 20).value
+    assert values.dtype == np.float32 and ids.tolist() == list(range(51))
+    assert values.tolist() == [v for _, v in rows]
+    history = spark.createDataFrame([(1, 7)], "user_id bigint, item_id bigint")
+    lists = spark.createDataFrame([(1, 3, [3, 7, 50, 99])], "user_id bigint, positive_item bigint, candidates array<bigint>")
+    (scored,) = rk.rank_embedding(history, vectors)(lists).collect()
+    near = np.dot([3, 1, -2], [7, 1, -2]) / np.sqrt(14 * 54)
+    assert scored.scores == pytest.approx([near, 1.0, 0.0, 0.0])

@@ -534,19 +534,21 @@ def matrix_bytes(vectors: DataFrame, col: str) -> int:
 
 
 def shared_matrix(vectors: DataFrame, col: str, limit_bytes: int):
-    """(ids, unit vectors) as a broadcast in id order, or None when it is too large.
+    """(ids, vectors) as a broadcast in id order, or None when it is too large.
 
-    The size is checked before anything is gathered.
+    The size is checked before anything is gathered. Every task holds a copy, so vectors of
+    floats stay floats; rows are turned to doubles and unit length where they are used.
     """
     size = matrix_bytes(vectors, col)
     if size == 0 or size > limit_bytes:
         return None
-    local = vectors.select("item_id", F.col(col).cast("array<double>").alias("v")).toArrow()
+    element = dict(vectors.dtypes)[col]
+    element = element if element == "array<float>" else "array<double>"
+    local = vectors.select("item_id", F.col(col).cast(element).alias("v")).toArrow()
     ids = local["item_id"].to_numpy()
     values = local["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
     order = np.argsort(ids)
-    unit = unit_rows(values[order])
-    return vectors.sparkSession.sparkContext.broadcast((ids[order], unit))
+    return vectors.sparkSession.sparkContext.broadcast((ids[order], values[order]))
 
 
 def unit_rows(values: np.ndarray) -> np.ndarray:
@@ -585,7 +587,7 @@ def _profile_matrix(profiles: pa.Array, width: int) -> np.ndarray:
 
 def _score_in_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = shared.value
+        ids, vectors = shared.value
         for whole in batches:
             # a candidate's vector is gathered for a few cases at a time
             for first in range(0, whole.num_rows, SCORED_AT_ONCE):
@@ -594,10 +596,11 @@ def _score_in_batches(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 offsets, wanted = _offsets(lists), lists.flatten().to_numpy()
                 items = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
                 owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                profiles = _profile_matrix(batch.column("profile"), unit.shape[1])
+                profiles = _profile_matrix(batch.column("profile"), vectors.shape[1])
                 known = np.flatnonzero(ids[items] == wanted)
                 values = np.zeros(len(wanted))
-                values[known] = np.einsum("ij,ij->i", unit[items[known]], profiles[owner[known]])
+                unit = unit_rows(vectors[items[known]].astype(float))
+                values[known] = np.einsum("ij,ij->i", unit, profiles[owner[known]])
                 scores = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(values))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("user_id"), batch.column("positive_item"), lists, scores],
