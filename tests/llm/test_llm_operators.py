@@ -563,3 +563,18 @@ def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
     assert model.cut == pytest.approx(np.quantile(strength, 1 - n_good / len(free), method="midpoint"))
     got = {r.doc_id: r.predicted for r in quality.score_quality(docs, labels).collect()}
     assert all(got[i] == int(i % 3 > 0) for i in range(400))
+
+
+def test_near_copies_leave_no_passing_tables(spark):
+    from pathlib import Path
+
+    from trolley.storage import shared_dir
+
+    rows = [(i, " ".join(f"w{(i % 5) * 40 + k}" for k in range(30)) + f" tail{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    place = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(place.iterdir()) if place.exists() else set()
+    kept = near_duplicates.keep_one(docs)
+    left = {p.name.rsplit("-", 1)[0] for p in set(place.iterdir()) - before if not p.name.startswith(".")}
+    assert left == {"kept"}
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]

@@ -31,7 +31,7 @@ from trolley.llm.components import connected_components
 from trolley.llm.lookup import content_hash, texts_of
 from trolley.llm.spans import SPACED, Prefix, lower, mixed, signed, slices, words
 from trolley.operators.skew import attach_by_key
-from trolley.storage import spread, written
+from trolley.storage import passing, spread, written
 
 _U = np.uint64
 _STEP = _U(0xA24BAED4963EE407)
@@ -213,7 +213,8 @@ def _ordered_difference(hub: np.ndarray, own: np.ndarray, common: np.ndarray) ->
 
 
 def _compare(
-    pairs: DataFrame, sets: DataFrame, likeness: Likeness, common: DataFrame | None = None, prefixes: bool = True
+    pairs: DataFrame, sets: DataFrame, likeness: Likeness, common: DataFrame | None = None, prefixes: bool = True,
+    outlives: bool = False,
 ) -> DataFrame:
     """Exact likeness of ``pairs(hub, node)``.
 
@@ -273,6 +274,7 @@ def _compare(
             compare, "hub bigint, node bigint, linked boolean, size bigint, apart bigint, leading array<bigint>"
         ),
         "compared",
+        outlives,
     )
 
 
@@ -319,6 +321,19 @@ def _members(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(attach_by_key(member, shared, ["key"], "members"), "slot-members")
 
 
+def _stars(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(hub, node): each member of a group of documents with an equal slot, and the group's hub."""
+    with passing(sketches.sparkSession):
+        member = _members(sketches, nodes)
+        # the hub of a group is the member with the largest groups, so that one compares most
+        weight = member.groupBy("node").agg(F.sum("members").alias("weight"))
+        hubs = member.join(weight, "node").groupBy("key", "members").agg(
+            F.max(F.struct("weight", -F.col("node"))).alias("top"),
+        ).select("key", "members", (-F.col("top.col2")).alias("hub"))
+        stars = attach_by_key(member.drop("members"), hubs, ["key"], "members")
+        return written(stars.where("hub != node").select("hub", "node").distinct(), "stars", outlives=True)
+
+
 def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
     """``(node, root)`` after the links ``found(hub, node)`` join components."""
     def root_of(col: str, name: str) -> DataFrame:
@@ -332,30 +347,26 @@ def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
     lone = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     every = roots.unionByName(lone.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
     lifted = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return written(every.join(lifted, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+    return written(every.join(lifted, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots", outlives=True)
 
 
 def joined_roots(
     docs: DataFrame, sketches: DataFrame, nodes: DataFrame, likeness: Likeness, id_col: str, text_col: str
 ) -> DataFrame:
     """``(node, root)`` of the nodes that may have links: the components of all links."""
-    member = _members(sketches, nodes)
-    # the hub of a group is the member with the largest groups, so that one compares most
-    weight = member.groupBy("node").agg(F.sum("members").alias("weight"))
-    hubs = member.join(weight, "node").groupBy("key", "members").agg(
-        F.max(F.struct("weight", -F.col("node"))).alias("top"),
-    ).select("key", "members", (-F.col("top.col2")).alias("hub"))
-    stars = attach_by_key(member.drop("members"), hubs, ["key"], "members")
-    stars = written(stars.where("hub != node").select("hub", "node").distinct(), "stars")
-    wanted = stars.select("node").union(stars.select("hub")).distinct()
-    named = sketches.select(F.col("row").alias("node"), "doc_id", "content").join(wanted, "node", "left_semi")
-    sets = _sets(docs, written(named, "set-names"), likeness, id_col, text_col)
-    compared = _compare(stars, sets, likeness, _common(stars, sets, likeness))
-    roots = connected_components(
-        compared.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    )
-    rest = _rest(compared, roots, likeness)
-    return _contracted(roots, _compare(rest, sets, likeness).where("linked"))
+    spark = docs.sparkSession
+    with passing(spark):
+        stars = _stars(sketches, nodes)
+        wanted = stars.select("node").union(stars.select("hub")).distinct()
+        named = sketches.select(F.col("row").alias("node"), "doc_id", "content").join(wanted, "node", "left_semi")
+        sets = _sets(docs, written(named, "set-names"), likeness, id_col, text_col)
+        with passing(spark):
+            compared = _compare(stars, sets, likeness, _common(stars, sets, likeness), outlives=True)
+        roots = connected_components(
+            compared.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        )
+        rest = _rest(compared, roots, likeness)
+        return _contracted(roots, _compare(rest, sets, likeness).where("linked"))
 
 
 def _rest(compared: DataFrame, roots: DataFrame, likeness: Likeness) -> DataFrame:
@@ -435,14 +446,16 @@ def keep_one(
 
     Rows without words stay, all of them.
     """
-    found = classes(docs, likeness, id_col, text_col)
-    kept = written(
-        found.groupBy("doc_id", "content")
-        .agg(F.max("keep").alias("keep"), F.count("*").alias("rows"), F.max("n_shingles").alias("n_shingles"))
-        .where("keep")
-        .select("doc_id", "content", ((F.col("rows") > 1) & (F.col("n_shingles") > 0)).alias("repeated")),
-        "kept",
-    )
+    with passing(docs.sparkSession):
+        found = classes(docs, likeness, id_col, text_col)
+        kept = written(
+            found.groupBy("doc_id", "content")
+            .agg(F.max("keep").alias("keep"), F.count("*").alias("rows"), F.max("n_shingles").alias("n_shingles"))
+            .where("keep")
+            .select("doc_id", "content", ((F.col("rows") > 1) & (F.col("n_shingles") > 0)).alias("repeated")),
+            "kept",
+            outlives=True,
+        )
     # all columns travel under their number, so that none can clash with a name of this stage
     numbered = docs.select(
         F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("own"),
