@@ -578,3 +578,54 @@ def test_near_copies_leave_no_passing_tables(spark):
     left = {p.name.rsplit("-", 1)[0] for p in set(place.iterdir()) - before if not p.name.startswith(".")}
     assert left == {"kept"}
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_slots_are_joined_in_parts(spark, monkeypatch):
+    """The keys of sketches meet part by part, and are deleted before whole sets are compared."""
+    from pathlib import Path
+
+    from trolley.storage import shared_dir
+
+    place = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(place.iterdir()) if place.exists() else set()
+    met, lying = [], []
+
+    def looking(df, label, **options):
+        out = plain(df, label, **options)
+        if label == "met-members":
+            met.append({r.key for r in out.collect()})
+        if label == "compared":
+            lying.append({p.name.rsplit("-", 1)[0] for p in set(place.iterdir()) - before})
+        return out
+
+    plain = near_duplicates.written
+    monkeypatch.setattr(near_duplicates, "written", looking)
+    rows = edited_copies(30)
+    got = near_duplicates.classes(docs_of(spark, rows)).collect()
+    want, _ = brute_components(rows, 5, 80, 100)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    every = set().union(*met)
+    assert every and sum(map(len, met)) == len(every) and max(map(len, met)) < len(every) / 2
+    assert lying and not any("sketches" in names for names in lying)
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    """Inside ``passing`` the files of a shuffle do not wait for the driver to collect its garbage."""
+    import time
+    from pathlib import Path
+
+    from trolley.storage import passing, written
+
+    places = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for d in places for f in Path(d).glob("*/shuffle_*.data")}
+
+    before = files()
+    with passing(spark):
+        counted = written(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counted")
+        until = time.time() + 10
+        while files() - before and time.time() < until:
+            time.sleep(0.2)
+        assert not files() - before
+        assert counted.count() == 7

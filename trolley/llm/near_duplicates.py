@@ -4,7 +4,9 @@ A document's shingles are XORed into the slots of a sketch. The number of slots
 which two sketches differ cannot exceed the symmetric difference of the two sets, and a
 link bounds that difference by the sizes. So within a band of sizes, sketches with more
 slots than the largest difference allowed have equal slots in every linked pair: the
-sketches are joined slot by slot (pigeonhole), and candidates are verified exactly.
+sketches are joined slot by slot (pigeonhole), and candidates are verified exactly. Equal
+slots have equal hashes, so slots are joined one part of all hashes after another, and
+less is on the disk at a time.
 
 No group of documents with an equal slot is expanded into its pairs. Each group has a
 hub, the member that shares most slots with others, and every member is compared with
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +34,18 @@ from trolley.llm.components import connected_components
 from trolley.llm.lookup import content_hash, texts_of
 from trolley.llm.spans import SPACED, Prefix, lower, mixed, signed, slices, words
 from trolley.operators.skew import attach_by_key
-from trolley.storage import passing, spread, written
+from trolley.storage import outliving, passing, spread, written
 
 _U = np.uint64
 _STEP = _U(0xA24BAED4963EE407)
 BAND_GROWTH = 1.6
 # a document has fewer size bands to be looked for in
 MOST_BANDS = 64
+# the keys are joined part by part, each with the shuffle files of its part only
+KEY_PARTS = 4
 # pairs that one copy of a hub's set is compared in
 HUB_PAIRS = 256
+_KEYS = [f"keys_{part}" for part in range(KEY_PARTS)]
 # members of a large group that tell which elements are common, and in how many of them
 SAMPLED, OFTEN = 64, 3
 
@@ -143,7 +149,10 @@ class Bands:
 
 
 def sketch_table(docs: DataFrame, likeness: Likeness, id_col: str, text_col: str) -> DataFrame:
-    """Per row: row, doc_id, content, n_shingles, two hashes of the set, and per band keys and need."""
+    """Per row: row, doc_id, content, n_shingles, two hashes of the set, and per band need and keys.
+
+    The keys are in ``KEY_PARTS`` columns by their last bits, so that a part is read alone.
+    """
     kind = dict(docs.dtypes)[id_col]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +169,14 @@ def sketch_table(docs: DataFrame, likeness: Likeness, id_col: str, text_col: str
                     keys += [signed(k) for _, k in found]
                     bounds.append(len(keys))
                 n = len(sizes)
-                upto = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                upto = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
                 every = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                per_band = pa.ListArray.from_arrays(pa.array(upto), pa.array(every))
-                rows = pa.array(bounds, pa.int32())
+                rows, parts = pa.array(bounds, pa.int32()), []
+                for part in range(KEY_PARTS):
+                    mine = every % KEY_PARTS == part
+                    ends = np.concatenate([[0], np.cumsum(mine)])[upto].astype(np.int32)
+                    per_band = pa.ListArray.from_arrays(pa.array(ends), pa.array(every[mine]))
+                    parts.append(pa.ListArray.from_arrays(rows, per_band))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, n),
@@ -172,12 +185,13 @@ def sketch_table(docs: DataFrame, likeness: Likeness, id_col: str, text_col: str
                         pa.array(signed(np.array(sums, np.uint64))),
                         pa.array(signed(np.array(mixes, np.uint64))),
                         pa.ListArray.from_arrays(rows, pa.array(needs, pa.int32())),
-                        pa.ListArray.from_arrays(rows, per_band),
+                        *parts,
                     ],
-                    names=["doc_id", "content", "n_shingles", "set_sum", "set_mix", "needs", "keys"],
+                    names=["doc_id", "content", "n_shingles", "set_sum", "set_mix", "needs", *_KEYS],
                 )
 
-    schema = f"doc_id {kind}, content bigint, n_shingles bigint, set_sum bigint, set_mix bigint, needs array<int>, keys array<array<bigint>>"
+    schema = f"doc_id {kind}, content bigint, n_shingles bigint, set_sum bigint, set_mix bigint, needs array<int>"
+    schema += "".join(f", {c} array<array<bigint>>" for c in _KEYS)
     rows = docs.select(F.col(id_col).alias("doc_id"), content_hash(text_col).alias("content"), F.col(text_col))
     return written(
         rows.mapInArrow(sketch, schema).withColumn("row", F.monotonically_increasing_id()), "sketches"
@@ -213,8 +227,7 @@ def _ordered_difference(hub: np.ndarray, own: np.ndarray, common: np.ndarray) ->
 
 
 def _compare(
-    pairs: DataFrame, sets: DataFrame, likeness: Likeness, common: DataFrame | None = None, prefixes: bool = True,
-    outlives: bool = False,
+    pairs: DataFrame, sets: DataFrame, likeness: Likeness, common: DataFrame | None = None, prefixes: bool = True
 ) -> DataFrame:
     """Exact likeness of ``pairs(hub, node)``.
 
@@ -257,25 +270,24 @@ def _compare(
                 names=["hub", "node", "linked", "size", "apart", "leading"],
             )
 
-    copies = written(
-        pairs.groupBy("hub").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / HUB_PAIRS).cast("int")),
-        "hub-copies",
-    )
-    dealt = attach_by_key(pairs, copies, ["hub"], "n", cheap=True).select(
-        "hub", "node", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy")
-    )
-    hubs = sets.withColumnsRenamed({"node": "hub", "shingles": "mine"}).join(copies, "hub")
-    if ordered:
-        hubs = hubs.join(common, "hub", "left")
-    hubs = hubs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("n", "copies")
-    both = dealt.join(sets.withColumnRenamed("shingles", "theirs"), "node").join(hubs, ["hub", "copy"])
-    return written(
-        both.select("hub", "node", "mine", "theirs", *(["common"] if ordered else [])).mapInArrow(
+    with passing(pairs.sparkSession):
+        copies = written(
+            pairs.groupBy("hub").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / HUB_PAIRS).cast("int")),
+            "hub-copies",
+        )
+        dealt = attach_by_key(pairs, copies, ["hub"], "n", cheap=True).select(
+            "hub", "node", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy")
+        )
+        hubs = sets.withColumnsRenamed({"node": "hub", "shingles": "mine"}).join(copies, "hub")
+        if ordered:
+            hubs = hubs.join(common, "hub", "left")
+        hubs = hubs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("n", "copies")
+        both = dealt.join(sets.withColumnRenamed("shingles", "theirs"), "node").join(hubs, ["hub", "copy"])
+        found = both.select("hub", "node", "mine", "theirs", *(["common"] if ordered else [])).mapInArrow(
             compare, "hub bigint, node bigint, linked boolean, size bigint, apart bigint, leading array<bigint>"
-        ),
-        "compared",
-        outlives,
-    )
+        )
+        with outliving():
+            return written(found, "compared")
 
 
 def _common(stars: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFrame:
@@ -283,11 +295,6 @@ def _common(stars: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFrame:
 
     Told by a bounded sample of members, and used for an order only.
     """
-    large = stars.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > SAMPLED)
-    picked = attach_by_key(stars, large, ["hub"], "n").withColumn(
-        "no", F.row_number().over(W.partitionBy("hub").orderBy(F.xxhash64("node"), "node"))
-    ).where(F.col("no") <= SAMPLED)
-    unlike = _compare(picked.select("hub", "node"), sets, likeness, prefixes=False)
 
     # at most SAMPLED differences a hub
     def often(group: pa.Table) -> pa.Table:
@@ -295,25 +302,37 @@ def _common(stars: DataFrame, sets: DataFrame, likeness: Likeness) -> DataFrame:
         found = pa.array([elements[n >= OFTEN]], pa.list_(pa.int64()))
         return pa.table([group["hub"].slice(0, 1), found], names=["hub", "common"])
 
-    found = unlike.select("hub", "leading").groupBy("hub").applyInArrow(often, "hub bigint, common array<bigint>")
-    return written(found, "common-elements")
+    with passing(stars.sparkSession):
+        large = stars.groupBy("hub").agg(F.count("*").alias("n")).where(F.col("n") > SAMPLED)
+        picked = attach_by_key(stars, large, ["hub"], "n").withColumn(
+            "no", F.row_number().over(W.partitionBy("hub").orderBy(F.xxhash64("node"), "node"))
+        ).where(F.col("no") <= SAMPLED)
+        unlike = _compare(picked.select("hub", "node"), sets, likeness, prefixes=False)
+        found = unlike.select("hub", "leading").groupBy("hub").applyInArrow(often, "hub bigint, common array<bigint>")
+        with outliving():
+            return written(found, "common-elements")
 
 
 def _members(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, node, members): the members of each group of documents with an equal slot."""
-    own = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    nodes = nodes.select(F.col("node").alias("row"))
     owner = F.col("row") * MOST_BANDS + F.col("band")
-    # all slots move once: the count and the join that drops keys with one member share it
-    slots = spread(
-        own.select("row", F.posexplode("keys").alias("band", "of")).select(
-            owner.alias("owner"), F.explode("of").alias("key")
-        ),
-        "key",
-    )
-    met = slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    member = written(slots.join(met, "key"), "met-members")
+    parts = []
+    for keys in _KEYS:
+        own = sketches.select("row", keys).join(nodes, "row", "left_semi")
+        # all slots move once: the count and the join that drops keys with one member share it
+        slots = spread(
+            own.select("row", F.posexplode(keys).alias("band", "of")).select(
+                owner.alias("owner"), F.explode("of").alias("key")
+            ),
+            "key",
+        )
+        met = slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        parts.append(written(slots.join(met, "key"), "met-members"))
+    member = reduce(DataFrame.unionByName, parts)
     # nor can a document with fewer shared keys than a link needs say anything
-    needs = own.select("row", F.posexplode("needs").alias("band", "need")).select(owner.alias("owner"), "need")
+    needs = sketches.select("row", "needs").join(nodes, "row", "left_semi")
+    needs = needs.select("row", F.posexplode("needs").alias("band", "need")).select(owner.alias("owner"), "need")
     able = member.groupBy("owner").agg(F.count("*").alias("n")).join(needs, "owner").where("n >= need").select("owner")
     able = written(able, "able-owners")
     member = member.join(able, "owner").select("key", F.expr(f"owner div {MOST_BANDS}").alias("node"))
@@ -331,11 +350,12 @@ def _stars(sketches: DataFrame, nodes: DataFrame) -> DataFrame:
             F.max(F.struct("weight", -F.col("node"))).alias("top"),
         ).select("key", "members", (-F.col("top.col2")).alias("hub"))
         stars = attach_by_key(member.drop("members"), hubs, ["key"], "members")
-        return written(stars.where("hub != node").select("hub", "node").distinct(), "stars", outlives=True)
+        with outliving():
+            return written(stars.where("hub != node").select("hub", "node").distinct(), "stars")
 
 
 def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
-    """``(node, root)`` after the links ``found(hub, node)`` join components."""
+    """``(node, root)`` after the links ``found(hub, node)`` join components; outlives one block."""
     def root_of(col: str, name: str) -> DataFrame:
         return roots.select(F.col("node").alias(col), F.col("root").alias(name))
 
@@ -347,21 +367,22 @@ def _contracted(roots: DataFrame, found: DataFrame) -> DataFrame:
     lone = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     every = roots.unionByName(lone.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
     lifted = merged.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return written(every.join(lifted, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots", outlives=True)
+    with outliving():
+        return written(every.join(lifted, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
 
 
 def joined_roots(
-    docs: DataFrame, sketches: DataFrame, nodes: DataFrame, likeness: Likeness, id_col: str, text_col: str
+    docs: DataFrame, sketches: DataFrame, stars: DataFrame, likeness: Likeness, id_col: str, text_col: str
 ) -> DataFrame:
-    """``(node, root)`` of the nodes that may have links: the components of all links."""
-    spark = docs.sparkSession
-    with passing(spark):
-        stars = _stars(sketches, nodes)
+    """``(node, root)`` of the nodes that may have links: the components of all links.
+
+    ``sketches`` name the rows, ``stars(hub, node)`` the members of groups.
+    """
+    with passing(docs.sparkSession):
         wanted = stars.select("node").union(stars.select("hub")).distinct()
         named = sketches.select(F.col("row").alias("node"), "doc_id", "content").join(wanted, "node", "left_semi")
         sets = _sets(docs, written(named, "set-names"), likeness, id_col, text_col)
-        with passing(spark):
-            compared = _compare(stars, sets, likeness, _common(stars, sets, likeness), outlives=True)
+        compared = _compare(stars, sets, likeness, _common(stars, sets, likeness))
         roots = connected_components(
             compared.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
         )
@@ -412,24 +433,33 @@ def classes(
     linked like any other equal texts; other columns are not read; an empty table gives
     an empty result.
     """
-    sketches = sketch_table(docs, likeness, id_col, text_col)
-    sets = written(
-        sketches.where("n_shingles > 0")
-        .groupBy("n_shingles", "set_sum", "set_mix")
-        .agg(
-            F.min("row").alias("node"),
-            F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"),
-            F.count("*").alias("copies"),
-        ),
-        "shingle-classes",
-    )
-    roots = joined_roots(docs, sketches, sets, likeness, id_col, text_col)
-    rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    known = rooted.join(least, "root").select("n_shingles", "set_sum", "set_mix", "copies", "first")
-    own = sketches.select("row", "doc_id", "content", "n_shingles", "set_sum", "set_mix")
+    spark = docs.sparkSession
     keys = ["n_shingles", "set_sum", "set_mix"]
-    joined = attach_by_key(own, known, keys, "copies", "left")
+    with passing(spark):
+        # the keys are most of the sketches, and nothing reads them after the stars
+        with passing(spark):
+            keyed = sketch_table(docs, likeness, id_col, text_col)
+            with outliving(2):
+                sketches = written(keyed.select("row", "doc_id", "content", *keys), "sketched-rows")
+            with outliving():
+                sets = written(
+                    sketches.where("n_shingles > 0")
+                    .groupBy(*keys)
+                    .agg(
+                        F.min("row").alias("node"),
+                        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"),
+                        F.count("*").alias("copies"),
+                    ),
+                    "shingle-classes",
+                )
+                stars = _stars(keyed, sets)
+        roots = joined_roots(docs, sketches, stars, likeness, id_col, text_col)
+        rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = rooted.groupBy("root").agg(F.min("least").alias("first"))
+        known = rooted.join(least, "root").select(*keys, "copies", "first")
+        own = sketches.select("row", "doc_id", "content", *keys)
+        with outliving():
+            joined = attach_by_key(own, known, keys, "copies", "left")
     return joined.select(
         "doc_id",
         "content",
@@ -448,14 +478,14 @@ def keep_one(
     """
     with passing(docs.sparkSession):
         found = classes(docs, likeness, id_col, text_col)
-        kept = written(
+        kept = (
             found.groupBy("doc_id", "content")
             .agg(F.max("keep").alias("keep"), F.count("*").alias("rows"), F.max("n_shingles").alias("n_shingles"))
             .where("keep")
-            .select("doc_id", "content", ((F.col("rows") > 1) & (F.col("n_shingles") > 0)).alias("repeated")),
-            "kept",
-            outlives=True,
+            .select("doc_id", "content", ((F.col("rows") > 1) & (F.col("n_shingles") > 0)).alias("repeated"))
         )
+        with outliving():
+            kept = written(kept, "kept")
     # all columns travel under their number, so that none can clash with a name of this stage
     numbered = docs.select(
         F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("own"),
