@@ -14,25 +14,35 @@ from trolley.llm.queries import tokenizer_path
 from trolley.session import ship_package
 from trolley.storage import written
 
+# whole texts are wide rows: 10,000 of them would fill each Arrow batch with tens of
+# megabytes, which the executor and its Python worker hold several times
+BATCH_BYTES = "4m"
+
 # a classifier, set likeness and token packing have no SQL form
 ORACLE_SQL = None
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and bound the batches of the session, also for whoever reads a stage's result."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality ranking predicts to be good."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose shingles of five words are alike to 0.8 or more."""
-    ship_package(spark)
+    prepare(spark)
     return near_duplicates.keep_one(docs)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that occur elsewhere; ``n_chars`` follows."""
-    ship_package(spark)
+    prepare(spark)
     cut = suffix_dedup.without_repeats(docs)
     length = F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])
     changed = F.when(F.col("text").isNotNull(), length).otherwise(F.col("n_chars"))
@@ -41,13 +51,13 @@ def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mixed_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 2048 tokens."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs, tokenizer_path(), added_tokens=True)
 
 

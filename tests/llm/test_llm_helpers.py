@@ -1,6 +1,8 @@
 """Word splitting, span hashes, suffix arrays and packing plans on their own."""
 
 import re
+import tracemalloc
+from itertools import islice, product
 
 import numpy as np
 import pyarrow as pa
@@ -9,9 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trolley.llm.packing import best_fit
-from trolley.llm.spans import ALNUM, SPACED, Prefix, lower, slices, words
+from trolley.llm.spans import ALNUM, SMALL_SLICE, SPACED, Prefix, lower, slices, words
 from trolley.llm.suffix_dedup import WindowRuns
 from trolley.llm.suffixes import common_prefixes, suffix_array
+from trolley.llm.tokens import _encoders, encoder
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aB1 \t\né,.-😀", max_size=30)), max_size=6)
 
@@ -39,6 +42,43 @@ def test_slices_are_bounded_and_whole():
     assert all(len(d) <= 10 or len(o) == 2 for _, d, o in parts)
 
 
+def test_window_runs_of_a_large_column_are_held_in_small_slices():
+    rng = np.random.default_rng(5)
+    column = pa.array(["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(1500)])
+    tracemalloc.start()
+    try:
+        for _, data, offsets in slices(column, SMALL_SLICE):
+            WindowRuns(data, offsets, 200, 50)
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert most < 80e6
+
+
+def test_the_memory_of_tokens_does_not_grow_with_the_vocabulary():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    file = path("word_bpe_49k.json")
+    made = map("".join, product("etaoinshrdlu", repeat=6))
+    texts = [" ".join(islice(made, 10_000)) for _ in range(50)]
+    _encoders.clear()
+    encode = encoder(file)
+    tracemalloc.start()
+    try:
+        found = [encode(data, offsets) for _, data, offsets in slices(pa.array(texts[:1]), SMALL_SLICE)][0]
+        for _, data, offsets in slices(pa.array(texts), SMALL_SLICE):
+            encode(data, offsets)
+        kept, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+        _encoders.clear()
+    assert kept < 60e6
+    # forgotten words are encoded as before
+    again = encode(*next(slices(pa.array(texts[:1])))[1:])
+    assert again[0].tolist() == found[0].tolist() == Tokenizer.from_file(file).encode(texts[0], add_special_tokens=False).ids
+
+
 def test_equal_spans_have_equal_hashes():
     data = np.frombuffer(b"abcabcXabc", np.uint8)
     h = Prefix(data).of(np.array([0, 3, 7, 4]), np.array([3, 6, 10, 7]))

@@ -1,6 +1,7 @@
 """The pipeline's stages and the registration of the queries."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry_module
@@ -22,6 +23,18 @@ def test_stages_keep_the_columns(spark, sf):
     assert docs.where("text IS NOT NULL AND n_chars <> length(text)").isEmpty()
 
 
+def test_whole_texts_reach_the_workers_in_small_batches(spark):
+    corpus_pipeline.prepare(spark)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    texts = spark.range(0, 6000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 4000) as text")
+    found = [r["size"] for r in texts.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) >= 24e6 and max(found) < 6e6
+
+
 def test_run_returns_pieces(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from trolley.llm.components import connected_components
 from trolley.llm.lookup import content_hash, texts_of
-from trolley.llm.spans import SPACED, Prefix, lower, mixed, signed, slices, words
+from trolley.llm.spans import SMALL_SLICE, SPACED, Prefix, lower, mixed, signed, slices, words
 from trolley.operators.skew import attach_by_key
 from trolley.storage import outliving, passing, spread, written
 
@@ -158,7 +158,7 @@ def sketch_table(docs: DataFrame, likeness: Likeness, id_col: str, text_col: str
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(likeness)
         for batch in batches:
-            for first, data, offsets in slices(batch.column(2)):
+            for first, data, offsets in slices(batch.column(2), SMALL_SLICE):
                 sizes, sums, mixes, needs, keys, bounds = [], [], [], [], [], [0]
                 for s in shingle_sets(data, offsets, likeness.words):
                     sizes.append(len(s))
@@ -203,7 +203,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, likeness: Likeness, id_col: str, t
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in slices(batch.column(1)):
+            for first, data, offsets in slices(batch.column(1), SMALL_SLICE):
                 found = [signed(s) for s in shingle_sets(data, offsets, likeness.words)]
                 upto = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

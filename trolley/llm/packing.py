@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.llm.spans import slices
+from trolley.llm.spans import SMALL_SLICE, slices
 from trolley.llm.tokens import encoder
 from trolley.operators.position import with_positions
 from trolley.storage import written
@@ -40,7 +40,7 @@ def token_pieces(
         encode = encoder(tokenizer, added_tokens)
         for batch in batches:
             names = batch.column(0)
-            for first, data, offsets in slices(batch.column(1)):
+            for first, data, offsets in slices(batch.column(1), SMALL_SLICE):
                 ids, bounds = encode(data, offsets)
                 rows, pieces, starts, lengths, sums = [], [], [], [], []
                 for row in range(len(offsets) - 1):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trolley.llm.labelled import held_out, sigmoid
 from trolley.llm.lookup import content_hash
-from trolley.llm.spans import SPACED, Prefix, lower, slices, words
+from trolley.llm.spans import SMALL_SLICE, SPACED, Prefix, lower, slices, words
 from trolley.operators.position import with_positions
 from trolley.storage import written
 
@@ -107,7 +107,7 @@ def training_groups(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in slices(batch.column(2)):
+            for first, data, offsets in slices(batch.column(2), SMALL_SLICE):
                 x = features(data, offsets)
                 bounds = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
                 ids, contents = (batch.column(i).slice(first, len(x)) for i in (0, 1))
@@ -240,7 +240,7 @@ def score_quality(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in slices(batch.column(1)):
+            for first, data, offsets in slices(batch.column(1), SMALL_SLICE):
                 scores = model.scores(features(data, offsets))
                 others = [batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)]]
                 yield pa.RecordBatch.from_arrays(

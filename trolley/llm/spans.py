@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+# for steps that hold a dozen arrays of eight bytes per byte of a slice, and whose rows do
+# not become fewer in larger slices
+SMALL_SLICE = 1 << 19
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -28,7 +31,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse modulo 2**64."""
     global _powers, _inverses
     if len(_powers) < n:
-        n = max(n, SLICE_BYTES + 1)
+        n = max(n + n // 4, SMALL_SLICE + 1)
         first = np.full(n, _BASE)
         first[0] = 1
         _powers = np.multiply.accumulate(first)

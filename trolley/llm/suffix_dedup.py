@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm.lookup import content_hash, texts_of
-from trolley.llm.spans import Prefix, mixed, runs, signed, slices
+from trolley.llm.spans import SMALL_SLICE, Prefix, mixed, runs, signed, slices
 from trolley.llm.suffixes import common_prefixes, suffix_array
 from trolley.storage import written
 
@@ -132,7 +132,7 @@ def run_table(docs: DataFrame, window: int, gram: int, id_col: str, text_col: st
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in slices(batch.column(2)):
+            for first, data, offsets in slices(batch.column(2), SMALL_SLICE):
                 n = len(offsets) - 1
                 found = WindowRuns(data, offsets, window, gram)
                 shas = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -181,7 +181,7 @@ def finer_table(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in slices(batch.column(3)):
+            for first, data, offsets in slices(batch.column(3), SMALL_SLICE):
                 n = len(offsets) - 1
                 flags = _Flags(batch.column(2).slice(first, n), window)
                 # only the bytes of undecided windows are hashed again
@@ -320,7 +320,7 @@ def shard_windows(texts: DataFrame, window: int, shard_bytes: int) -> DataFrame:
 
         for batch in batches:
             ids, contents = batch.column(0), batch.column(1).to_pylist()
-            for first, data, offsets in slices(batch.column(3)):
+            for first, data, offsets in slices(batch.column(3), SMALL_SLICE):
                 n = len(offsets) - 1
                 flags = _Flags(batch.column(2).slice(first, n), window)
                 rest = np.searchsorted(flags.row, np.arange(n + 1))
