@@ -1,5 +1,7 @@
 """Hot keys end to end, and the shape of the physical plans."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,61 @@ def test_no_task_counts_the_terms_of_many_texts(spark):
     assert rows == 9000 and few.rdd.getNumPartitions() == 9 and few.distinct().count() == 9000
     many, _ = balanced(spark.range(0, 9000, 1, 40), "id", most=1000)
     assert many.rdd.getNumPartitions() == 40 and "Exchange" not in plan_of(many)
+
+
+def test_ranks_come_in_parts_that_leave_nothing_behind(spark, skewed):
+    """Candidates and cells of a part go before the next begins; a user with a third of all cases is dealt to all parts."""
+    found = evaluation_cases(baskets_from_orders(*skewed))
+    parts = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.sin(F.col("id") * i + i))
+    vectors = spark.range(800).where("id % 7 <> 3").select(F.col("id").alias("item_id"), parts.alias("embedding"))
+    items = spark.range(800).withColumnRenamed("id", "item_id")
+    whole = rk.positive_ranks(rk.rank_embedding(found.history, vectors)(sample_candidates(found, items)))
+    cut = rk.evaluation_parts(found, 200)
+    sizes = [part.cases.count() for part in cut]
+    assert len(sizes) > 3 and sum(sizes) == found.cases.count() and max(sizes) < 400
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    alive = []
+
+    def ranker_of(part):
+        alive.append(len([f for f in folder.iterdir() if f.name.startswith("candidates")]))
+        return rk.rank_embedding(part.history, vectors, limit_bytes=0, cell_bytes=3000)
+
+    before = {f.name for f in folder.iterdir()}
+    got = rk.ranks_in_parts(found, items, ranker_of, most=200)
+    left = [f.name for f in folder.iterdir() if f.name not in before]
+    assert len(left) == len(sizes) and all(name.startswith("ranks-") for name in left)
+    assert len(set(alive)) == 1
+    assert got.exceptAll(whole).isEmpty() and got.count() == whole.count()
+
+
+def test_joined_ranks_keep_only_ranks(spark, sf):
+    """Baskets, cases, places and candidates are gone when the query returns, and its shuffles with their actions."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    for name, twin in (("ranks_embedding_joined", "ranks_embedding"), ("ranks_embedding_gaps_joined", "ranks_embedding_gaps")):
+        before = {f.name for f in folder.iterdir()}
+        got = entry_module.queries()[name](spark, sf)
+        left = [f.name for f in folder.iterdir() if f.name not in before]
+        assert left and all(f.startswith("ranks-") for f in left)
+        want = entry_module.queries()[twin](spark, sf)
+        assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 0
+
+
+def test_one_block_of_items_scores_lists_where_they_arrive(spark, skewed):
+    """With one block of items there is no second shuffle of the candidates and no join."""
+    found = evaluation_cases(baskets_from_orders(*skewed))
+    parts = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.sin(F.col("id") * i + i))
+    vectors = spark.range(800).where("id % 7 <> 3").select(F.col("id").alias("item_id"), parts.alias("embedding"))
+    history = found.history.where("user_id <> 5")
+    cases = sample_candidates(found, spark.range(800).withColumnRenamed("id", "item_id"), n=20)
+    scored = rk.rank_embedding(history, vectors, limit_bytes=0)(cases)
+    tail = plan_of(scored).split("FlatMapCoGroupsInArrow")[0]
+    assert "Join" not in tail and "Exchange" not in tail
+    whole = {(r.user_id, r.positive_item): r for r in rk.rank_embedding(history, vectors)(cases).collect()}
+    rows = scored.collect()
+    assert len(rows) == len(whole)
+    for row in rows:
+        want = whole[row.user_id, row.positive_item]
+        assert row.candidates == want.candidates and row.scores == pytest.approx(want.scores)
+    none = rk.rank_embedding(history, vectors.limit(0), limit_bytes=0)(cases)
+    assert none.count() == len(whole) and none.where("exists(scores, x -> x <> 0)").isEmpty()
