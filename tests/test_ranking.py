@@ -298,3 +298,64 @@ def test_shared_vectors_of_floats_stay_floats(spark):
     (scored,) = rk.rank_embedding(history, vectors)(lists).collect()
     near = np.dot([3, 1, -2], [7, 1, -2]) / np.sqrt(14 * 54)
     assert scored.scores == pytest.approx([near, 1.0, 0.0, 0.0])
+
+
+def listed(ids, values, names, kind):
+    return pa.table({names[0]: pa.array(ids, pa.int64()), names[1]: pa.array(values.tolist(), pa.list_(kind))})
+
+
+def test_scores_closer_than_floats_are_told_apart(monkeypatch):
+    """Products are of floats; what may be among the best is scored in doubles."""
+    monkeypatch.setattr(mt, "ITEMS_AT_ONCE", 64)
+    angle = np.random.default_rng(1).permutation(300) * 1e-9
+    vectors = np.stack([np.cos(0.3 + angle), np.sin(0.3 + angle)], axis=1)
+    items, users = listed(np.arange(300), vectors, ["item_id", "v"], pa.float64()), listed([9], np.array([[1.0, 0.0]]), ["user_id", "profile"], pa.float64())
+    got = mt._best_of_cell(20)(items, users).to_pydict()
+    assert got["item_id"] == np.argsort(angle)[:20].tolist()
+
+
+def test_cells_rank_lists_of_odd_rows(monkeypatch):
+    """Equal and repeated items, users who come twice or without an id; no score is left out by a tile."""
+    monkeypatch.setattr(mt, "ITEMS_AT_ONCE", 40)
+    monkeypatch.setattr(mt, "USERS_AT_ONCE", 3)
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-1, 2, (200, 3)).astype(np.float32)
+    item_ids = [None, *rng.integers(0, 150, 199).tolist()]
+    profiles = rng.integers(-2, 3, (7, 3)).astype(float)
+    user_ids = [4, None, 2, 4, 7, None, 1]
+    items = listed(item_ids, vectors, ["item_id", "v"], pa.float32())
+    users = listed(user_ids, profiles, ["user_id", "profile"], pa.float64())
+    scores = np.round(rk.unit_rows(profiles) @ rk.unit_rows(vectors.astype(float)).T, mt.SCORE_DIGITS)
+    for k in (1, 13, 500):
+        got = mt._best_of_cell(k, ranked=True)(items, users).to_pylist()
+        assert len(got) == sum(min(k, 200 * user_ids.count(u)) for u in set(user_ids))
+        for user in set(user_ids):
+            every = []
+            for i in (i for i, u in enumerate(user_ids) if u == user):
+                # a cell keeps k for each of a user's profiles
+                mine = sorted((-s, -1 if x is None else x) for s, x in zip(scores[i].tolist(), item_ids))
+                every += mine[:k]
+            want = [None if x == -1 else x for _, x in sorted(every)[:k]]
+            mine = [r for r in got if r["user_id"] == user]
+            assert [r["item_id"] for r in mine] == want and [r["rank"] for r in mine] == [*range(1, len(want) + 1)]
+
+
+def test_one_block_of_items_is_ranked_in_its_cell(spark, crowd, vectors):
+    """A table of items that a task can hold is one block, and its lists need no further shuffle."""
+    found = rk.evaluation_cases(crowd, vectors)
+    profiles = rk.user_profiles(found.history, vectors)
+    whole, blocks = mt.recommend_nearest(profiles, vectors, 7), mt.recommend_nearest(profiles, vectors, 7, block_bytes=5000)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan
+    assert "Exchange" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    assert whole.dtypes == blocks.dtypes and sorted(whole.collect()) == sorted(blocks.collect())
+    wide = spark.range(600_000).select(F.col("id").alias("item_id"), F.array_repeat(F.lit(1.0).cast("float"), 64).alias("embedding"))
+    assert "Window" not in mt.recommend_nearest(profiles, wide, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in mt.recommend_nearest(profiles, wide.withColumn("embedding", F.col("embedding").cast("array<double>")), 7)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profiles_are_made_in_as_many_tasks_as_there_are(spark, crowd, vectors):
+    """Ids are few bytes, so adaptive execution would make all profiles in a task or two."""
+    found = rk.evaluation_cases(crowd, vectors)
+    plan = rk.user_profiles(found.history, vectors)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

@@ -528,7 +528,7 @@ def user_profiles(
     items = vectors.select("item_id", F.col(col).alias("_v"))
     if matrix_bytes(vectors, col) <= limit_bytes:
         # ids move to their user's partition first; vectors are then looked up there
-        rows, items = rows.repartition("user_id"), F.broadcast(items)
+        rows, items = spread(rows, "user_id"), F.broadcast(items)
     return (
         rows.join(items, "item_id")
         .groupBy("user_id")
